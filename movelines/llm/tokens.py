@@ -18,8 +18,10 @@ store that Spark can write.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,55 +34,97 @@ from .common import blocks, scratch_dir, session_ready
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
+_TAIL = re.compile(r"([^ ]*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:]+)\Z")
 _encoders: dict[str, "Encoder"] = {}
 
 
+def _keys(text: str) -> list[str]:
+    """A text as chunks: white space, then the rest up to the next. The key of a chunk that begins
+    with one space is the chunk without it; one that begins with one newline is its own key; any
+    other has a space put before it."""
+    if "  " in text or "\n\n" in text or " \n" in text:
+        chunks = _CHUNK.findall(text)
+        return [c[1:] if c[0] == " " and c[1:2] not in ("", " ", "\n") else c if c[0] == "\n" and c[1:2] not in ("", " ", "\n") else " " + c for c in chunks]
+    keys = text.replace("\n", " \n").split(" ")
+    if keys[-1] in ("", "\n"):  # white space at the end is a chunk of its own
+        keys[-1] = "  " if keys[-1] == "" else " \n"
+    if keys[0] == "":
+        del keys[0]
+    else:
+        keys[0] = " " + keys[0]
+    return keys
+
+
 class Encoder:
     """The tokenizers library with a memory of chunks.
 
     Both supported tokenizer kinds split a text before merging, and never across the border
-    between a character that isn't white space and one that is. A text whose only white space
-    is spaces and newlines is therefore the chunks `white space, then the rest up to the next`
-    one after the other, each encoded by the library on its own once. Any other text goes to
-    the library whole. The memory is emptied when it is full.
+    between a character that isn't white space and one that is, nor between a Latin
+    letter or digit and the punctuation after it. A text whose only white space is spaces and newlines is therefore
+    its chunks one after the other, each encoded by the library once; punctuation at a chunk's
+    end is encoded apart. A text with any other white space goes to the library whole. When the
+    young half of the memory is full it becomes the old half, from which chunks still in use come
+    back.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 700_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.memory = memory
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.library.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.known[chunk] = np.asarray(e.ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, keys) -> set[str]:
+        """Bring chunks into the young memory; those with other white space are returned."""
+        if len(self.young) > self.memory:
+            self.young, self.old = {}, self.young
+        young, old, odd, split, new = self.young, self.old, set(), [], {}
+        for key in keys:
+            if (known := old.get(key)) is not None:
+                young[key] = known
+            elif _OTHER_SPACE.search(key):
+                odd.add(key)
+            elif m := _TAIL.match(key):
+                core, tail = m.group(1), " " + m.group(2)
+                split.append((key, core, tail))
+                for part in (core, tail):
+                    if part not in young:
+                        if (known := old.get(part)) is not None:
+                            young[part] = known
+                        else:
+                            new[part] = None
+            else:
+                new[key] = None
+        new = list(new)
+        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in new]
+        for key, e in zip(new, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            young[key] = array("I", e.ids).tobytes()
+        for key, core, tail in split:
+            young[key] = young[core] + young[tail]
+        return odd
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text; a null has none."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(np.zeros(0, "<u4"))
-                continue
-            if _OTHER_SPACE.search(text):
-                out.append(np.frombuffer(self._whole(text), "<u4"))
-                continue
-            chunks = _CHUNK.findall(text)
-            got = list(map(self.known.get, chunks))
-            if None in got:
-                if len(self.known) > self.memory:
-                    self.known.clear()
-                self._learn(list(dict.fromkeys(c for c in chunks if c not in self.known)))
-                got = list(map(self.known.__getitem__, chunks))
-            out.append(np.frombuffer(b"".join(got), "<u4"))
-        return out
+        chunks = [_keys(text) if text else [] for text in texts]
+        got = [list(map(self.young.get, c)) for c in chunks]
+        behind = [(k, [i for i, g in enumerate(got[k]) if g is None]) for k in range(len(got)) if None in got[k]]
+        odd: set[str] = set()
+        if behind:
+            odd = self._learn(dict.fromkeys(chunks[k][i] for k, at in behind for i in at))
+            for k, at in behind:
+                for i in at:
+                    got[k][i] = self.young.get(chunks[k][i])
+        whole = {k for k, at in behind if odd and not odd.isdisjoint(chunks[k])}
+        none = np.zeros(0, "<u4")
+        return [self._whole(texts[k]) if k in whole else np.frombuffer(b"".join(g), "<u4") if g else none for k, g in enumerate(got)]
 
 
 def encoder(path: str) -> Encoder:
@@ -94,27 +138,23 @@ def encoder(path: str) -> Encoder:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    """Rows of values, each row packed at `width` bits to whole bytes."""
-    if not width:
-        return b""
-    bits = (values[..., None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(*values.shape[:-1], -1), axis=-1, bitorder="little").tobytes()
+    """Values at `width` bits each, to whole bytes."""
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def _unpack(raw: np.ndarray, n: int, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(n, np.uint32)
-    bits = np.unpackbits(raw, bitorder="little", count=n * width).reshape(n, width)
-    step = np.zeros((n, 32), np.uint8)
-    step[:, :width] = bits
-    return np.packbits(step, axis=1, bitorder="little").view("<u4").reshape(n)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(raw, bitorder="little", count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(n)
 
 
 def encode_block(ids: np.ndarray, share: float = 0.9) -> bytes:
     """One block of at most 65,535 ids."""
     low = ids.min()
     values = (ids - low).astype(np.uint32)
-    need = np.sort(values)[max(0, int(np.ceil(share * len(values))) - 1)]
+    rank = max(0, int(np.ceil(share * len(values))) - 1)
+    need = np.partition(values, rank)[rank]
     width = int(need).bit_length()
     limit = (1 << width) - 1
     odd = np.flatnonzero(values > limit)
