@@ -127,10 +127,10 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_char_distance: float = 0.35,
-    max_word_distance: float = 0.6,
+    max_char_distance: float = 0.3,
+    max_word_distance: float = 0.275,
     min_chars: int = 200,
-    min_words: int = 50,
+    min_words: int = 80,
 ) -> DataFrame:
     """One row per input row: id, the base counts, char_distance and word_distance (to the
     nearest language reference; null without one), base_failed and kept.
