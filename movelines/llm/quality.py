@@ -37,7 +37,8 @@ def features(buf: np.ndarray, offsets: np.ndarray, buckets: int):
     yield place(words), first[:-1], first[1:]
     if len(words) > 1:
         pairs = mix(words[1:] ^ words[:-1])  # equal neighbours: mix(0)
-        yield place(pairs), first[:-1], np.maximum(first[:-1], first[1:] - 1)
+        begin = np.minimum(first[:-1], len(pairs))
+        yield place(pairs), begin, np.maximum(begin, first[1:] - 1)
     for n in GRAMS:
         if len(buf) >= n:
             h = np.zeros(len(buf) - n + 1, np.uint32)

@@ -37,7 +37,7 @@ NO_ROWS: list = []
 
 
 def frame(spark, texts):
-    return spark.createDataFrame([(d, t, g, s, len(t or ""), *["?"] * 10, 1, "?", 1, 1, "?", "?") for d, t, g, s in texts], SCHEMA)
+    return spark.createDataFrame([(d, t, g, s, len(t or ""), *["?"] * 9, 1, "?", 1, 1, "?", "?") for d, t, g, s in texts], SCHEMA)
 
 
 @pytest.fixture(scope="module")
