@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import embeddings, langid, mixing, packing, pii, quality, rules, simhash, substrings, tokens
 from .common import documents
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _path(name: str) -> str:
@@ -63,7 +64,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +85,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_embeddings, op4_rules, op5_packing, op6_quality, op7_simhash, op8_mixing, op9_tokens, op10_pii, pipeline)}
-
-ORACLE_SQL: dict[str, str] = {}
