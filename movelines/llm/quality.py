@@ -65,12 +65,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, buckets: int, dims: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 3) -> Model:
-    """bags: each text's buckets and their shares of its features (shares sum to 1)."""
+def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, buckets: int, dims: int = 8, epochs: int = 5, steps: int = 12_000, rate: float = 4.0, seed: int = 3) -> Model:
+    """bags: each text's buckets and their shares of its features (shares sum to 1). A small sample
+    is gone through more often than `epochs` times, for `steps` steps."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (buckets, dims))
     out, bias = np.zeros((dims, 2)), np.zeros(2)
     out[:, 1] = rng.uniform(-1 / dims, 1 / dims, dims)
+    epochs = max(epochs, -(-steps // len(bags)))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
@@ -90,19 +92,23 @@ def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, wei
     return Model(np.rint(score * _ONE).astype(np.int64), float(bias[1] - bias[0]))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", per_class: int = 2500, buckets: int = 1 << 17, seed: int = 3) -> Model:
-    """A model from the rows of `labelled` whose label is 0 or 1, at most per_class rows of each
-    label, chosen by a seeded hash; rows are weighted so that the classes keep the shares that
-    they have among all labelled rows. Without rows of both labels, the score is the share of
-    label 1 (0.5 without any)."""
-    session_ready(labelled.sparkSession)
-    usable = labelled.filter(F.col(label_col).isin(0, 1))
-    counts = {int(r[0]): r["n"] for r in usable.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, buckets: int = 1 << 17, seed: int = 3) -> Model:
+    """A model from the documents that `labels` (id_col, label_col) marks 0 or 1, at most per_class
+    of each label, chosen by a seeded hash of the id; they are weighted so that the classes keep
+    the shares that they have among all labels. An id with both labels counts as 0; null ids and
+    other labels don't count. Without both labels, the score is near the one label there is (0.5
+    without any). The sample is drawn from the labels, so only its ids meet the documents, and
+    only its documents' features come to the driver."""
+    session_ready(docs.sparkSession)
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
+    counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(np.zeros(buckets, np.int64), {0: -4.0, 1: 4.0}[next(iter(counts))] if counts else 0.0)
-    place = F.xxhash64(F.lit(seed), F.col(text_col)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    share = F.coalesce(*[F.when(F.col(label_col) == k, F.lit(min(1.0, 1.5 * per_class / n))) for k, n in counts.items()])
-    sample = usable.filter(place < share).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(label_col).cast("int").alias("_label"), place.alias("_place"))
+    place = F.xxhash64(F.lit(seed), F.col("_id")).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    share = F.coalesce(*[F.when(F.col("_label") == k, F.lit(min(1.0, 1.2 * per_class / n))) for k, n in counts.items()])
+    chosen = known.withColumn("_place", place).filter(F.col("_place") < share).limit(3 * per_class)  # so that its size is bounded
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    sample = texts.join(F.broadcast(chosen), "_id").select("_text", "_label", "_place")
 
     def run(batches):
         for block in blocks(batches, "_text"):

@@ -55,7 +55,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(_fold(5) != 0).select("doc_id", "quality")
-    return quality.train(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"))
+    return quality.train(documents(spark, sf_dir), labels)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_embeddings(spark):
     n = Counter(y for pair in links for y in pair)
     want = components(ids, links)
     got = rows(spark, "op3_embeddings")
-    assert links and len(got) == len(ids)
+    assert len(got) == len(ids)
     for r in got:
         assert (r["n_links"], r["component_id"], r["kept"]) == (n[r["vec_id"]], want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"])
 
@@ -125,15 +125,19 @@ def test_packing(spark, docs):
     assert len(bins) * 4096 <= total * 1.02 + 4096
 
 
-def test_quality(spark, docs):
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    got = rows(spark, "op6_quality")
-    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+def test_quality(spark):
+    folder = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = entry.queries()["op6_quality"](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(ids)
     for r in got:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
     held = [r for r in got if r["doc_id"] in labels and r["held_out"]]
-    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.85 * len(held)
+    good = [r for r in held if labels[r["doc_id"]] == 1]
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    assert sum(r["predicted"] for r in good) >= 0.98 * len(good)
 
 
 def naive_simhash(text, shingle):

@@ -63,7 +63,7 @@ OPERATORS = {
     "language": lambda d: langid.predict_language(d, langid.train(d)),
     "substrings": lambda d: substrings.substring_dedup(d),
     "rules": lambda d: rules.quality_rules(d),
-    "quality": lambda d: quality.score_quality(d, quality.train(labelled(d))),
+    "quality": lambda d: quality.score_quality(d, quality.train(d, labelled(d))),
     "simhash": lambda d: simhash.simhash_dedup(d),
     "mixing": lambda d: mixing.mix_sources(d),
     "tokens": lambda d: tokens.round_trip(d, BYTES_JSON),
@@ -117,8 +117,8 @@ def test_simhash_defined_results(odd):
 
 def test_quality_with_one_label_or_none(odd):
     q = labelled(odd)
-    assert {r["score"] > 0.9 for r in quality.score_quality(odd, quality.train(q.filter("quality = 1"))).collect()} == {True}
-    assert {r["score"] for r in quality.score_quality(odd, quality.train(q.filter("quality > 1"))).collect()} == {0.5}
+    assert {r["score"] > 0.9 for r in quality.score_quality(odd, quality.train(odd, q.filter("quality = 1"))).collect()} == {True}
+    assert {r["score"] for r in quality.score_quality(odd, quality.train(odd, q.filter("quality > 1"))).collect()} == {0.5}
 
 
 def test_rules_defined_results(odd):
