@@ -92,12 +92,12 @@ def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, wei
     return Model(np.rint(score * _ONE).astype(np.int64), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, buckets: int = 1 << 17, seed: int = 3) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, buckets: int = 1 << 17, steps: int = 12_000, seed: int = 3) -> Model:
     """A model from the documents that `labels` (id_col, label_col) marks 0 or 1, at most per_class
     of each label, chosen by a seeded hash of the id; they are weighted so that the classes keep
     the shares that they have among all labels. An id with both labels counts as 0; null ids and
     other labels don't count. Without both labels, the score is near the one label there is (0.5
-    without any). The sample is drawn from the labels, so only its ids meet the documents, and
+    without any). steps is the least number of gradient steps. The sample is drawn from the labels, so only its ids meet the documents, and
     only its documents' features come to the driver."""
     session_ready(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         y += [k] * own.num_rows
         weight += [counts[k] / sum(counts.values()) / max(1, own.num_rows)] * own.num_rows
     weight = np.asarray(weight) * len(weight)
-    return fit_embeddings(bags, np.asarray(y), weight, buckets, seed=seed)
+    return fit_embeddings(bags, np.asarray(y), weight, buckets, steps=steps, seed=seed)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

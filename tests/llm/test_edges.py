@@ -63,7 +63,7 @@ OPERATORS = {
     "language": lambda d: langid.predict_language(d, langid.train(d)),
     "substrings": lambda d: substrings.substring_dedup(d),
     "rules": lambda d: rules.quality_rules(d),
-    "quality": lambda d: quality.score_quality(d, quality.train(d, labelled(d))),
+    "quality": lambda d: quality.score_quality(d, quality.train(d, labelled(d), steps=300)),
     "simhash": lambda d: simhash.simhash_dedup(d),
     "mixing": lambda d: mixing.mix_sources(d),
     "tokens": lambda d: tokens.round_trip(d, BYTES_JSON),
