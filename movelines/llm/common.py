@@ -4,8 +4,6 @@ splitting and hashing over whole Arrow string columns."""
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import numpy as np
@@ -13,14 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import materialise, scratch_dir  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: The characters that separate words everywhere in this subpackage: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
-_local_scratch: dict[str, str] = {}
-
 
 def session_ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package wherever the driver was started from."""
@@ -31,26 +29,6 @@ def session_ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor shares. Where the
-    session has none (local tests), one temporary folder per application stands in."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        base = _local_scratch.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{base.rstrip('/')}/movelines/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
