@@ -3,8 +3,9 @@ the score.
 
 Base kinds are fixed: email, ip (parts at most 255), card (14 to 19 digits passing Luhn) and
 phone (a plus sign, 10 to 15 digits); every confirmed match is kept whatever its score. Added
-kinds: iban (country, length and mod-97), card13 (13 digits passing Luhn, with a word about
-cards nearby), ssn (three groups of digits in the assigned ranges, with such a word nearby) and
+kinds: iban (country, length and mod-97), card_group (an unbroken group of 14 to 19 digits passing
+Luhn, where the longer match of card around it failed), card13 (13 digits passing Luhn, with a
+word about cards nearby), ssn (three groups of digits in the assigned ranges, with such a word nearby) and
 local_phone (a number without a plus sign, with a word about telephones nearby). An added span
 needs a score of `threshold`: checks that can hardly pass by chance give it alone, the others
 need the context. Added spans that overlap a base span or an earlier added one are dropped.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import blocks, session_ready
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "card13", "ssn", "local_phone")
+KINDS = (*BASE_KINDS, "iban", "card_group", "card13", "ssn", "local_phone")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
@@ -33,6 +34,7 @@ _NOT_EMAIL = re.compile(r"[^A-Za-z0-9._%+@-]")
 _RUN = re.compile(r"[0-9+][0-9 ().+-]*")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_GROUP = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCAL = re.compile(r"(?<![0-9+])\(?0?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
@@ -48,6 +50,7 @@ CONTEXT = {
     "card13": ["card", "visa", "credit", "debit", "karte", "kreditkarte", "carte", "tarjeta"],
     "ssn": ["ssn", "social security", "social-security", "taxpayer"],
     "local_phone": ["phone", "tel", "telephone", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"],
+    "card_group": ["card", "visa", "credit", "debit", "karte", "carte", "tarjeta"],
     "iban": ["iban", "account", "bank", "konto", "compte", "cuenta"],
     "email": ["email", "e-mail", "mail", "contact"],
     "ip": ["ip", "address", "server", "host"],
@@ -57,7 +60,7 @@ CONTEXT = {
 _CONTEXT = {k: re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, w)) + r")(?!\w)", re.I) for k, w in CONTEXT.items()}
 
 #: The score of a confirmed match, before its context.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "card13": 0.4, "ssn": 0.3, "local_phone": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "card_group": 0.7, "card13": 0.4, "ssn": 0.3, "local_phone": 0.3}
 
 
 def luhn(digits: str) -> bool:
@@ -123,8 +126,13 @@ def _added(text: str):
         if high - low < 9:
             continue
         for m in _CARD.finditer(text, low, high):
-            if len(d := _DIGITS.sub("", m.group())) == 13 and luhn(d):
+            d = _DIGITS.sub("", m.group())
+            if len(d) == 13 and luhn(d):
                 yield "card13", *m.span()
+            elif len(d) > 14 and not (len(d) <= 19 and luhn(d)):
+                for group in _GROUP.finditer(text, *m.span()):
+                    if group.end() - group.start() < len(m.group()) and luhn(group.group()):
+                        yield "card_group", *group.span()
         for m in _SSN.finditer(text, low, high):
             area, group, serial = m.groups()
             if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

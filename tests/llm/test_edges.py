@@ -142,9 +142,10 @@ def test_mixing_takes_words(spark):
 
 
 def test_pii_defined_results(spark):
-    d = frame(spark, [(1, "pay to IBAN DE89 3704 0044 0532 0130 00 NOW, call tel. 030 1234 5678", None, None), (2, "code GB00 1234 and 030 1234 5678", None, None), (3, None, None, None)])
+    d = frame(spark, [(1, "pay to IBAN DE89 3704 0044 0532 0130 00 NOW, call tel. 030 1234 5678", None, None), (2, "code GB00 1234 and 030 1234 5678", None, None), (3, None, None, None), (4, "7536784127813050 4845168114407329 x", None, None)])
     got = by_id(pii.find_pii(d, with_text=True))
     assert [s["kind"] for s in got[1]["pii"]] == ["iban", "local_phone"] and got[2]["pii"] == []
+    assert [(s["kind"], s["start"], s["end"]) for s in got[4]["pii"]] == [("card_group", 0, 16), ("card_group", 17, 33)]
     assert got[1]["redacted"] == "pay to IBAN [IBAN] NOW, call tel. [LOCAL_PHONE]" and got[3]["redacted"] is None
 
 
