@@ -41,12 +41,12 @@ class _Chunk:
     """The words of a chunk's documents in order of id, and the windows that lie in one document."""
 
     def __init__(self, table: pa.Table, length: int):
-        self.ids = table.column("_id").to_numpy()
-        null = table.column("_id").combine_chunks().is_null().to_numpy(zero_copy_only=False) if table.num_rows else np.zeros(0, bool)
-        self.order = np.argsort(np.where(null, 0, np.nan_to_num(self.ids)).astype(np.int64), kind="stable")
-        table = table.take(pa.array(self.order))
-        self.null = null[self.order]
-        self.ids = table.column("_id").fill_null(0).to_numpy().astype(np.int64)
+        ids = table.column("_id").combine_chunks()
+        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+        values = ids.fill_null(0).to_numpy()  # never as floats, which would lose digits
+        order = np.argsort(values, kind="stable")
+        self.ids, self.null = values[order], np.asarray(ids.is_null())[order]
+        table = table.take(pa.array(order))
         self.buf, self.offsets = utf8(table.column("_text"))
         self.starts, self.ends, self.first = word_spans(self.buf, self.offsets)
         self.words = span_hashes(self.buf, self.starts, self.ends)

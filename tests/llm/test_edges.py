@@ -101,7 +101,7 @@ def test_language_without_labels(odd):
 def test_substrings_defined_results(odd):
     got = by_id(substrings.substring_dedup(odd))
     assert got[2]["n_words"] == got[3]["n_words"] == got[4]["n_words"] == 0
-    assert got[5]["n_removed"] == 30_000 - 0 or got[5]["n_removed"] == 0  # only other documents count
+    assert got[5]["n_removed"] == 0  # it repeats itself, and only other documents count
     assert (got[6]["n_removed"], got[6]["kept_text"]) == (60_000, "tail")
     assert got[7]["n_removed"] == 0 and got[None]["n_removed"] == 0
 
