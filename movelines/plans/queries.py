@@ -117,25 +117,24 @@ def clean_games(spark, sf_dir):
     return games(spark, sf_dir).withColumn("utc_date", F.col("utc_date").cast("string"))
 
 
-def _count(**keys):
+def _count(*names: str):
     def run(spark, sf_dir):
-        return clean.count_by(games(spark, sf_dir), **keys)
+        own = games(spark, sf_dir).withColumn("rating_class", g.rating_class(F.col("elo_band")))
+        return clean.count_by(own, **{n: F.col(n) for n in names})
 
     return run
 
 
-def _mixes():
-    c = F.col
-    return {
-        "event_mix": _count(event=c("event")),
-        "elo_histogram": _count(elo_band=c("elo_band")),
-        "result_mix": _count(result=c("result"), white_score=c("white_score")),
-        "move_count_histogram": _count(move_count=c("move_count")),
-        "family_mix": _count(opening_family=c("opening_family")),
-        "eco_class_mix": _count(eco_class=c("eco_class"), has_eval=c("has_eval")),
-        "time_control_mix": _count(time_control=c("time_control"), base_time=c("base_time"), increment=c("increment")),
-        "rating_class_mix": _count(rating_class=g.rating_class(c("elo_band"))),
-    }
+MIXES = {
+    "event_mix": _count("event"),
+    "elo_histogram": _count("elo_band"),
+    "result_mix": _count("result", "white_score"),
+    "move_count_histogram": _count("move_count"),
+    "family_mix": _count("opening_family"),
+    "eco_class_mix": _count("eco_class", "has_eval"),
+    "time_control_mix": _count("time_control", "base_time", "increment"),
+    "rating_class_mix": _count("rating_class"),
+}
 
 
 def analysis_subset(spark, sf_dir):
@@ -442,4 +441,4 @@ annotate_white annotate_black safety_summary unsafe_first_moves worst_positions
 
 
 def all_queries() -> dict:
-    return {n: globals()[n] for n in _NAMES} | _mixes()
+    return {n: globals()[n] for n in _NAMES} | MIXES

@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB over the same tables."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -46,3 +49,9 @@ def test_entry(spark):
 def test_every_query_has_sql_or_a_reason():
     free = {"op1_language", "op5_packing", "op6_quality", "op7_simhash", "op9_tokens", "op10_pii", "pipeline"}
     assert set(entry.queries()) - set(entry.oracle_sql()) <= free
+
+
+def test_names_need_no_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
