@@ -57,7 +57,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, text: str, limit: int = 4 << 20):
+def blocks(batches, text: str, limit: int = 1 << 20):
     """Split record batches into slices of about `limit` bytes of text, to bound memory."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
@@ -97,7 +97,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             p = np.full(size, base, _U)
             p[0] = 1

@@ -67,7 +67,7 @@ class Encoder:
     back.
     """
 
-    def __init__(self, path: str, memory: int = 700_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         from tokenizers import Tokenizer
 
@@ -111,8 +111,19 @@ class Encoder:
             young[key] = young[core] + young[tail]
         return odd
 
-    def encode(self, texts) -> list[np.ndarray]:
-        """The ids of each text; a null has none."""
+    def encode(self, texts, part: int = 1 << 20) -> list[np.ndarray]:
+        """The ids of each text; a null has none. Texts go in parts of about 1 MB, so that few
+        chunks are held at once."""
+        out, own, size = [], [], 0
+        for text in texts:
+            own.append(text)
+            size += len(text or "")
+            if size >= part:
+                out += self._encode(own)
+                own, size = [], 0
+        return out + self._encode(own)
+
+    def _encode(self, texts) -> list[np.ndarray]:
         chunks = [_keys(text) if text else [] for text in texts]
         got = [list(map(self.young.get, c)) for c in chunks]
         behind = [(k, [i for i, g in enumerate(got[k]) if g is None]) for k in range(len(got)) if None in got[k]]

@@ -51,6 +51,9 @@ def empty(spark):
 
 
 WORDS_JSON, BYTES_JSON = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = {p: Tokenizer.from_file(p) for p in (WORDS_JSON, BYTES_JSON)}
+for t in LIBRARY.values():
+    t.encode_special_tokens = True
 
 
 def labelled(df):
@@ -220,9 +223,7 @@ def test_components_of_a_chain_and_a_star(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "don't", "1", "23", "!!", ",", " ", "\x1c", " ", "的", "<|endoftext|>", "İ", "ß", "-", "\r\n", " \n "]), max_size=14).map("".join))
 def test_encoder_is_the_library(text):
-    for path in (WORDS_JSON, BYTES_JSON):
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+    for path, t in LIBRARY.items():
         assert tokens.encoder(path).encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
