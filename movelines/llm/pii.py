@@ -3,7 +3,8 @@ the score.
 
 Base kinds are fixed: email, ip (parts at most 255), card (14 to 19 digits passing Luhn) and
 phone (a plus sign, 10 to 15 digits); every confirmed match is kept whatever its score. Added
-kinds: iban (country, length and mod-97), card_group (an unbroken group of 14 to 19 digits passing
+kinds: iban (country, length and mod-97; in a country without a known length mod-97 and a word
+about accounts nearby), card_group (an unbroken group of 14 to 19 digits passing
 Luhn, where the longer match of card around it failed), card13 (13 digits passing Luhn, with a
 word about cards nearby), ssn (three groups of digits in the assigned ranges, with such a word nearby) and
 local_phone (a number without a plus sign, with a word about telephones nearby). An added span
@@ -42,8 +43,31 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _IBAN_HINT = re.compile(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]")
 _DIGITS = re.compile(r"[^0-9]")
 
-# Lengths of bank account numbers by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+# Lengths of bank account numbers by country, the whole registry.
+IBAN_LENGTHS = {
+    k: n
+    for n, names in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FK FO GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        32: "LC",
+        33: "RU",
+    }.items()
+    for k in names.split()
+}
 
 # Words that raise the score of a kind, in the text before or after it.
 CONTEXT = {
@@ -104,23 +128,27 @@ def _base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _account_end(text: str, start: int, high: int) -> int:
+    """Where the bank account number ends that begins at start, at most at high, or 0. Capital
+    words may follow it. In a country that the registry does not name any length from 15 to 34
+    will do, if a word about accounts is nearby."""
+    size = IBAN_LENGTHS.get(text[start : start + 2])
+    ends = [k + 1 for k in range(start, high) if text[k] != " "]
+    for n in (size,) if size else range(min(34, len(ends)), 14, -1):
+        if n <= len(ends) and not text[ends[n - 1] : ends[n - 1] + 1].isalnum() and mod97(text[start : ends[n - 1]].replace(" ", "")):
+            if size or score(text, "iban", start, ends[n - 1]) > PRIOR["iban"]:
+                return ends[n - 1]
+    return 0
+
+
 def _added(text: str):
     if _IBAN_HINT.search(text):
-        for m in _IBAN.finditer(text):
-            account, end = m.group(), m.end()
-            size = IBAN_LENGTHS.get(account[:2])
-            plain = account.replace(" ", "")
-            if size and len(plain) > size:  # capital words may follow: cut at the country's length
-                seen = 0
-                for k, c in enumerate(account):
-                    seen += c != " "
-                    if seen == size:
-                        end, plain = m.start() + k + 1, plain[:size]
-                        break
-                if text[end : end + 1].isalnum():
-                    continue
-            if size == len(plain) and mod97(plain):
+        m = _IBAN.search(text)
+        while m:
+            end = _account_end(text, *m.span())
+            if end:
                 yield "iban", m.start(), end
+            m = _IBAN.search(text, end or m.start() + 1)
     for run in _RUN.finditer(text):
         low, high = run.span()
         if high - low < 9:
