@@ -7,18 +7,19 @@ landmark texts of each language makes the kernel finite, and one-versus-rest rid
 that space gives a score for each language. Scoring is two matrix products for a batch of texts:
 presence bits by landmarks, then kernel values by dual weights.
 
-Training sees at most `per_language` labelled texts of each language and at most `landmarks` of
+Training sees at most `per_language` distinct labelled texts of each language and at most `landmarks` of
 them as landmarks, chosen by a seeded hash; these bounds are parameters. Only their packed
 presence bits come to the driver.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, session_ready
@@ -110,14 +111,20 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     that says `und`."""
     session_ready(labelled.sparkSession)
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = sorted(((r["n"], r[0]) for r in usable.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(max_languages).collect()), key=lambda x: x[1])
+    place = F.xxhash64(F.lit(seed), F.col(text_col)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    usable = usable.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), place.alias("_place"))
+    # a text that repeats in a language counts once
+    distinct = usable.groupBy("_lang", "_place").agg(F.lit(1)).groupBy("_lang").agg(F.count("*").alias("n"), F.min("_place").alias("least"))
+    counts = sorted(((r["n"], r["_lang"], r["least"]) for r in distinct.orderBy(F.desc("n"), "_lang").limit(max_languages).collect()), key=lambda x: x[1])
     if not counts:
         return Model([], np.zeros((0, buckets), np.uint8), np.zeros((0, 0)), np.zeros(0), buckets, top)
-    langs = [name for _, name in counts]
-    place = F.xxhash64(F.lit(seed), F.col(text_col)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
-    # twice the share that is wanted of each language, cut to the bound in order of the hash
-    share = F.coalesce(*[F.when(F.col(lang_col) == name, F.lit(min(1.0, 2.0 * per_language / n))) for n, name in counts])
-    sample = usable.filter(place < share).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), place.alias("_place"))
+    langs = [name for _, name, _ in counts]
+    # twice the share that is wanted of each language and its first text at least, cut to the
+    # bound in order of the hash
+    share = F.coalesce(*[F.when(F.col("_lang") == name, F.lit(max(min(1.0, 2.0 * per_language / n), math.nextafter(least, 2.0)))) for n, name, least in counts])
+    sample = usable.filter(F.col("_place") < share).groupBy("_lang", "_place").agg(F.first("_text").alias("_text"))
+    order = Window.partitionBy("_lang").orderBy("_place")
+    sample = sample.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("_text", "_lang", "_place")
 
     def run(batches):
         for block in blocks(batches, "_text"):
@@ -132,7 +139,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     rows = sample.mapInArrow(run, "lang string, place double, bits binary").toArrow().sort_by([("lang", "ascending"), ("place", "ascending")])
     xs, ys, chosen = [], [], []
     for k, name in enumerate(langs):
-        own = rows.filter(pa.compute.equal(rows.column("lang"), name)).slice(0, per_language).column("bits").to_pylist()
+        own = rows.filter(pa.compute.equal(rows.column("lang"), name)).column("bits").to_pylist()
         for j, raw in enumerate(own):
             if j < landmarks:
                 chosen.append(len(xs))
