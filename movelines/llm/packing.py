@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session_ready
+from .common import blocks, session_ready
 from .tokens import encoder
 
 PIECES = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -95,35 +95,49 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, group_bytes: int = 4 << 20, seed: int = 11
+    docs: DataFrame,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    capacity: int = 4096,
+    end_id: int = 2,
+    group_bytes: int = 4 << 20,
+    seed: int = 11,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, copy, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are the tokenizer's, then end_id; a null or empty text has end_id alone.
     `tokenizer` is a tokenizers JSON file that every executor has. Rows that repeat an id are
     packed as separate documents, told apart by copy (0, 1, ... among equal ids of a group).
+    Rows that repeat both id and text are spread by the partition they are read in, so however
+    many there are, a group holds no more of them than one partition. The string of a special
+    token in a text is that token, as the library has it, or text with `special_as_text`.
     Null ids are allowed. An empty table gives no pieces. Other columns are ignored.
     """
     spark = session_ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = source.agg(F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)) + 16)).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
-    spread = source.select(F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.lit(groups)).alias("group"), "_id", "_text")
+    spread = source.select(F.pmod(F.xxhash64(F.lit(seed), "_id", "_text", F.spark_partition_id()), F.lit(groups)).alias("group"), "_id", "_text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
         group = int(table.column("group")[0].as_py())
-        ids = [np.append(x, np.uint32(end_id)).astype("<u4") for x in encoder(tokenizer).encode(table.column("_text").to_pylist())]
+        parts = [encoder(tokenizer, special_as_text).encode(b.column("_text"), end_id) for b in blocks(table.combine_chunks().to_batches(), "_text")]
+        sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
+        begin, sizes = (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()
+        raw = memoryview(b"".join([tokens.tobytes() for tokens, _ in parts]))
         names = table.column("_id").to_pylist()
         copy = [0] * len(names)
         for k in range(1, len(names)):
             copy[k] = copy[k - 1] + 1 if names[k] == names[k - 1] else 0
         rows = []
-        for q, pieces in enumerate(pack([len(x) for x in ids], capacity)):
+        for q, pieces in enumerate(pack(sizes, capacity)):
             offset = 0
             for d, s, n in pieces:
-                crc = zlib.crc32(ids[d][s : s + n].tobytes())
-                rows.append((names[d], copy[d], s, n, crc, len(ids[d]), (group << 24) + q, offset))
+                at = begin[d] + s
+                rows.append((names[d], copy[d], s, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), sizes[d], (group << 24) + q, offset))
                 offset += n
         return pa.table([list(x) for x in zip(*rows)] or [[]] * 8, schema=_OUT)
 

@@ -28,191 +28,280 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch_dir, session_ready
+from .common import blocks, scratch_dir, session_ready, utf8
 
 # ---- tokenising ------------------------------------------------------------------------
 
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
-_OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-_TAIL = re.compile(r"([^ ]*[0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:]+)\Z")
-_encoders: dict[str, "Encoder"] = {}
-
-
-def _keys(text: str) -> list[str]:
-    """A text as chunks: white space, then the rest up to the next. The key of a chunk that begins
-    with one space is the chunk without it; one that begins with one newline is its own key; any
-    other has a space put before it."""
-    if "  " in text or "\n\n" in text or " \n" in text:
-        chunks = _CHUNK.findall(text)
-        return [c[1:] if c[0] == " " and c[1:2] not in ("", " ", "\n") else c if c[0] == "\n" and c[1:2] not in ("", " ", "\n") else " " + c for c in chunks]
-    keys = text.replace("\n", " \n").split(" ")
-    if keys[-1] in ("", "\n"):  # white space at the end is a chunk of its own
-        keys[-1] = "  " if keys[-1] == "" else " \n"
-    if keys[0] == "":
-        del keys[0]
-    else:
-        keys[0] = " " + keys[0]
-    return keys
+# The white space of Unicode other than space and newline, and punctuation.
+_OTHER_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_MARKS, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b".,!?;:")] = True
+_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_LONGEST = 256  # bytes of a chunk that is remembered
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
+
+
+def _chunks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All texts cut into chunks: some spaces and newlines with what follows up to the next, where
+    punctuation at the end, after a plain letter or digit, is a chunk of its own. Gives each chunk's
+    number, the distinct chunks by number, and each text's first chunk (n + 1)."""
+    if not len(buf):
+        return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
+    space, mark = (buf == 32) | (buf == 10), _MARKS[buf]
+    begin = space.copy()
+    begin[1:] &= ~space[:-1]
+    text = offsets[:-1][offsets[:-1] < len(buf)]
+    begin[text] = True
+    ends = np.append(np.flatnonzero(begin)[1:], len(buf))
+    ends = ends[mark[ends - 1]]  # of the chunks with punctuation at their ends
+    other = np.maximum.accumulate(np.where(mark, -1, np.arange(len(buf))))  # the last byte up to here that is none
+    last = other[ends - 1]
+    begin[last[(last >= 0) & _PLAIN[buf[last]]] + 1] = True
+    starts = np.flatnonzero(begin)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf))), pa.py_buffer(np.ascontiguousarray(buf))])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.searchsorted(starts, offsets)
 
 
 class Encoder:
     """The tokenizers library with a memory of chunks.
 
     Both supported tokenizer kinds split a text before merging, and never across the border
-    between a character that isn't white space and one that is, nor between a Latin
-    letter or digit and the punctuation after it. A text whose only white space is spaces and newlines is therefore
-    its chunks one after the other, each encoded by the library once; punctuation at a chunk's
-    end is encoded apart. A text with any other white space goes to the library whole. When the
-    young half of the memory is full it becomes the old half, from which chunks still in use come
-    back.
+    between a character that isn't white space and one that is, nor between a plain letter or
+    digit and the punctuation after it. A text whose only white space is spaces and newlines is
+    therefore its chunks one after the other. Arrow finds the distinct chunks of a block of texts,
+    the library encodes those that are new, and the ids of the block are gathered by chunk number.
+    A text with any other white space, or with the string of a special token, goes to the library
+    whole. When the young half of the memory is full it becomes the old half, from which chunks
+    still in use come back.
+
+    The library gives the string of a special token in a text that token's id; with
+    `special_as_text` it is ordinary text.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, special_as_text: bool = False, memory: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.library, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.joined):
+            t.no_truncation()
+            t.no_padding()
+        self.library.encode_special_tokens = special_as_text
+        self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items() if t.special}
+        self.whole = re.compile("|".join([_OTHER_SPACE, *map(re.escape, self.special)]))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.memory = memory
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, keys) -> set[str]:
-        """Bring chunks into the young memory; those with other white space are returned."""
+    def _learn(self, texts: list[str], at_once: int = 32) -> list[bytes]:
+        """The ids of each text, none of which holds a special token's string. Such a string
+        separates texts for the library, which takes them faster when joined."""
+        if not self.special:
+            return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        name, between = next(iter(self.special.items()))
+        lines = [name.join(texts[k : k + at_once]) + name for k in range(0, len(texts), at_once)]
+        ids = array("I")
+        for e in self.joined.encode_batch_fast(lines, add_special_tokens=False):
+            ids.extend(e.ids)
+        raw, cut = ids.tobytes(), np.flatnonzero(np.frombuffer(ids, "<u4") == between) * 4
+        return [raw[a:b] for a, b in zip([0, *(cut[:-1] + 4).tolist()], cut.tolist())]
+
+    def _values(self, keys: list[bytes]) -> list[bytes | None]:
+        """The ids of each distinct chunk; None where its texts must go to the library whole."""
         if len(self.young) > self.memory:
             self.young, self.old = {}, self.young
-        young, old, odd, split, new = self.young, self.old, set(), [], {}
-        for key in keys:
-            if (known := old.get(key)) is not None:
-                young[key] = known
-            elif _OTHER_SPACE.search(key):
-                odd.add(key)
-            elif m := _TAIL.match(key):
-                core, tail = m.group(1), " " + m.group(2)
-                split.append((key, core, tail))
-                for part in (core, tail):
-                    if part not in young:
-                        if (known := old.get(part)) is not None:
-                            young[part] = known
-                        else:
-                            new[part] = None
-            else:
-                new[key] = None
-        new = list(new)
-        texts = [k[1:] if k[0] == " " else k if k[0] == "\n" else " " + k for k in new]
-        for key, e in zip(new, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            young[key] = array("I", e.ids).tobytes()
-        for key, core, tail in split:
-            young[key] = young[core] + young[tail]
-        return odd
-
-    def encode(self, texts, part: int = 1 << 20) -> list[np.ndarray]:
-        """The ids of each text; a null has none. Texts go in parts of about 1 MB, so that few
-        chunks are held at once."""
-        out, own, size = [], [], 0
-        for text in texts:
-            own.append(text)
-            size += len(text or "")
-            if size >= part:
-                out += self._encode(own)
-                own, size = [], 0
-        return out + self._encode(own)
-
-    def _encode(self, texts) -> list[np.ndarray]:
-        chunks = [_keys(text) if text else [] for text in texts]
-        got = [list(map(self.young.get, c)) for c in chunks]
-        behind = [(k, [i for i, g in enumerate(got[k]) if g is None]) for k in range(len(got)) if None in got[k]]
-        odd: set[str] = set()
-        if behind:
-            odd = self._learn(dict.fromkeys(chunks[k][i] for k, at in behind for i in at))
-            for k, at in behind:
-                for i in at:
-                    got[k][i] = self.young.get(chunks[k][i])
-        whole = {k for k, at in behind if odd and not odd.isdisjoint(chunks[k])}
-        none = np.zeros(0, "<u4")
-        return [self._whole(texts[k]) if k in whole else np.frombuffer(b"".join(g), "<u4") if g else none for k, g in enumerate(got)]
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        out = list(map(self.young.get, keys))
+        missing, texts = [], []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            if (known := self.old.get(keys[k])) is not None:
+                out[k] = self.young[keys[k]] = known
+            elif not self.whole.search(text := keys[k].decode()):
+                missing.append(k)
+                texts.append(text)
+        for k, value in zip(missing, self._learn(texts)):
+            out[k] = value
+            if len(keys[k]) <= _LONGEST:
+                self.young[keys[k]] = value
+        return out
+
+    def encode(self, column: pa.Array | pa.ChunkedArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text's begin (n + 1 offsets). end_id,
+        if given, follows each text. A null has no ids of its own."""
+        buf, offsets = utf8(column)
+        n = len(offsets) - 1
+        code, distinct, first = _chunks(buf, offsets)
+        values = self._values(distinct.to_pylist())
+        text_of = np.repeat(np.arange(n), np.diff(first))
+        odd = np.fromiter((v is None for v in values), bool, len(values))
+        whole = np.unique(text_of[odd[code]])
+        if len(whole):  # one chunk of its own for each such text
+            keep = ~np.isin(text_of, whole)
+            raw = buf.tobytes()
+            values = [v or b"" for v in values] + [array("I", self.library.encode(raw[offsets[t] : offsets[t + 1]].decode(), add_special_tokens=False).ids).tobytes() for t in whole.tolist()]
+            text_of = np.concatenate((text_of[keep], whole))
+            code = np.concatenate((code[keep], len(values) - len(whole) + np.arange(len(whole))))
+            order = np.argsort(text_of, kind="stable")
+            text_of, code = text_of[order], code[order]
+        counts = np.bincount(text_of, minlength=n)
+        if end_id is not None:
+            code = np.insert(code, np.cumsum(counts), len(values))
+            values = [*values, np.array([end_id], "<u4").tobytes()]
+            counts = counts + 1
+        pool = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        at = np.cumsum(size) - size
+        length = size[code]
+        upto = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+        ids = pool[np.repeat(at[code] - upto[:-1], length) + np.arange(upto[-1])]
+        return ids, upto[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))]
+
+
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder for each worker process, file and treatment of special tokens."""
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, special_as_text)
+    return _encoders[key]
 
 
 # ---- patched frame of reference --------------------------------------------------------
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Values at `width` bits each, to whole bytes."""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(bits[:, :width], bitorder="little").tobytes()
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values at `width` bits each, lowest bit first, each row to whole bytes. Eight values
+    fill `width` bytes, so each of the eight places of such a group is shifted at once."""
+    rows, n = values.shape
+    groups = -(-n // 8)
+    lanes = np.zeros((rows, groups * 8), np.uint64)
+    lanes[:, :n] = values
+    lanes = lanes.reshape(rows, groups, 8)
+    out = np.zeros((rows, groups, width), np.uint8)
+    for k in range(8):
+        byte, bit = divmod(k * width, 8)
+        moved = lanes[:, :, k] << np.uint64(bit)
+        for j in range(-(-(bit + width) // 8)):
+            out[:, :, byte + j] |= (moved >> np.uint64(8 * j)).astype(np.uint8)
+    return out.reshape(rows, groups * width)[:, : (n * width + 7) // 8]
 
 
 def _unpack(raw: np.ndarray, n: int, width: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(raw, bitorder="little", count=n * width).reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(n)
+    """The n values of each row of bytes."""
+    rows, groups = len(raw), -(-n // 8)
+    full = np.zeros((rows, groups * width), np.uint8)
+    full[:, : raw.shape[1]] = raw
+    full = full.reshape(rows, groups, width)
+    out = np.empty((rows, groups, 8), np.uint32)
+    for k in range(8):
+        byte, bit = divmod(k * width, 8)
+        value = np.zeros((rows, groups), np.uint64)
+        for j in range(-(-(bit + width) // 8)):
+            value |= full[:, :, byte + j].astype(np.uint64) << np.uint64(8 * j)
+        out[:, :, k] = (value >> np.uint64(bit)) & np.uint64((1 << width) - 1)
+    return out.reshape(rows, groups * 8)[:, :n]
+
+
+def encode_blocks(ids: np.ndarray, share: float = 0.9) -> list[bytes]:
+    """Blocks of one length, at most 65,535 ids, given as rows. Those of equal width are packed
+    together."""
+    n = ids.shape[1]
+    low = ids.min(axis=1)
+    values = (ids - low[:, None]).astype(np.uint32)
+    rank = max(0, int(np.ceil(share * n)) - 1)
+    need = np.partition(values, rank, axis=1)[:, rank]
+    widths = np.where(need > 0, np.frexp(need.astype(np.float64))[1], 0)
+    out: list[bytes] = [b""] * len(ids)
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        limit = np.uint32((1 << width) - 1)
+        body = _pack(np.minimum(values[own], limit), width) if width else np.zeros((len(own), 0), np.uint8)
+        row, place = np.nonzero(values[own] > limit)
+        cut = np.searchsorted(row, np.arange(len(own) + 1))
+        odd = values[own[row], place].astype("<u4")
+        place = place.astype("<u2")
+        for k, b in enumerate(own.tolist()):
+            s, e = cut[k], cut[k + 1]
+            out[b] = struct.pack("<IBH", int(low[b]), width, e - s) + body[k].tobytes() + place[s:e].tobytes() + odd[s:e].tobytes()
+    return out
 
 
 def encode_block(ids: np.ndarray, share: float = 0.9) -> bytes:
     """One block of at most 65,535 ids."""
-    low = ids.min()
-    values = (ids - low).astype(np.uint32)
-    rank = max(0, int(np.ceil(share * len(values))) - 1)
-    need = np.partition(values, rank)[rank]
-    width = int(need).bit_length()
-    limit = (1 << width) - 1
-    odd = np.flatnonzero(values > limit)
-    body = _pack(np.minimum(values, np.uint32(limit)), width)
-    return struct.pack("<IBH", int(low), width, len(odd)) + body + odd.astype("<u2").tobytes() + values[odd].astype("<u4").tobytes()
+    return encode_blocks(np.asarray(ids, "<u4")[None, :], share)[0]
 
 
 def decode_block(raw: bytes, n: int) -> np.ndarray:
     low, width, odd = struct.unpack_from("<IBH", raw)
     end = 7 + (n * width + 7) // 8
-    values = _unpack(np.frombuffer(raw, np.uint8, end - 7, 7), n, width)
+    values = _unpack(np.frombuffer(raw, np.uint8, end - 7, 7)[None, :], n, width)[0] if width else np.zeros(n, np.uint32)
     if odd:
-        values = values.copy()
         values[np.frombuffer(raw, "<u2", odd, end)] = np.frombuffer(raw, "<u4", odd, end + 2 * odd)
     return values + np.uint32(low)
 
 
-def encode_segment(documents: list[np.ndarray], block: int = 1024, share: float = 0.9) -> bytes:
-    ids = np.concatenate(documents) if documents else np.zeros(0, "<u4")
-    parts = [encode_block(ids[s : s + block], share) for s in range(0, len(ids), block)]
+def encode_segment(ids: np.ndarray, offsets: np.ndarray, block: int = 1024, share: float = 0.9) -> bytes:
+    """A segment of the documents whose ids lie end to end in `ids`, beginning at `offsets`."""
+    cut = len(ids) // block * block
+    parts = encode_blocks(ids[:cut].reshape(-1, block), share) if cut else []
+    if cut < len(ids):
+        parts.append(encode_block(ids[cut:], share))
     index = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype("<u4")
-    lengths = np.asarray([len(d) for d in documents], "<u4")
-    return struct.pack("<4sIIII", b"PFR1", len(documents), len(ids), block, len(parts)) + lengths.tobytes() + index.tobytes() + b"".join(parts)
+    lengths = np.diff(offsets).astype("<u4")
+    return struct.pack("<4sIIII", b"PFR1", len(lengths), len(ids), block, len(parts)) + lengths.tobytes() + index.tobytes() + b"".join(parts)
+
+
+def _header(raw: bytes) -> tuple[int, int, int, int]:
+    magic, *counts = struct.unpack_from("<4sIIII", raw)
+    if magic != b"PFR1":
+        raise ValueError("not a segment of this format")
+    return tuple(counts)
 
 
 def segment_lengths(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4", struct.unpack_from("<4sI", raw)[1], 20)
+    return np.frombuffer(raw, "<u4", _header(raw)[0], 20)
+
+
+def _index(raw: bytes) -> tuple[np.ndarray, int]:
+    """Where each block begins and the last one ends in the body, and where the body begins."""
+    docs, _, _, count = _header(raw)
+    at = 20 + 4 * docs
+    return np.frombuffer(raw, "<u4", count + 1, at).astype(np.int64), at + 4 * (count + 1)
 
 
 def read_block(raw: bytes, k: int) -> np.ndarray:
     """Block k of a segment, found through the index."""
-    magic, docs, ids, block, count = struct.unpack_from("<4sIIII", raw)
-    if magic != b"PFR1":
-        raise ValueError("not a segment of this format")
+    _, ids, block, count = _header(raw)
     if not 0 <= k < count:
         raise IndexError(k)
-    at = 20 + 4 * docs
-    body = at + 4 * (count + 1)
-    a, b = np.frombuffer(raw, "<u4", 2, at + 4 * k)
-    return decode_block(raw[body + int(a) : body + int(b)], min(block, ids - k * block))
-
-
-def decode_segment(raw: bytes) -> list[np.ndarray]:
-    lengths = segment_lengths(raw)
-    count = struct.unpack_from("<4sIIII", raw)[4]
-    ids = np.concatenate([read_block(raw, k) for k in range(count)]) if count else np.zeros(0, np.uint32)
-    return np.split(ids.astype("<u4"), np.cumsum(lengths)[:-1].astype(np.int64)) if len(lengths) else []
+    index, body = _index(raw)
+    return decode_block(raw[body + index[k] : body + index[k + 1]], min(block, ids - k * block))
+
+
+def decode_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all documents end to end, and where each one's begin (n + 1 offsets). Full blocks
+    of equal width are unpacked together."""
+    _, n, block, count = _header(raw)
+    index, body = _index(raw)
+    data = np.frombuffer(raw, np.uint8)
+    full = n // block
+    out = np.empty(n, "<u4")
+    at = body + index[:full]
+    widths = data[at + 4]
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        size = (block * width + 7) // 8
+        packed = data[at[own, None] + 7 + np.arange(size)]
+        out[: full * block].reshape(full, block)[own] = _unpack(packed, block, width) if width else 0
+    for k in range(full):
+        low, width, odd = struct.unpack_from("<IBH", raw, at[k])
+        own = out[k * block : (k + 1) * block]
+        if odd:
+            end = at[k] + 7 + (block * width + 7) // 8
+            own[np.frombuffer(raw, "<u2", odd, end)] = np.frombuffer(raw, "<u4", odd, end + 2 * odd)
+        own += np.uint32(low)
+    for k in range(full, count):
+        out[k * block :] = read_block(raw, k)
+    return out, np.concatenate((np.zeros(1, np.int64), np.cumsum(segment_lengths(raw), dtype=np.int64)))
 
 
 # ---- writing and reading ---------------------------------------------------------------
@@ -222,10 +311,20 @@ _FILE_ARROW = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, block: int = 1024, share: float = 0.9, segment_bytes: int = 2 << 20
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 0,
+    block: int = 1024,
+    share: float = 0.9,
+    segment_bytes: int = 4 << 20,
+    special_as_text: bool = False,
 ) -> None:
     """Encode whole texts, append end_id to each, and write segments in ascending id order
-    (null ids first, equal ids by text). Null and empty texts hold end_id alone."""
+    (null ids first, equal ids by text). Null and empty texts hold end_id alone. The string of a
+    special token is that token, as the library has it, or text with `special_as_text`."""
     spark = session_ready(docs.sparkSession)
     if not 1 <= block <= 65_535:
         raise ValueError("a block holds 1 to 65,535 ids")
@@ -235,12 +334,11 @@ def write_tokens(
 
         part, before = TaskContext.get().partitionId(), 0
         for piece in blocks(batches, "_text", segment_bytes):
-            documents = [np.append(x, np.uint32(end_id)) for x in encoder(tokenizer).encode(piece.column("_text").to_pylist())]
+            tokens, offsets = encoder(tokenizer, special_as_text).encode(piece.column("_text"), end_id)
             ids = piece.column("_id")
-            n_ids = sum(map(len, documents))
-            row = (part, before, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), n_ids, encode_segment(documents, block, share))
+            row = (part, before, ids.fill_null(0).to_numpy().astype("<i8").tobytes(), np.asarray(ids.is_null()).astype(np.uint8).tobytes(), len(tokens), encode_segment(tokens, offsets, block, share))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _FILE_ARROW.types)], schema=_FILE_ARROW)
-            before += n_ids
+            before += len(tokens)
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     ordered = source.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_text")
@@ -261,12 +359,12 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                documents = decode_segment(row["payload"])
-                n = np.asarray([len(d) for d in documents], np.int64)
-                first = begin[row["part"]] + row["before"] + np.cumsum(n) - n
+                tokens, offsets = decode_segment(row["payload"])
+                first = begin[row["part"]] + row["before"] + offsets[:-1]
                 null = np.frombuffer(row["null_ids"], np.uint8) > 0
                 ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), pa.int64(), mask=null)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(first), pa.array(n), pa.array([d.tobytes() for d in documents], pa.binary())], ["id", "start", "n_tokens", "ids"])
+                own = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((4 * offsets).astype(np.int32)), pa.py_buffer(tokens)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(first), pa.array(np.diff(offsets)), own], ["id", "start", "n_tokens", "ids"])
 
     return files.drop("n_ids").mapInArrow(run, "id long, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 

@@ -2,6 +2,7 @@
 extra columns with clashing names, for every corpus operator and pipeline stage."""
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -52,7 +53,8 @@ def empty(spark):
 
 WORDS_JSON, BYTES_JSON = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = {p: Tokenizer.from_file(p) for p in (WORDS_JSON, BYTES_JSON)}
-for t in LIBRARY.values():
+LIBRARY_AS_TEXT = {p: Tokenizer.from_file(p) for p in (WORDS_JSON, BYTES_JSON)}
+for t in LIBRARY_AS_TEXT.values():
     t.encode_special_tokens = True
 
 
@@ -220,20 +222,37 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{k: 100 for k in range(100, 161)}, **{k: 7 for k in range(7, 60)}}
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "don't", "1", "23", "!!", ",", " ", "\x1c", " ", "的", "<|endoftext|>", "İ", "ß", "-", "\r\n", " \n "]), max_size=14).map("".join))
-def test_encoder_is_the_library(text):
-    for path, t in LIBRARY.items():
-        assert tokens.encoder(path).encode([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+PIECES = ["a", "B", " ", "  ", "\n", "\t", "\u00e9", "e\u0301", "'s", "don't", "1", "23", "!!", ",", "\u00a0", "\x1c", "\u2003", "的", "<|endoftext|>", "<|startoftext|>", "<|endof", "İ", "ß", "-", "\r\n", " \n "]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(PIECES), max_size=14).map("".join), max_size=6), st.booleans())
+def test_encoder_is_the_library(texts, as_text):
+    for path in (WORDS_JSON, BYTES_JSON):
+        t = (LIBRARY_AS_TEXT if as_text else LIBRARY)[path]
+        ids, offsets = tokens.encoder(path, as_text).encode(pa.array(texts, pa.string()), 7)
+        want = [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in texts]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+        ids, offsets = tokens.encoder(path, as_text).encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [w[:-1] for w in want]
+
+
+def test_encoder_forgets_and_relearns():
+    own = tokens.Encoder(WORDS_JSON, memory=3)
+    for round in range(3):
+        texts = [f"word{k} of {round}, and x{'y' * 300}" for k in range(9)]
+        ids, offsets = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [LIBRARY[WORDS_JSON].encode(x, add_special_tokens=False).ids for x in texts]
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=60), max_size=8), st.integers(1, 40), st.sampled_from([0.0, 0.5, 0.9, 1.0]))
 def test_segments_round_trip(documents, block, share):
-    documents = [np.asarray(d, "<u4") for d in documents]
-    raw = tokens.encode_segment(documents, block, share)
-    assert [d.tolist() for d in tokens.decode_segment(raw)] == [d.tolist() for d in documents]
-    whole = np.concatenate([*documents, np.zeros(0, "<u4")])
+    whole = np.asarray([x for d in documents for x in d], "<u4")
+    offsets = np.cumsum([0, *map(len, documents)])
+    raw = tokens.encode_segment(whole, offsets, block, share)
+    ids, at = tokens.decode_segment(raw)
+    assert ids.tolist() == whole.tolist() and at.tolist() == offsets.tolist()
     for k in range(-(-len(whole) // block)):
         assert tokens.read_block(raw, k).tolist() == whole[k * block : (k + 1) * block].tolist()
 
