@@ -10,6 +10,8 @@ RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 #: One move in standard algebraic notation, by syntax only.
 SAN = r"^(?:[KQRBN][a-h]?[1-8]?x?[a-h][1-8]|(?:[a-h]x)?[a-h][1-8](?:=?[QRBN])?|[O0]-[O0](?:-[O0])?)[+#]?$"
 EVAL = r"\[%eval (#?-?[0-9]+(?:\.[0-9]+)?)\]"
+DOTTED = {"dotted": r"[0-9+]*\.", "dotted_space": r"[0-9+]*\. "}
+MATING = r"[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?#"
 #: What a mate in n counts as, for White; from the last on, all count alike.
 MATES = {0: 600.0, 1: 500.0, 2: 400.0, 3: 300.0, 4: 200.0}
 
@@ -35,10 +37,13 @@ def _tokens(c: Column) -> Column:
 
 
 def strip_move_numbers(c: Column, mode: str = "token") -> Column:
-    """`inline`: from the text, wherever digits and one to three dots stand.
-    `token`: from a list, tokens that are digits and dots alone."""
+    """`inline`: from the text, wherever digits and one to three dots stand. `dotted`: from the
+    text, any dot with the digits and plus signs before it; `dotted_space`: only with a space after
+    it, which goes too. `token`: from a list, tokens that are digits and dots alone."""
     if mode == "inline":
         return F.regexp_replace(c, r"\d+\.{1,3}\s*", "")
+    if mode in DOTTED:
+        return F.regexp_replace(c, DOTTED[mode], "")
     if mode == "token":
         return F.filter(c, lambda t: ~t.rlike(r"^\d+\.+$"))
     raise ValueError(mode)
@@ -48,7 +53,7 @@ def san_moves(movetext: Column, numbers: str = "token", drop_results: bool = Tru
     """The moves of a game, without comments, variations, glyphs, numbers and result. Null text
     gives an empty list. drop_results=False keeps the result as the last token of a line."""
     text = strip_nags(strip_variations(strip_comments(F.coalesce(movetext, F.lit("")))))
-    tokens = _tokens(strip_move_numbers(text, "inline")) if numbers == "inline" else strip_move_numbers(_tokens(text))
+    tokens = strip_move_numbers(_tokens(text)) if numbers == "token" else _tokens(strip_move_numbers(text, numbers))
     tokens = F.transform(tokens, lambda t: F.rtrim(t, F.lit("?!")))
     return F.filter(tokens, lambda t: (t != "") & (~t.isin(*RESULTS) if drop_results else F.lit(True)))
 
@@ -94,6 +99,16 @@ def eval_texts(movetext: Column) -> Column:
     return F.transform(found, lambda x: F.nullif(x, F.lit("NA")))
 
 
+def brace_evals(movetext: Column) -> Column:
+    """The texts between braces, one for each, where comments are `{eval x}` or empty. An empty one
+    is null, but after a move that mates #0 (White's, which has a number before it) or #-0."""
+    text = F.replace(F.coalesce(movetext, F.lit("")), F.lit("eval "), F.lit(""))
+    text = F.replace(text, F.lit("{}"), F.lit("{NA}"))
+    text = F.regexp_replace(text, rf"(\d+\. {MATING}) \{{NA\}}", "$1 {#0}")
+    text = F.regexp_replace(text, rf"({MATING}) \{{NA\}}", "$1 {#-0}")
+    return F.transform(F.regexp_extract_all(text, F.lit(r"\{([^}]+)\}"), F.lit(1)), lambda x: F.nullif(x, F.lit("NA")))
+
+
 def game_evals(movetext: Column, moves: Column) -> Column:
     """One evaluation text for each move, as far as the text goes. A last move that mates carries
     none: #0 if White mates, #-0 if Black does."""

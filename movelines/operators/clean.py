@@ -66,20 +66,21 @@ def book_lengths(book: DataFrame) -> DataFrame:
     return book.select(m.line_key(F.col("line"), F.size("line")).alias("head"), F.size("line").alias("plies"))
 
 
-def in_opening_set(games: DataFrame, book: DataFrame, flag: str = "in_set", moves: str = "moves", max_plies: int = 8) -> DataFrame:
-    """Adds `flag`: whether the game starts with a line of the book (array column `line`). Each
-    game looks up its own prefixes of 1 to max_plies plies in the book's set of lines. The set is
-    one row: the book is a written list of lines, and its size is checked."""
-    lines = [r["head"] for r in book_lengths(book).filter(F.col("plies").between(1, max_plies)).distinct().orderBy("head").limit(MAX_BOOK + 1).collect()]
-    if len(lines) > MAX_BOOK:
-        heads = F.transform(F.sequence(F.lit(1), F.lit(max_plies)), lambda i: m.line_key(F.col(moves), i))
-        keyed = games.withColumn("_game", F.xxhash64("game_id", moves))
-        hits = keyed.select("game_id", "_game", F.explode(F.array_distinct(heads)).alias("head")).join(book_lengths(book).select("head").distinct(), "head").select("game_id", "_game").distinct()
-        return keyed.join(hits.withColumn("_hit", F.lit(True)), ["game_id", "_game"], "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_game", "_hit")
-    if not lines:
+def in_opening_set(games: DataFrame, book: DataFrame, flag: str = "in_set", moves: str = "moves") -> DataFrame:
+    """Adds `flag`: whether the game starts with a line of the book (array column `line`), of any
+    length. Each game looks up its own first plies, in the lengths that the book has, in the set of
+    lines: a list in the plan if it is short (its size is checked), else a join."""
+    lines = book_lengths(book).filter("plies > 0").distinct()
+    lengths = sorted(r["plies"] for r in lines.select("plies").distinct().collect())  # at most the longest line
+    if not lengths:
         return games.withColumn(flag, F.lit(False))
-    heads = F.transform(F.sequence(F.lit(1), F.lit(max_plies)), lambda i: m.line_key(F.col(moves), i))
-    return games.withColumn(flag, F.exists(heads, lambda h: h.isin(*lines)))
+    heads = F.array(*[F.when(F.size(moves) >= n, m.line_key(F.col(moves), F.lit(n))) for n in lengths])
+    known = [r["head"] for r in lines.select("head").orderBy("head").limit(MAX_BOOK + 1).collect()]
+    if len(known) <= MAX_BOOK:
+        return games.withColumn(flag, F.exists(heads, lambda h: F.coalesce(h.isin(*known), F.lit(False))))
+    keyed = games.withColumn("_game", F.xxhash64("game_id", moves))
+    hits = keyed.select("game_id", "_game", F.explode(F.array_distinct(heads)).alias("head")).join(lines.select("head"), "head").select("game_id", "_game").distinct()
+    return keyed.join(hits.withColumn("_hit", F.lit(True)), ["game_id", "_game"], "left").withColumn(flag, F.coalesce("_hit", F.lit(False))).drop("_game", "_hit")
 
 
 #: A longer book is joined instead of written into the plan.

@@ -3,16 +3,19 @@
 The long form (prefix_tree) is the one to use at scale: each line sends one row per prefix into
 one aggregation that is summed before the shuffle and keyed by the whole prefix. The wide form
 keeps every prefix's totals on each line's row, by windows that share one exchange on the slice
-and the first move.
+and the first plies, and one sort.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import games as g
 from ..functions import moves as m
+from ..sources.scratch import materialise
 
 SLICE = ["year", "month", "event", "rating_class"]
 COUNTS = ["white_wins", "draws", "black_wins", "total_games"]
@@ -54,15 +57,26 @@ def cut_lines(lines: DataFrame, n_moves: int = 10) -> DataFrame:
     return lines.groupBy(*SLICE, *m.move_columns(n_moves)).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def rollup_lines(lines: DataFrame, n_moves: int = 10) -> DataFrame:
+def rollup_lines(lines: DataFrame, n_moves: int = 10, spread: int = 4) -> DataFrame:
     """Adds to each line of cut_lines the four totals of each of its prefixes, as columns named
-    w1_... to b<n>_...; a null after the end of a line is a move of its own."""
+    w1_... to b<n>_...; a null after the end of a line is a move of its own.
+
+    The totals of prefixes shorter than `spread` plies are aggregated and joined. The others are
+    windows on one exchange keyed by the first `spread` plies and one sort by all of them, taken
+    from the longest prefix to the shortest, so that each finds its rows in order."""
     columns = m.move_columns(n_moves)
-    out = lines
-    for k in range(1, len(columns) + 1):
+    spread = min(spread, len(columns))
+    lines = materialise(lines)
+    out = lines.repartition(*SLICE, *columns[:spread])
+    for k in range(len(columns), spread - 1, -1):
         w = Window.partitionBy(*SLICE, *columns[:k])
         for c in COUNTS:
             out = out.withColumn(f"{columns[k - 1].lower()}_{c}", F.sum(c).over(w) if k < len(columns) else F.col(c))
+    for k in range(1, spread):
+        keys = [*SLICE, *columns[:k]]
+        own = lines.groupBy(*keys).agg(*[F.sum(c).alias(f"{columns[k - 1].lower()}_{c}") for c in COUNTS])
+        own = own.select(*[F.col(c).alias(f"_{c}") for c in keys], *[f"{columns[k - 1].lower()}_{c}" for c in COUNTS])
+        out = out.join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])).drop(*[f"_{c}" for c in keys])
     return out.drop(*COUNTS)
 
 
@@ -70,7 +84,8 @@ def move_shares(rolled: DataFrame, n_moves: int = 10) -> DataFrame:
     """Adds <ply>_move_pct: the prefix's games over those of the prefix one ply shorter."""
     columns = [c.lower() for c in m.move_columns(n_moves)]
     last = f"{columns[-1]}_total_games"
-    out = rolled.withColumn("_all", F.sum(last).over(Window.partitionBy(*SLICE)))
+    totals = rolled.groupBy(*SLICE).agg(F.sum(last).alias("_all"))
+    out = rolled.join(totals.select(*[F.col(c).alias(f"_{c}") for c in SLICE], "_all"), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SLICE])).drop(*[f"_{c}" for c in SLICE])
     for k, c in enumerate(columns):
         before = F.col(f"{columns[k - 1]}_total_games") if k else F.col("_all")
         out = out.withColumn(f"{c}_move_pct", F.col(f"{c}_total_games") / before)

@@ -87,7 +87,7 @@ def _valued(ready: DataFrame, values: DataFrame | None, perspective: str, weight
 
 
 def backward_induction(
-    edges: DataFrame, priors: DataFrame, perspective: str, prior_strength: float = 30.0, forcing_weight: float = 0.0, levels: bool = True, max_rounds: int = 200
+    edges: DataFrame, priors: DataFrame, perspective: str, prior_strength: float = 30.0, forcing_weight: float = 0.0, levels: bool = True
 ) -> DataFrame:
     """(event, elo_band, parent_key, parent_state, side, value, best_move, forcingness): one row per
     position. Our turn: the child with the largest sign * value + weight * forcingness, ties by move;
@@ -98,7 +98,7 @@ def backward_induction(
         raise ValueError(perspective)
     reply = forcingness(edges).withColumnRenamed("parent_key", "child_key").withColumnRenamed("forcingness", "child_forcingness")
     full = leaf_values(edges, priors, prior_strength).join(reply, [*SLICE, "child_key"], "left").fillna(0.0, ["child_forcingness"])
-    full = materialise(full)
+    full = materialise(full, by="ply" if levels else None)
     done: list[DataFrame] = []
     if levels:
         values = None
@@ -108,7 +108,7 @@ def backward_induction(
             done.append(values)
         return reduce(DataFrame.union, done) if done else _valued(full, None, perspective, forcing_weight)
     left = full
-    for _ in range(max_rounds):
+    while True:  # until no position is ready; each round values one at least
         nodes = left.select(*NODE).distinct().withColumnRenamed("parent_key", "child_key")
         waiting = left.join(nodes, [*SLICE, "child_key"], "left_semi").select(*NODE).distinct()
         ready = left.join(waiting, NODE, "left_anti")
@@ -116,9 +116,11 @@ def backward_induction(
         now = materialise(_valued(ready, values, perspective, forcing_weight))
         if now.isEmpty():
             break
-        done = [materialise(values.union(now))] if done else [now]
+        done.append(now)
+        if len(done) > 8:  # many small tables become one
+            done = [materialise(reduce(DataFrame.union, done))]
         left = materialise(left.join(now.select(*NODE), NODE, "left_anti"))
-    values = done[0] if done else None
+    values = reduce(DataFrame.union, done) if done else None
     rest = _valued(left, values, perspective, forcing_weight)
     return values.union(rest) if values is not None else rest
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,18 @@ def reachable(repertoire: DataFrame, edges: DataFrame, perspective: str, opp_min
     ours = F.col("side") == perspective[0]
     open_moves = nodes.withColumnRenamed("side", "to_move").join(edges.select(*NODE, "move_san", "child_key", "total", "side"), NODE)
     steps = materialise(open_moves.filter((ours & (F.col("move_san") == F.col("best_move"))) | (~ours & (F.col("total") >= opp_min_games))).select(*NODE, "child_key").distinct())
-    names = nodes.select(*NODE, "parent_state")
-    frontier = materialise(names.filter(F.col("parent_key") == m.key64(F.lit(start))).withColumn("depth", F.lit(0)))
-    seen = frontier
+    names, known = nodes.select(*NODE, "parent_state"), nodes.select(*NODE)
+    frontier = materialise(known.filter(F.col("parent_key") == m.key64(F.lit(start))).withColumn("depth", F.lit(0)))
+    found = [frontier]
     for depth in range(1, max_depth + 1):
         after = frontier.join(steps, NODE).select(*SLICE, F.col("child_key").alias("parent_key")).distinct()
-        frontier = materialise(after.join(seen, NODE, "left_anti").join(names, NODE).select(*NODE, "parent_state", F.lit(depth).alias("depth")))
+        new = after.join(reduce(DataFrame.union, found), NODE, "left_anti").join(known, NODE, "left_semi")
+        frontier = materialise(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = materialise(seen.union(frontier))
-    return seen
+        found.append(frontier)
+    # the texts of the states come in once, at the end
+    return reduce(DataFrame.union, found).join(names, NODE).select(*NODE, "parent_state", "depth")
 
 
 def reachable_states(found: DataFrame) -> DataFrame:

@@ -69,9 +69,11 @@ def book(spark: SparkSession, lines=BOOK) -> DataFrame:
     return spark.createDataFrame([(x.split(" "),) for x in lines], "line array<string>")
 
 
-def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def event_graph(spark: SparkSession, sf_dir: str, ends: bool = False) -> tuple[DataFrame, DataFrame]:
     """A cyclic graph: one user's consecutive events of a day are edges between event types. The
-    slice is the day of the week. Returns (edges, priors)."""
+    slice is the day of the week. With `ends`, a day also leads from `start` to its first event and
+    from its last one to `end` and `close`: a tail before the cycles and one after them. Returns
+    (edges, priors)."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     types = events.select("event_type").distinct()
@@ -79,6 +81,12 @@ def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     place = types.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("event_type")))
     steps = events.select("event_type", "value", F.date_format("ts", "E").alias("day"), F.lead("event_type").over(w).alias("child"))
     middle = events.agg(F.avg("value")).first()[0]
+    if ends:
+        first = events.withColumn("n", F.row_number().over(w)).filter("n = 1").select(F.lit("start").alias("event_type"), "value", F.date_format("ts", "E").alias("day"), F.col("event_type").alias("child"))
+        last = steps.filter("child is null")
+        close = last.select(F.lit("end").alias("event_type"), "value", "day", F.lit("close").alias("child"))
+        steps = steps.fillna("end", ["child"]).unionByName(first).unionByName(close)
+        place = place.unionByName(spark.createDataFrame([("start", 1), ("end", 2)], "event_type string, n int"))
     steps = steps.filter("child is not null").withColumn("score", F.when(F.col("value") > middle, 1.0).otherwise(0.0))
     own = steps.groupBy(F.col("day").alias("event"), F.lit(0).alias("elo_band"), "event_type", "child").agg(F.count("*").alias("total"), F.sum("score").alias("s"))
     own = own.join(place, "event_type").withColumn("side", F.when(F.col("n") % 2 == 1, "w").otherwise("b"))

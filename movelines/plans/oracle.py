@@ -34,6 +34,8 @@ def _tokens(numbers: str, drop: bool) -> str:
     text = r"regexp_replace(regexp_replace(regexp_replace(coalesce(movetext, ''), '\{[^}]*\}', '', 'g'), '\([^)]*\)', '', 'g'), '\$\d+', '', 'g')"
     if numbers == "inline":
         text = rf"regexp_replace({text}, '\d+\.{{1,3}}\s*', '', 'g')"
+    if numbers in m.DOTTED:
+        text = f"regexp_replace({text}, {_q(m.DOTTED[numbers])}, '', 'g')"
     out = rf"string_split(trim(regexp_replace({text}, '\s+', ' ', 'g')), ' ')"
     if numbers == "token":
         out = rf"list_filter({out}, lambda t: NOT regexp_matches(t, '^\d+\.+$'))"
@@ -60,6 +62,12 @@ _outcome = "CASE result WHEN '1-0' THEN 'white_wins' WHEN '0-1' THEN 'black_wins
 _value = "CASE WHEN {0} LIKE '#%' THEN CASE WHEN {0} LIKE '#-%' THEN -1 ELSE 1 END * CASE abs(CAST(substr({0}, 2) AS INT)) WHEN 0 THEN 600.0 WHEN 1 THEN 500.0 WHEN 2 THEN 400.0 WHEN 3 THEN 300.0 ELSE 200.0 END ELSE TRY_CAST({0} AS DOUBLE) END"
 
 
+def _mean(value: str, weight: str = "1") -> str:
+    """In whole millionths, half away from zero."""
+    s, n = f"sum(CAST(round({value} * 1000000) AS BIGINT) * {weight})", f"(sum({weight}) FILTER ({value} IS NOT NULL))"
+    return f"CAST(CASE WHEN {s} < 0 THEN -1 ELSE 1 END * ((2 * abs({s}) + {n}) // (2 * {n})) AS DOUBLE) / 1000000::DOUBLE"
+
+
 def _evals(text: str, moves: str) -> str:
     found = rf"list_transform(regexp_extract_all(regexp_replace(coalesce({text}, ''), '\{{\s*\}}', '{{ [%eval NA] }}', 'g'), '\[%eval (#?-?[0-9]+(?:\.[0-9]+)?|NA)\]', 1), lambda e: nullif(e, 'NA'))"
     return f"CASE WHEN len({moves}) > 0 AND {moves}[-1] LIKE '%#' AND len({found}) = len({moves}) - 1 THEN list_append({found}, CASE WHEN len({moves}) % 2 = 1 THEN '#0' ELSE '#-0' END) ELSE {found} END"
@@ -124,9 +132,9 @@ STEPS: dict[str, str] = {
 _E20 = m.eval_columns(10)
 STEPS |= {
     "lineevals": f"""SELECT line, {', '.join(_E20)}, {', '.join(f"CAST(sum(CASE WHEN outcome = '{r}' THEN n ELSE 0 END) AS BIGINT) AS {r}" for r in COUNTS[:3])}, CAST(sum(n) AS BIGINT) AS total_games FROM (
-        SELECT mv[1:20] AS line, {_outcome} AS outcome, count(*) AS n, {', '.join(f'round(avg(vals[{k + 1}]), 6) AS {c}' for k, c in enumerate(_E20))} FROM evald WHERE {_outcome} IS NOT NULL GROUP BY mv[1:20], {_outcome}) GROUP BY ALL""",
+        SELECT mv[1:20] AS line, {_outcome} AS outcome, count(*) AS n, {', '.join(f'{_mean(f"vals[{k + 1}]")} AS {c}' for k, c in enumerate(_E20))} FROM evald WHERE {_outcome} IS NOT NULL GROUP BY mv[1:20], {_outcome}) GROUP BY ALL""",
     "lineprefixes": f"SELECT CAST(ply AS INT) AS ply, array_to_string(line[1:ply], ' ') AS prefix, ([{', '.join(_E20)}])[ply] AS v, {', '.join(COUNTS)} FROM (SELECT *, unnest(generate_series(1, len(line))) AS ply FROM lineevals)",
-    "pevals": "SELECT prefix, round(avg(v), 6) AS numeric_eval, count(*) AS games FROM (SELECT array_to_string(mv[1:i], ' ') AS prefix, vals[i] AS v FROM (SELECT *, unnest(generate_series(1, least(len(mv), 40))) AS i FROM evald WHERE len(mv) = len(evals) AND len(mv) > 0)) GROUP BY prefix",
+    "pevals": f"SELECT prefix, {_mean('v')} AS numeric_eval, count(*) AS games FROM (SELECT array_to_string(mv[1:i], ' ') AS prefix, vals[i] AS v FROM (SELECT *, unnest(generate_series(1, least(len(mv), 40))) AS i FROM evald WHERE len(mv) = len(evals) AND len(mv) > 0)) GROUP BY prefix",
     "edges": _edge_step(_state),
     "stats": _stat_step("edges", MIN_GAMES),
     "graph": "SELECT event, elo_band, parent_key, child_key, move_san, right(parent_state, 1) AS side, ply, total, white_score_avg, parent_state FROM stats WHERE elo_band IS NOT NULL AND child_key IS NOT NULL",
@@ -230,8 +238,8 @@ QUERIES: dict[str, str] = {
     "eval_value": f"SELECT *, {_value.format('eval')} AS value FROM (SELECT eval, count(*) AS n FROM (SELECT unnest(evals) AS eval FROM evald) GROUP BY eval)",
     "wide_evals": f"SELECT game_id, {', '.join(f'vals[{k + 1}] AS {c}' for k, c in enumerate(m.eval_columns(20)))} FROM evald",
     "line_evals": f"SELECT coalesce(array_to_string(line, ' '), '') AS line_text, {', '.join(COUNTS)}, {', '.join(_E20)} FROM lineevals",
-    "eval_rollup_leaf": f"SELECT ply, prefix, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTS)}, round(avg(v), 6) AS mean_eval FROM lineprefixes GROUP BY ply, prefix",
-    "eval_rollup_game": f"SELECT ply, prefix, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTS)}, round(sum(v * total_games) / sum(total_games) FILTER (v IS NOT NULL), 6) AS mean_eval FROM lineprefixes GROUP BY ply, prefix",
+    "eval_rollup_leaf": f"SELECT ply, prefix, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTS)}, {_mean('v')} AS mean_eval FROM lineprefixes GROUP BY ply, prefix",
+    "eval_rollup_game": f"SELECT ply, prefix, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in COUNTS)}, {_mean('v', 'total_games')} AS mean_eval FROM lineprefixes GROUP BY ply, prefix",
     "prefix_evals": "SELECT * FROM pevals",
     "prefix_evals_wide": f"SELECT prefix, numeric_eval, {', '.join(f'w[{k + 1}] AS {c}' for k, c in enumerate(m.move_columns(20)))} FROM (SELECT *, string_split(prefix, ' ') AS w FROM pevals)",
     "position_edges": "SELECT * FROM edges",
@@ -276,6 +284,27 @@ STEPS |= {
 }
 QUERIES["induction_cycles"] = "SELECT event, elo_band, parent_key, parent_state, side, round(value, 6) AS value, best_move, round(forcingness, 6) AS forcingness FROM (" + _valued("evleaves", None, "white", 0.0) + ")"
 
+STEPS |= {
+    "alltypes": "SELECT event_type, row_number() OVER (ORDER BY event_type) AS n FROM (SELECT DISTINCT event_type FROM events) UNION ALL VALUES ('start', 1), ('end', 2)",
+    "evall": """SELECT event_type, value, day, coalesce(child, 'end') AS child FROM evsteps UNION ALL SELECT 'end', value, day, 'close' FROM evsteps WHERE child IS NULL UNION ALL
+        SELECT 'start', value, strftime(ts, '%a'), event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events) WHERE i = 1""",
+    "tailedges": """SELECT day AS event, 0 AS elo_band, event_type AS parent_key, child AS child_key, child AS move_san, CASE WHEN n % 2 = 1 THEN 'w' ELSE 'b' END AS side, total, s / total AS avg_, event_type AS parent_state FROM
+        (SELECT day, event_type, child, count(*) AS total, sum(CASE WHEN value > (SELECT avg(value) FROM events) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS s FROM evall GROUP BY ALL) JOIN alltypes USING (event_type)""",
+    "tailleaves": """SELECT e.*, (30.0 * 0.5 + avg_ * total) / (30.0 + total) AS leaf_value, coalesce(cf, 0.0) AS cf FROM tailedges e LEFT JOIN (SELECT event AS e2, parent_key AS k2, sum(total::DOUBLE * total) / (sum(total::DOUBLE) * sum(total::DOUBLE)) AS cf FROM tailedges GROUP BY ALL) ON event = e2 AND child_key = k2""",
+    "tailend": _valued("(SELECT * FROM tailleaves WHERE parent_key = 'end')", None, "white", 0.0),
+    "tailrest": _valued("(SELECT * FROM tailleaves WHERE parent_key <> 'end')", "tailend", "white", 0.0),
+}
+QUERIES["induction_tails"] = _SHOWN + "(SELECT * FROM tailend UNION ALL SELECT * FROM tailrest)"
+_BRACED = r"regexp_replace(regexp_replace(movetext, '\{ \[%eval ([^\]]*)\] \}', '{eval \1}', 'g'), '\{ \[%clk [^}]*\}', '{}', 'g')"
+QUERIES |= {
+    "tokens_dotted": f"SELECT game_id, coalesce(array_to_string({_tokens('dotted', True)}, ' '), '') AS moves, coalesce(array_to_string({_tokens('dotted_space', True)}, ' '), '') AS moves_spaced FROM games",
+    "strip_clocks": r"SELECT game_id, regexp_replace(movetext, ' ?\[%clk \d+:\d+:\d+\] ?', '', 'g') AS movetext FROM games",
+    "eval_braces": rf"""SELECT game_id, coalesce(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), 'eval ', ''), '{{}}', '{{NA}}'), '(\d+\. {m.MATING}) \{{NA\}}', '\1 {{#0}}', 'g'), '({m.MATING}) \{{NA\}}', '\1 {{#-0}}', 'g'), '\{{([^}}]+)\}}', 1), ' '), '') AS evals
+        FROM (SELECT game_id, regexp_replace({_BRACED}, ' \{{\}} (1-0|0-1|1/2-1/2|\*)$', '# {{}} \1') AS text FROM games)""",
+    "edge_folder_scan": "SELECT event, count(*) AS edges, CAST(sum(ply) AS BIGINT) AS plies FROM edges GROUP BY event",
+    "stats_sink_roundtrip": "SELECT event, elo_band, count(*) AS rows, CAST(sum(total) AS BIGINT) AS games FROM stats GROUP BY ALL",
+}
+
 _RECURSIVE = {"walk", "reach"}
 
 

@@ -9,9 +9,10 @@ from ..sources import tables
 from ..sources.scratch import materialise
 
 
-def build_repertoire(raw: DataFrame, perspective: str, year_range=None, games_per_partition: int | None = 200_000, min_games: int = 10, max_ply: int = 30, prior_strength: float = 30.0, prior_games: int = 100, forcing_weight: float = 0.0, out: str | None = None) -> DataFrame:
+def build_repertoire(raw: DataFrame, perspective: str, year_range=None, games_per_partition: int | None = None, min_games: int = 10, max_ply: int = 30, prior_strength: float = 30.0, prior_games: int = 100, forcing_weight: float = 0.0, out: str | None = None) -> DataFrame:
     """Clean, extract edges, aggregate, induce. A stage that fails stops the rest by its exception.
-    With `out`, every stage's table is also kept there."""
+    With `out`, every stage's table is also kept there. games_per_partition, if given, takes only
+    that many games of each partition. The result is in order of slice and position."""
     games = clean.clean_games(raw)
     if year_range:
         games = tables.select_partitions(games, year_range=year_range)
@@ -28,4 +29,4 @@ def build_repertoire(raw: DataFrame, perspective: str, year_range=None, games_pe
     if out:
         tables.write_table(result, f"{out}/repertoire_{perspective}")
         result = tables.read_stats(raw.sparkSession, f"{out}/repertoire_{perspective}")
-    return result
+    return result.orderBy(*induction.NODE)

@@ -16,22 +16,6 @@ from .pipeline import build_repertoire
 #: At this many games a (position, move) counts in the induction queries.
 MIN_GAMES = 2
 
-_kept: dict[tuple, DataFrame] = {}
-
-
-def forget() -> None:
-    """Drop what one query has left for the next."""
-    _kept.clear()
-
-
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Tables that several queries share are written once for a session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = materialise(build())
-    return _kept[key]
-
-
 def games(spark, sf_dir) -> DataFrame:
     return clean.clean_games(fixtures.raw_games(spark, sf_dir))
 
@@ -41,30 +25,27 @@ def _edges(spark, sf_dir, **options):
 
 
 def _stats(spark, sf_dir):
-    return _once(spark, sf_dir, "stats", lambda: stats.position_stats(_edges(spark, sf_dir), MIN_GAMES))
+    return materialise(stats.position_stats(_edges(spark, sf_dir), MIN_GAMES))
 
 
 def _graph(spark, sf_dir):
     return induction.graph_edges(_stats(spark, sf_dir))
 
 
-def _repertoire(spark, sf_dir, perspective, weight=0.0):
-    def build():
-        return induction.backward_induction(_graph(spark, sf_dir), induction.slice_priors(_stats(spark, sf_dir)), perspective, forcing_weight=weight)
-
-    return _once(spark, sf_dir, f"repertoire {perspective} {weight}", build)
+def _repertoire(spark, sf_dir, perspective="white", weight=0.0) -> tuple[DataFrame, DataFrame]:
+    """The repertoire and the edges it comes from, both stored."""
+    own = _stats(spark, sf_dir)
+    graph = induction.graph_edges(own)
+    return materialise(induction.backward_induction(graph, induction.slice_priors(own), perspective, forcing_weight=weight)), graph
 
 
 def _cache(spark, sf_dir):
-    def build():
-        first = safety.evals_from_games(games(spark, sf_dir))
-        return safety.merge_evals(first, fixtures.second_batch(first))
-
-    return _once(spark, sf_dir, "cache", build)
+    first = materialise(safety.evals_from_games(games(spark, sf_dir)))
+    return safety.merge_evals(first, fixtures.second_batch(first))
 
 
 def _annotated(spark, sf_dir, perspective):
-    return safety.annotate(_repertoire(spark, sf_dir, perspective), _cache(spark, sf_dir), perspective)
+    return safety.annotate(_repertoire(spark, sf_dir, perspective)[0], _cache(spark, sf_dir), perspective)
 
 
 def _shown(repertoire: DataFrame) -> DataFrame:
@@ -98,6 +79,19 @@ def write_partitioned_roundtrip(spark, sf_dir):
     return tables.read_games(spark, path, ["year", "month", "event", "game_id", "white_score"]).groupBy("year", "month", "event").agg(F.count("*").alias("games"), F.sum("white_score").alias("score"))
 
 
+def edge_folder_scan(spark, sf_dir):
+    """Edge files in a folder for each partition, read as one table."""
+    path = scratch_dir(spark)
+    tables.write_partitioned(_edges(spark, sf_dir), path)
+    return tables.read_edges(spark, path).groupBy("event").agg(F.count("*").alias("edges"), F.sum("ply").alias("plies"))
+
+
+def stats_sink_roundtrip(spark, sf_dir):
+    path = scratch_dir(spark)
+    tables.write_table(stats.position_stats(_edges(spark, sf_dir), MIN_GAMES), path)
+    return tables.read_stats(spark, path).groupBy("event", "elo_band").agg(F.count("*").alias("rows"), F.sum("total").alias("games"))
+
+
 def run_summary(spark, sf_dir):
     return edges.run_summary(games(spark, sf_dir))
 
@@ -152,6 +146,15 @@ def tokens_keep_result(spark, sf_dir):
     return games(spark, sf_dir).select("game_id", F.array_join(m.san_moves(F.col("movetext"), "inline", False), " ").alias("moves"))
 
 
+def tokens_dotted(spark, sf_dir):
+    text = F.col("movetext")
+    return games(spark, sf_dir).select("game_id", F.array_join(m.san_moves(text, "dotted"), " ").alias("moves"), F.array_join(m.san_moves(text, "dotted_space"), " ").alias("moves_spaced"))
+
+
+def strip_clocks(spark, sf_dir):
+    return games(spark, sf_dir).select("game_id", m.strip_clocks(F.col("movetext")).alias("movetext"))
+
+
 def wide_moves(spark, sf_dir):
     return games(spark, sf_dir).withColumn("moves", m.san_moves(F.col("movetext"))).select("game_id", *m.wide_moves(F.col("moves"), 20))
 
@@ -213,7 +216,7 @@ def line_share(spark, sf_dir):
 
 
 def _tree(spark, sf_dir):
-    return _once(spark, sf_dir, "tree", lambda: explorer.prefix_tree(materialise(explorer.line_counts(games(spark, sf_dir))), 20))
+    return explorer.prefix_tree(materialise(explorer.line_counts(games(spark, sf_dir))), 20)
 
 
 def prefix_tree(spark, sf_dir):
@@ -232,6 +235,13 @@ def eval_strings(spark, sf_dir):
     return own.select("game_id", F.array_join("evals", " ", "NA").alias("evals"))
 
 
+def eval_braces(spark, sf_dir):
+    """Move text with comments of the form {eval x} or {}, the last move mating, made from the games' own."""
+    text = F.regexp_replace(F.regexp_replace("movetext", r"\{ \[%eval ([^\]]*)\] \}", "{eval $1}"), r"\{ \[%clk [^}]*\}", "{}")
+    text = F.regexp_replace(text, r" \{\} (1-0|0-1|1/2-1/2|\*)$", "# {} $1")
+    return games(spark, sf_dir).select("game_id", F.array_join(m.brace_evals(text), " ", "NA").alias("evals"))
+
+
 def eval_mates(spark, sf_dir):
     """Move text whose last move mates and carries no evaluation, made from the games' own."""
     own = games(spark, sf_dir).filter("has_eval")
@@ -331,7 +341,8 @@ def slice_priors(spark, sf_dir):
 
 
 def leaf_values(spark, sf_dir):
-    own = induction.leaf_values(_graph(spark, sf_dir), induction.slice_priors(_stats(spark, sf_dir)))
+    found = _stats(spark, sf_dir)
+    own = induction.leaf_values(induction.graph_edges(found), induction.slice_priors(found))
     return own.select("event", "elo_band", "parent_key", "move_san", F.round("leaf_value", 6).alias("leaf_value"))
 
 
@@ -340,15 +351,15 @@ def forcingness(spark, sf_dir):
 
 
 def repertoire_white(spark, sf_dir):
-    return _shown(_repertoire(spark, sf_dir, "white"))
+    return _shown(_repertoire(spark, sf_dir, "white")[0])
 
 
 def repertoire_black(spark, sf_dir):
-    return _shown(_repertoire(spark, sf_dir, "black"))
+    return _shown(_repertoire(spark, sf_dir, "black")[0])
 
 
 def repertoire_forcing(spark, sf_dir):
-    return _shown(_repertoire(spark, sf_dir, "white", 0.2))
+    return _shown(_repertoire(spark, sf_dir, "white", 0.2)[0])
 
 
 def induction_cycles(spark, sf_dir):
@@ -358,26 +369,33 @@ def induction_cycles(spark, sf_dir):
 
 def induction_rounds(spark, sf_dir):
     """The general rounds on the levelled graph: the same values as the levelled form."""
-    return _shown(induction.backward_induction(_graph(spark, sf_dir), induction.slice_priors(_stats(spark, sf_dir)), "white", levels=False))
+    own = _stats(spark, sf_dir)
+    return _shown(induction.backward_induction(induction.graph_edges(own), induction.slice_priors(own), "white", levels=False))
+
+
+def induction_tails(spark, sf_dir):
+    """A graph with cycles, a tail before them and one after them."""
+    graph, priors = fixtures.event_graph(spark, sf_dir, ends=True)
+    return _shown(induction.backward_induction(materialise(graph), priors, "white", levels=False))
 
 
 def recommended_first_moves(spark, sf_dir):
-    return induction.recommended_first_moves(_repertoire(spark, sf_dir, "white"))
+    return induction.recommended_first_moves(_repertoire(spark, sf_dir)[0])
 
 
 def largest_slice(spark, sf_dir):
-    return induction.largest_slice(_repertoire(spark, sf_dir, "white"))
+    return induction.largest_slice(_repertoire(spark, sf_dir)[0])
 
 
 def best_lines(spark, sf_dir):
-    return induction.best_lines(_repertoire(spark, sf_dir, "white"), _graph(spark, sf_dir))
+    return induction.best_lines(*_repertoire(spark, sf_dir))
 
 
 # ---- safety ----------------------------------------------------------------------------
 
 
 def _reachable(spark, sf_dir):
-    return _once(spark, sf_dir, "reachable", lambda: safety.reachable(_repertoire(spark, sf_dir, "white"), _graph(spark, sf_dir), "white", opp_min_games=3))
+    return safety.reachable(*_repertoire(spark, sf_dir), "white", opp_min_games=3)
 
 
 def reachable(spark, sf_dir):
@@ -425,15 +443,15 @@ def worst_positions(spark, sf_dir):
 
 
 _NAMES = """
-partition_catalog select_partitions pending_partitions limit_per_partition write_partitioned_roundtrip run_summary
+partition_catalog select_partitions pending_partitions limit_per_partition write_partitioned_roundtrip edge_folder_scan stats_sink_roundtrip run_summary
 pipeline_white pipeline_black
 clean_games analysis_subset
-tokens tokens_keep_result wide_moves opening_set_split truncate_by_opening parse_failures eval_alignment
+tokens tokens_keep_result tokens_dotted strip_clocks wide_moves opening_set_split truncate_by_opening parse_failures eval_alignment
 explorer_lines explorer_pivot lines_b10 line_rollup move_share line_share prefix_tree top_moves
-eval_strings eval_mates eval_value wide_evals line_evals eval_rollup_leaf eval_rollup_game prefix_evals prefix_evals_wide
+eval_strings eval_braces eval_mates eval_value wide_evals line_evals eval_rollup_leaf eval_rollup_game prefix_evals prefix_evals_wide
 position_edges position_edges_path position_edges_supplied edges_ply_cap ply_convergence first_moves
 position_stats position_stats_min stats_coverage rows_per_event top_first_moves
-slice_priors leaf_values forcingness repertoire_white repertoire_black repertoire_forcing induction_cycles induction_rounds
+slice_priors leaf_values forcingness repertoire_white repertoire_black repertoire_forcing induction_cycles induction_tails induction_rounds
 recommended_first_moves largest_slice best_lines
 reachable reachable_states pending_evals merge_evals evals_from_games
 annotate_white annotate_black safety_summary unsafe_first_moves worst_positions

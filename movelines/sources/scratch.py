@@ -22,8 +22,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/movelines/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
+def materialise(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read back. Survives lost executors. With
+    `by`, a column of few values, a filter on it reads only what it needs."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -41,10 +41,18 @@ def test_overwriting_replaces_only_the_partitions_written(spark):
     path = scratch_dir(spark)
     first = spark.createDataFrame([(1, 1, "a", 10), (2, 1, "a", 20)], "year int, month int, event string, x int")
     tables.write_partitioned(first, path)
-    tables.write_partitioned(first.filter("year = 2").withColumn("x", F.lit(21)), path, files=3)
+    tables.write_partitioned(first.filter("year = 2").withColumn("x", F.lit(21)), path)
     assert sorted((r["year"], r["x"]) for r in tables.read_games(spark, path).collect()) == [(1, 10), (2, 21)]
 
 
+def test_large_partitions_get_several_files(spark):
+    path = scratch_dir(spark)
+    many = spark.range(1000).select(F.lit(1).alias("year"), F.lit(1).alias("month"), F.when(F.col("id") < 990, "a").alias("event"), F.col("id").alias("x"))
+    tables.write_partitioned(many, path, max_rows=100)
+    files = tables.read_games(spark, path).groupBy("event", F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in files) == 1000 and max(r["n"] for r in files) <= 100
+
+
 def test_resume(spark, games):
     catalog = tables.partition_catalog(games)
     assert tables.pending_partitions(catalog, catalog).count() == 0
@@ -111,8 +119,17 @@ def test_chain_returns_its_leaf_and_ties_go_by_move(spark):
     assert black[1]["value"] == pytest.approx(0.7) and black[2]["best_move"] == "k"
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 14
+    g = graph(spark, [(k, k + 1, "m", "w", k, 5, 0.9 if k == n else 0.1, f"s{k}") for k in range(1, n + 1)])
+    priors = spark.createDataFrame([("E", 1, 0.5)], "event string, elo_band int, prior double")
+    for levels in (True, False):
+        rows = induction.backward_induction(g, priors, "white", prior_strength=0, levels=levels).collect()
+        assert {r["parent_key"]: r["value"] for r in rows} == {k: pytest.approx(0.9) for k in range(1, n + 1)}
+
+
 def test_values_and_best_moves_belong_to_the_graph(spark):
-    rep, own = queries._repertoire(spark, SF, "white"), queries._graph(spark, SF)
+    rep, own = queries._repertoire(spark, SF)
     assert rep.filter("value < 0 or value > 1").count() == 0
     best = rep.filter("best_move is not null")
     assert best.join(own, (best.parent_key == own.parent_key) & (best.event == own.event) & (best.elo_band == own.elo_band) & (best.best_move == own.move_san), "left_anti").count() == 0
@@ -134,7 +151,7 @@ def test_cache_upsert_and_pending(spark):
 
 
 def test_annotation_has_three_values_and_works_with_an_empty_cache(spark):
-    rep = queries._repertoire(spark, SF, "white")
+    rep = queries._repertoire(spark, SF)[0]
     empty = spark.createDataFrame([], "state string, depth long, cp long, engine_best_uci string, evaluated_at timestamp")
     out = safety.annotate(rep, empty, "white")
     assert out.count() == rep.count() and out.filter("is_safe is not null").count() == 0
@@ -149,15 +166,47 @@ def test_long_books_are_joined(spark, games, monkeypatch):
     assert count() == short
 
 
+@pytest.mark.parametrize("limit", [1_000, 0])
+def test_books_have_lines_of_any_length(spark, monkeypatch, limit):
+    monkeypatch.setattr(clean, "MAX_BOOK", limit)
+    line = "e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7 Re1".split()
+    own = spark.createDataFrame([("long", line + ["b5"]), ("short", line[:9]), ("other", ["d4"]), ("none", [])], "game_id string, moves array<string>")
+    for n, want in ((9, {"long", "short"}), (11, {"long"})):
+        book = spark.createDataFrame([(line[:n],), ([],)], "line array<string>")
+        assert {r["game_id"] for r in clean.in_opening_set(own, book).filter("in_set").collect()} == want
+    assert clean.in_opening_set(own, book.limit(0)).filter("in_set").count() == 0
+
+
+def test_means_do_not_depend_on_order(spark):
+    rows = [(k, v) for k, v in enumerate([0.1, 1e-6, 599.999999, -600.0, None, 0.000001, 3.25] * 40)]
+    d = spark.createDataFrame(rows, "k long, v double")
+    one = d.repartition(1).agg(evals.exact_mean(F.col("v")).alias("m")).first()["m"]
+    for n in (2, 7, 13):
+        assert d.repartition(n, "k").agg(evals.exact_mean(F.col("v")).alias("m")).first()["m"] == one
+    halves = spark.createDataFrame([(0.000001,), (0.0,), (None,)], "v double")
+    assert halves.agg(evals.exact_mean(F.col("v")), evals.exact_mean(-F.col("v"))).first() == (0.000001, -0.000001)
+    assert halves.filter("v is null").agg(evals.exact_mean(F.col("v"))).first()[0] is None
+
+
 def test_merged_line_evals_have_one_row_for_each_line(games):
     merged = evals.line_evals(games, 3, merge=True)
     assert merged.count() == merged.select("line_text").distinct().count()
     assert evals.line_evals(games, 3).agg(F.sum("total_games")).first()[0] == merged.agg(F.sum("total_games")).first()[0]
 
 
+def test_pipeline_takes_all_games(spark):
+    import inspect
+
+    from movelines.plans.pipeline import build_repertoire
+
+    assert inspect.signature(build_repertoire).parameters["games_per_partition"].default is None
+
+
 def test_pipeline_writes_and_reads_its_stages(spark):
     from movelines.plans.pipeline import build_repertoire
 
     out = scratch_dir(spark)
     rep = build_repertoire(fixtures.raw_games(spark, SF), "white", year_range=(1994, 1996), min_games=1, max_ply=4, out=out)
+    keys = [(r["event"], r["elo_band"], r["parent_key"]) for r in rep.collect()]
+    assert keys == sorted(keys) and len(keys) == len(set(keys))
     assert rep.count() > 0 and tables.read_stats(spark, f"{out}/stats").filter("total < 1").count() == 0
