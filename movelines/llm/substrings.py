@@ -4,7 +4,8 @@ Documents are joined on winnowed anchors: in every window of `length` words the
 hash of `seed` consecutive words is kept, so two equal windows always keep the same anchor.
 Anchors that more than one document holds are seeds. Around each seed the match is extended
 both ways over every window that the seed anchors; a window matches when another document
-holds the same word sequence (compared on 128 bits). Overlapping matched windows merge into
+holds the same word sequence (compared on 128 bits, from two halves of a hash that gives no two
+words the same value, under a key drawn for each run). Overlapping matched windows merge into
 maximal repeats, each at least `length` words long, and their words are cut from every
 document but the first.
 
@@ -14,33 +15,37 @@ Three rounds, each keyed by chunk of documents and then by hash range:
   cut      chunk -> words covered by a window of a smaller doc_id
 A chunk sends a passage once, however many of its documents hold it, so a passage in a third
 of all documents costs a range at most one entry a chunk. The number of chunks and of ranges
-follows the size of the input.
+follows the size of the input; beyond 100 GB chunks and ranges also grow in size, with its cube
+root (tenfold at 100 TB), which keeps the entries of one passage to some tens of MB.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, session_ready, span_hashes, utf8, word_spans
+from .common import mix, session_ready, utf8, word_spans
 
 _U = np.uint64
-_M1, _M2 = _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
+_TURN = (_U(27), _U(37))
 
 SEEDS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
 WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 REPLY = pa.schema([("chunk", pa.int32()), ("keys", pa.binary())])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SEEDS, _WINDOWS, _REPLY = "bucket int, chunk int, keys binary, many binary", "bucket int, chunk int, keys binary, docs binary", "chunk int, keys binary"
 
 
 class _Chunk:
     """The words of a chunk's documents in order of id, and the windows that lie in one document."""
 
-    def __init__(self, table: pa.Table, length: int):
+    def __init__(self, table: pa.Table, length: int, key: bytes):
         ids = table.column("_id").combine_chunks()
         ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
         values = ids.fill_null(0).to_numpy()  # never as floats, which would lose digits
@@ -49,21 +54,16 @@ class _Chunk:
         table = table.take(pa.array(order))
         self.buf, self.offsets = utf8(table.column("_text"))
         self.starts, self.ends, self.first = word_spans(self.buf, self.offsets)
-        self.words = span_hashes(self.buf, self.starts, self.ends)
+        self.words, self.other = word_hashes(self.buf, self.starts, self.ends, key)
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         n = max(0, len(self.words) - length + 1)
         self.at = np.flatnonzero((self.doc[:n] == self.doc[length - 1 : length - 1 + n]) & ~self.null[self.doc[:n]])
 
     def anchors(self, length: int, seed: int) -> np.ndarray:
         """The anchor of each window."""
-        h, n = self.words, len(self.words) - seed + 1
         if not len(self.at):
             return np.zeros(0, _U)
-        g = np.zeros(n, _U)
-        for j in range(seed):
-            g = g * _M1 + h[j : j + n]
-        g = mix(g)
-        span, low, width = length - seed + 1, g, 1
+        low, span, width = runs(self.words, seed), length - seed + 1, 1
         while width < span:  # running minimum by doubling
             step = min(width, span - width)
             low = np.minimum(low[: len(low) - step], low[step:])
@@ -72,13 +72,51 @@ class _Chunk:
 
     def windows(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Two independent 64-bit hashes of the windows that start at `at`."""
-        h = self.words
-        other = mix(h ^ _M2)
-        a, b = np.zeros(len(at), _U), np.zeros(len(at), _U)
-        for j in range(length):
-            a = a * _M1 + h[at + j]
-            b = b * _M2 + other[at + j]
-        return mix(a), mix(b)
+        if not len(at):
+            return np.zeros(0, _U), np.zeros(0, _U)
+        return runs(self.words, length)[at], runs(self.other, length)[at]
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a hash of each word that no two words share. A word of up to 15 bytes
+    and its length are 128 bits, which a few rounds of a keyed Feistel network permute; a longer
+    word has a keyed cryptographic hash."""
+    padded = np.zeros(len(buf) + 16, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 9,), "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    size = ends - starts
+    ones = ~_U(0)
+    a = eight[starts] & (ones >> (_U(8) * (8 - np.minimum(size, 8)).astype(_U)))
+    b = eight[np.minimum(starts + 8, len(buf))] & ((ones >> _U(8)) >> (_U(8) * (7 - np.clip(size - 8, 0, 7)).astype(_U)))
+    b |= np.minimum(size, 16).astype(_U) << _U(56)
+    for k in np.frombuffer(blake2b(key, digest_size=32).digest(), _U):
+        a, b = b, a ^ mix(b + k)
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        raw = buf.tobytes()
+        words = [raw[s:e] for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+        known = {w: blake2b(w, digest_size=16, key=key).digest() for w in set(words)}
+        both = np.frombuffer(b"".join(map(known.__getitem__, words)), _U).reshape(-1, 2)
+        a[long], b[long] = both[:, 0], both[:, 1]
+    return a, b
+
+
+def runs(h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every `length` values in a row, by doubling. The order of values matters."""
+    out, have, power, width = None, 0, h, 1
+    while True:
+        if length & width:
+            if out is None:
+                out = power
+            else:
+                n = len(h) - have - width + 1
+                out = mix((out[:n] << _TURN[0] | out[:n] >> _TURN[1]) ^ (power[have : have + n] + _U(width)))
+            have += width
+        if have == length:
+            return out[: len(h) - length + 1]
+        n = len(power) - width
+        power = mix((power[:n] << _TURN[0] | power[:n] >> _TURN[1]) + power[width:])
+        width *= 2
 
 
 def _sorted(a: np.ndarray, b: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +152,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Cut from each text the words of every `length`-word passage that also starts in a
     document with a smaller id.
 
-    Returns one row per input row: id, n_words, n_removed, kept_text (the kept words joined by
-    one space). Windows are judged on the input. A null or empty text has no words. A row with
+    Returns one row per input row: id, n_words, n_removed, repeats (the maximal repeats that were
+    cut: start and end, exclusive, in words) and kept_text (the kept words joined by one space). Windows are judged on the input. A null or empty text has no words. A row with
     a null id keeps all its words and is nobody's source. Rows with equal ids don't cut each
     other. Other columns of `docs` are ignored.
     """
@@ -124,12 +162,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = session_ready(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
-    bits = max(4, math.ceil(math.log2(max(1, total / 5 / range_keys))))
-    chunked = source.select(F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int").alias("chunk"), "_id", "_text")
+    larger = max(1.0, total / 100e9) ** (1 / 3)
+    chunks = max(1, math.ceil(total / (chunk_bytes * larger)))
+    bits = max(4, math.ceil(math.log2(max(1, total / 5 / (range_keys * larger)))))
+    # rows without an id match nothing, so any chunk will do for them
+    place = F.when(F.col("_id").isNull(), F.spark_partition_id().cast("long")).otherwise(F.col("_id"))
+    chunked = source.select(F.pmod(F.xxhash64(place, "_text"), F.lit(chunks)).cast("int").alias("chunk"), "_id", "_text")
+
+    key = secrets.token_bytes(32)
 
     def seeds(table: pa.Table) -> pa.Table:
-        c = _Chunk(table, length)
+        c = _Chunk(table, length, key)
         keys, doc = c.anchors(length, seed), c.ids[c.doc[c.at]]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]))) if len(keys) else np.zeros(0, bool)
         keys, doc = keys[new], doc[new]
@@ -156,7 +199,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def extend(table: pa.Table, reply: pa.Table) -> pa.Table:
         rows: list = []
         if table.num_rows and reply.num_rows:
-            c = _Chunk(table, length)
+            c = _Chunk(table, length, key)
             wanted = np.sort(_joined(reply.column("keys")))
             keys = c.anchors(length, seed)
             place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
@@ -195,8 +238,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table([[]] * 4, schema=OUT)
-        c = _Chunk(table, length)
+            return OUT.empty_table()
+        c = _Chunk(table, length, key)
         a, b = c.windows(c.at, length)
         doc = c.ids[c.doc[c.at]]
         order, first = _sorted(a, b, doc)
@@ -229,13 +272,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 left = f + np.flatnonzero(~removed[f:t])
                 kept.append(b" ".join([raw[s:e] for s, e in zip(c.starts[left].tolist(), c.ends[left].tolist())]).decode())
+        before, after = np.concatenate(([False], removed[:-1])), np.concatenate((removed[1:], [False]))
+        edge = c.first[(c.first > 0) & (c.first < len(removed))]
+        before[edge], after[edge - 1] = False, False  # a repeat ends where its text does
+        begin, end = np.flatnonzero(removed & ~before), np.flatnonzero(removed & ~after) + 1
+        base = c.first[c.doc[begin]]
+        spans = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["start", "end"])
+        repeats = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, c.first).astype(np.int32)), spans)
         ids = pa.array(c.ids, mask=c.null)
-        return pa.table([ids, np.diff(c.first), n_removed, pa.array(kept, pa.string())], schema=OUT)
+        return pa.table([ids, np.diff(c.first), n_removed, repeats, pa.array(kept, pa.string())], schema=OUT)
 
-    OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
+    OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("repeats", _SPANS), ("kept_text", pa.string())])
     by_chunk = chunked.groupBy("chunk")
     reply = by_chunk.applyInArrow(seeds, _SEEDS).groupBy("bucket").applyInArrow(shared, _REPLY)
     found = by_chunk.cogroup(reply.groupBy("chunk")).applyInArrow(extend, _WINDOWS)
     late = found.groupBy("bucket").applyInArrow(earliest, _REPLY)
-    out = by_chunk.cogroup(late.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
+    out = by_chunk.cogroup(late.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, repeats array<struct<start:bigint,end:bigint>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
