@@ -12,12 +12,16 @@ needs a score of `threshold`: checks that can hardly pass by chance give it alon
 need the context. Added spans that overlap a base span or an earlier added one are dropped.
 
 The four digit patterns can only match inside runs of digits, spaces and . ( ) - +, and an email
-only around an @, so a text is scanned once for such runs and the patterns run inside them.
+only around an @, so a text is scanned once for such runs and the patterns run inside them. No
+character is looked at more than a few times, whatever the text: an email is its domain, looked
+for after each @, and then its local part, looked for backwards; an address in digits can only
+begin where a run of digits does; and quantifiers do not give back what they took.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,13 +32,14 @@ from .common import blocks, session_ready
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "card_group", "card13", "ssn", "local_phone")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]*+")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+@-]*")
 _NOT_EMAIL = re.compile(r"[^A-Za-z0-9._%+@-]")
 _RUN = re.compile(r"[0-9+][0-9 ().+-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _GROUP = re.compile(r"(?<![0-9])[0-9]{14,19}(?![0-9])")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
@@ -101,16 +106,26 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _emails(text: str):
+    done, at = 0, text.find("@")
+    while at >= 0:
+        m = _DOMAIN.match(text, at + 1)
+        if m:
+            low, step = at, 64
+            while low > done:  # blocks of growing size before the @, read backwards
+                block = text[max(done, low - step) : low][::-1]
+                low -= (size := _LOCAL_PART.match(block).end())
+                if size < len(block):
+                    break
+                step *= 2
+            if low < at:
+                yield "email", low, m.end()
+                done = m.end()
+        at = text.find("@", at + 1)
+
+
 def _base(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    at = text.find("@")
-    while at >= 0:  # the run of characters that an email can have, around this @
-        low = at
-        while low and not _NOT_EMAIL.match(text, low - 1):
-            low -= 1
-        high = _EMAIL_TAIL.match(text, at).end()
-        out += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text, low, high)]
-        at = text.find("@", high)
+    out = list(_emails(text))
     for run in _RUN.finditer(text):
         low, high = run.span()
         if high - low < 7:
@@ -180,14 +195,20 @@ def find(text: str | None, threshold: float = 0.7) -> list[tuple[str, int, int,
     exclusive."""
     text = text or ""
     base = _base(text)
-    taken = sorted((s, e) for _, s, e in base)
+    begin, end = [], []  # disjoint spans in order, those that are taken
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if end and s < end[-1]:
+            end[-1] = max(end[-1], e)
+        else:
+            begin.append(s)
+            end.append(e)
     spans = [(k, s, e, score(text, k, s, e)) for k, s, e in base]
     for k, s, e in sorted(_added(text), key=lambda x: (x[1], KINDS.index(x[0]))):
-        if any(s < b and a < e for a, b in taken):
-            continue
-        if (x := score(text, k, s, e)) >= threshold:
+        at = bisect_right(end, s)
+        if (at == len(end) or begin[at] >= e) and (x := score(text, k, s, e)) >= threshold:
             spans.append((k, s, e, x))
-            taken.append((s, e))
+            begin.insert(at, s)
+            end.insert(at, e)
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
