@@ -28,7 +28,7 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM embeddings JOIN least ON vec_id = least.a LEFT JOIN n ON vec_id = n.a"""
 
 OP8 = rf"""
-WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS key FROM documents),
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS MATERIALIZED (SELECT source, sz, 3.0::DOUBLE * sz AS cap, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS w FROM (SELECT source, CAST(sum(size) AS BIGINT) AS sz FROM d GROUP BY source)),
 -- each round clamps the sources that the level puts above their caps
 fill AS (SELECT 0 AS round, (SELECT CAST(sum(sz) AS DOUBLE) / sum(w) FROM s) AS level UNION ALL
@@ -38,7 +38,7 @@ t AS (SELECT source, sz, least(cap, coalesce((SELECT arg_max(level, round) FROM
 e AS (SELECT *, CASE WHEN sz > 0 THEN floor(target / sz) ELSE 0 END AS whole FROM t),
 g AS (SELECT *, CAST(round(target - whole * sz) AS BIGINT) AS more FROM e),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT doc_id, size, sz AS source_size, round(target, 6) AS target, CAST(whole * size + least(size, greatest(0, more - before)) AS BIGINT) AS taken
+SELECT doc_id, size, sz AS source_size, target, CAST(whole * size + least(size, greatest(0, more - before)) AS BIGINT) AS taken
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
 
 
