@@ -2,22 +2,26 @@
 
 Each unit vector x is stored as scale * q + e with q in int8 and the length of e known exactly.
 For two vectors, |x.y - sx*sy*qx.qy| <= |x||ey| + |ex||y'| where y' = y - ey, so the int8
-product and two scalars bound the cosine from above. Tiles of int8 products run as matrix
-products (exact: the integers stay far below 2**24); only the pairs whose upper bound reaches
-the threshold are computed again, from the stored values, in double precision.
+product and two scalars bound the cosine from both sides. Tiles of int8 products run as matrix
+products (exact: the integers stay far below 2**24). A pair whose lower bound reaches the
+threshold is a link, one whose upper bound doesn't is none, and only the pairs in between are
+computed again, from the stored values, in double precision.
 
 Equal vectors are one class with a multiplicity, so copies cost nothing. Classes are dealt into
 blocks, and each pair of blocks is one group: two blocks of bounded size, however many vectors
-there are. A group sends back link counts and a spanning forest of its links, never the links
-themselves, so a dense cluster cannot grow the output with the square of its size.
+there are. Only codes, scales and errors go to every group; a group names the vectors that it
+needs whole, and these alone follow in a second round. A group sends back link counts and a
+spanning forest of its links, never the links themselves, so a dense cluster cannot grow the
+output with the square of its size.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,9 @@ from .common import materialise, session_ready
 from .components import connected_components
 from .simhash import _hook
 
-OUT = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+_FIRST = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64()), ("side", pa.int32()), ("dims", pa.int32()), ("cell", pa.int64())])
+_FIRST_SQL = "node long, links long, other long, side int, dims int, cell long"
+_SECOND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,31 +49,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, threshold: float, tile: int = 1024, same: bool = False):
-    """Batches of (i, j) with cosine >= threshold in double precision; i < j if `same`."""
-    ul = _unit(left)
-    ur = ul if same else _unit(right)
-    ql, sl, el = quantise(ul)
-    qr, sr, er = (ql, sl, el) if same else quantise(ur)
-    fl, fr = ql.astype(np.float32), qr.astype(np.float32)
+@dataclass
+class Codes:
+    """Quantised vectors of one length."""
+
+    values: np.ndarray  # int8
+    scale: np.ndarray
+    error: np.ndarray
+
+    def __getitem__(self, rows) -> Codes:
+        return Codes(self.values[rows], self.scale[rows], self.error[rows])
+
+
+def tile_bounds(left: Codes, right: Codes, threshold: float, tile: int = 1024, same: bool = False):
+    """(rows of left, rows of right, certain, open): for each tile, which pairs are links for
+    certain and which may be. Of a block against itself each pair comes once, i < j, if `same`."""
     # of the float32 arithmetic: integer sums are exact below 2**24, that is up to 1,040 dimensions
-    slack = 1e-5 + (0 if left.shape[1] <= 1040 else left.shape[1] * 1.2e-7)
+    dims = left.values.shape[1]
+    slack = np.float32(1e-5 + (0 if dims <= 1040 else dims * 1.2e-7))
+    fl, fr = left.values.astype(np.float32), right.values.astype(np.float32)
     for a in range(0, len(fl), tile):
-        ra = slice(a, a + tile)
+        ra = slice(a, min(len(fl), a + tile))
         for b in range(a if same else 0, len(fr), tile):
-            rb = slice(b, b + tile)
-            # upper bound: sl*sr*q.q + |x||ey| + |ex||y'|, with |x| = 1 and |y'| <= 1 + ey
-            need = (threshold - slack) - el[ra, None].astype(np.float32) * (1 + er[rb].max()) - er[None, rb].astype(np.float32)
+            rb = slice(b, min(len(fr), b + tile))
             product = fl[ra] @ fr[rb].T
-            product *= sl[ra, None].astype(np.float32) * sr[None, rb].astype(np.float32)
-            i, j = np.nonzero(product >= need)
-            i, j = i + a, j + b
-            if same:
-                i, j = i[i < j], j[i < j]
-            for s in range(0, len(i), 1 << 16):
-                x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                ok = np.einsum("ij,ij->i", ul[x], ur[y]) >= threshold
-                yield x[ok], y[ok]
+            product *= left.scale[ra, None].astype(np.float32) * right.scale[None, rb].astype(np.float32)
+            # |x||ey| + |ex||y'|, with |x| = 1 and |y'| <= 1 + ey
+            away = left.error[ra, None].astype(np.float32) * np.float32(1 + right.error[rb].max(initial=0)) + right.error[None, rb].astype(np.float32) + slack
+            maybe = product + away >= threshold
+            if same and a == b:
+                maybe &= np.arange(a, ra.stop)[:, None] < np.arange(b, rb.stop)[None, :]
+            certain = maybe & (product - away >= threshold)
+            yield ra, rb, certain, maybe & ~certain
+
+
+def exact_links(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, at_once: int = 1 << 16):
+    """Those of the pairs i, j with cosine >= threshold in double precision, in batches."""
+    for s in range(0, len(i), at_once):
+        x, y = i[s : s + at_once], j[s : s + at_once]
+        ok = np.einsum("ij,ij->i", left[x], right[y]) >= threshold
+        yield x[ok], y[ok]
 
 
 def _matrix(column) -> np.ndarray:
@@ -75,22 +96,80 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
 
 
-def _cell(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
+def _encode(batches):
+    """Codes of the vectors, in batches of rows of one length."""
+    for batch in batches:
+        size = np.asarray(pa.compute.list_value_length(batch.column("vector")))
+        for n in np.unique(size).tolist():
+            own = batch.filter(pa.array(size == n))
+            codes, scale, error = quantise(_unit(_matrix(pa.chunked_array([own.column("vector")]))))
+            yield pa.RecordBatch.from_arrays(
+                [*(own.column(k) for k in ("node", "least", "weight", "vector")), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error), pa.array(np.full(len(codes), n, np.int32))],
+                ["node", "least", "weight", "vector", "codes", "scale", "error", "dims"],
+            )
+
+
+class _Cell:
+    """The two blocks of a group: rows in order of side and node, the left one first."""
+
+    def __init__(self, table: pa.Table):
         side = table.column("side").to_numpy()
         order = np.lexsort((table.column("node").to_numpy(), side))
-        table, side = table.take(pa.array(order)), side[order]
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
-        x = _matrix(table.column("vector"))
-        cut = int(np.searchsorted(side, 1))
-        same = cut == len(side)  # a block against itself comes once, as the left side
-        links, label = np.zeros(len(node), np.int64), np.arange(len(node))
-        for i, j in tile_links(x[:cut], x[cut:], threshold, same=same):
-            j = j if same else j + cut
-            links += np.bincount(i, weight[j], len(node)).astype(np.int64) + np.bincount(j, weight[i], len(node)).astype(np.int64)
-            _hook(label, i, j)
-        some = links > 0
-        return pa.table([node[some], links[some], node[label[some]]], schema=OUT)
+        self.table = table.take(pa.array(order))
+        self.node, self.weight = self.table.column("node").to_numpy(), self.table.column("weight").to_numpy().astype(np.float64)
+        cut = int(np.searchsorted(side[order], 1))
+        self.same = cut == len(side)  # a block against itself comes once, as the left side
+        self.left, self.right = slice(0, cut), slice(0, cut) if self.same else slice(cut, len(side))
+        self.links, self.label = np.zeros(len(side)), np.arange(len(side))
+
+    def bounds(self, codes: Codes, threshold: float):
+        """tile_bounds, with rows counted over the whole group."""
+        for ra, rb, certain, maybe in tile_bounds(codes[self.left], codes[self.right], threshold, same=self.same):
+            yield ra, slice(rb.start + self.right.start, rb.stop + self.right.start), certain, maybe
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.links += np.bincount(i, self.weight[j], len(self.node)) + np.bincount(j, self.weight[i], len(self.node))
+        _hook(self.label, i, j)
+
+    def found(self) -> list:
+        some = self.links > 0
+        return [self.node[some], self.links[some].astype(np.int64), self.node[self.label[some]]]
+
+
+def _codes(table: pa.Table) -> Codes:
+    values = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(table.num_rows, -1)
+    return Codes(values, table.column("scale").to_numpy(), table.column("error").to_numpy())
+
+
+def _by_codes(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table)
+        needed = np.zeros(len(cell.node), bool)
+        for ra, rb, certain, maybe in cell.bounds(_codes(cell.table), threshold):
+            if certain.any():
+                i, j = np.nonzero(certain)
+                cell.link(i + ra.start, j + rb.start)
+            if maybe.any():
+                needed[ra] |= maybe.any(axis=1)
+                needed[rb] |= maybe.any(axis=0)
+        n, ask = cell.found(), np.flatnonzero(needed)
+        linked = pa.table([*n, *(pa.nulls(len(n[0]), f.type) for f in list(_FIRST)[3:])], schema=_FIRST)
+        side, dims, own = cell.table.column("side").to_numpy()[ask], table.column("dims")[0].as_py(), table.column("cell")[0].as_py()
+        asked = pa.table([cell.node[ask], pa.nulls(len(ask), pa.int64()), pa.nulls(len(ask), pa.int64()), side, np.full(len(ask), dims, np.int32), np.full(len(ask), own)], schema=_FIRST)
+        return pa.concat_tables([linked, asked])
+
+    return run
+
+
+def _by_vectors(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        cell = _Cell(table)
+        unit = _unit(_matrix(cell.table.column("vector")))
+        for ra, rb, _, maybe in cell.bounds(_codes(cell.table), threshold):
+            i, j = np.nonzero(maybe)
+            for x, y in exact_links(unit, unit, i + ra.start, j + rb.start, threshold):
+                cell.link(x, y)
+        return pa.table(cell.found(), schema=_SECOND)
 
     return run
 
@@ -118,19 +197,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = good.groupBy("vector").agg(F.min("_id").alias("least"), F.count("*").alias("weight"))
     # the numbers are stored with the classes, so every later read sees the same ones
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    by_size = classes.groupBy(F.size("vector").alias("dims")).count().collect()  # one row for each vector length
-    out = None
-    for dims, count in sorted((r["dims"], r["count"]) for r in by_size):
-        n = math.ceil(count / block_rows)
-        own = classes.filter(F.size("vector") == dims).select("node", "weight", "vector", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(n)).cast("int").alias("block"))
-        other = F.sequence(F.lit(0), F.lit(n - 1))
-        cells = own.select("node", "weight", "vector", F.explode(F.transform(other, lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))).alias("c"))
-        cells = cells.select("node", "weight", "vector", "c.side", (F.col("c.p") * n + F.col("c.q")).alias("cell"))
-        part = cells.groupBy("cell").applyInArrow(_cell(threshold), "node long, links long, other long")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = classes.select("node", F.lit(0).cast("long").alias("links"), F.col("node").alias("other"))
-    found = materialise(out)
+    columns = "node long, least long, weight long, vector array<double>, codes binary, scale double, error double, dims int"
+    classes = materialise(classes.select("node", "least", "weight", "vector").mapInArrow(_encode, columns))
+    # by length: so many blocks that none has more than block_rows vectors, and some tasks more if they are few
+    blocks = F.greatest(F.ceil(F.col("count") / block_rows), F.least(F.lit(12), F.ceil(F.col("count") / 1024))).cast("int")
+    sizes = classes.groupBy("dims").count().select("dims", blocks.alias("n"))
+    own = classes.join(sizes, "dims").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")).cast("int"))
+    ends = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))
+    cells = own.select("node", "weight", "codes", "scale", "error", "dims", "n", F.explode(ends).alias("c"))
+    cells = cells.select("node", "weight", "codes", "scale", "error", "dims", "c.side", (F.col("c.p").cast("long") * F.col("n") + F.col("c.q")).alias("cell"))
+    first = materialise(cells.groupBy("dims", "cell").applyInArrow(_by_codes(threshold), _FIRST_SQL))
+    asked = first.filter("cell is not null").select("dims", "cell", "node", "side").join(classes.select("node", "weight", "vector", "codes", "scale", "error"), "node")
+    second = asked.groupBy("dims", "cell").applyInArrow(_by_vectors(threshold), "node long, links long, other long")
+    found = materialise(first.filter("cell is null").select("node", "links", "other").union(second))
     members = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(links, "node", "left").join(members, "node", "left")

@@ -109,6 +109,32 @@ def test_substrings_defined_results(odd):
     assert got[5]["n_removed"] == 0  # it repeats itself, and only other documents count
     assert (got[6]["n_removed"], got[6]["kept_text"]) == (60_000, "tail")
     assert got[7]["n_removed"] == 0 and got[None]["n_removed"] == 0
+    assert got[6]["repeats"] == [(0, 60_000)] and got[1]["repeats"] == []
+
+
+def test_substrings_tell_similar_words_apart(spark):
+    morse = ["a"]
+    for _ in range(10):  # the word that defeats polynomial hashes modulo a power of two
+        morse = [x + x.translate(str.maketrans("ab", "ba")) for x in morse]
+    words = [f"w{k}" for k in range(12)]
+    one, two = " ".join([*words, morse[0]]), " ".join([*words, morse[0].translate(str.maketrans("ab", "ba"))])
+    nul = " ".join([*words, "x"]), " ".join([*words, "x\x00"])
+    got = by_id(substrings.substring_dedup(frame(spark, [(k, t, None, None) for k, t in enumerate([one, two, *nul, "new " + one + " end"])])))
+    assert [got[k]["n_removed"] for k in range(5)] == [0, 0, 0, 0, 13]
+    assert got[4]["repeats"] == [(1, 14)] and got[4]["kept_text"] == "new end"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=40), min_size=1, max_size=3), st.integers(1, 17))
+def test_runs_are_equal_for_equal_values_only(values, length):
+    rng = np.random.default_rng(0)
+    h = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    seen = {}
+    for v in values:
+        if len(v) >= length:
+            for k, x in enumerate(substrings.runs(h[np.asarray(v)], length).tolist()):
+                assert seen.setdefault(x, v[k : k + length]) == v[k : k + length]
+    assert len(set(map(tuple, seen.values()))) == len(seen)
 
 
 def test_simhash_defined_results(odd):
@@ -139,11 +165,49 @@ def test_mixing_defined_results(odd):
     assert all(r["taken"] == 0 for r in got if r["doc_id"] in (2, 3, 4))
 
 
+def words_by_source(df):
+    return {r[0]: r[1] for r in df.selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").collect()}
+
+
+def taken_by_source(df):
+    return {r[0]: r[1] for r in df.groupBy("source").sum("taken").collect() if r[1]}
+
+
 def test_mixing_takes_words(spark):
     d = frame(spark, [(k, " ".join(["w"] * (k % 7 + 1)), "en", f"s{k % 4}") for k in range(200)])
-    taken = {r["source"]: r["t"] for r in mixing.mix_sources(d).groupBy("source").sum("taken").withColumnRenamed("sum(taken)", "t").collect()}
-    words = mixing.mixed_documents(d).selectExpr("source", "size(split(text, ' ')) as n").groupBy("source").sum("n").collect()
-    assert {r[0]: r[1] for r in words} == taken
+    assert words_by_source(mixing.mixed_documents(d)) == taken_by_source(mixing.mix_sources(d))
+
+
+def test_mixing_of_repeated_rows_and_null_ids(spark):
+    same = [(1, " ".join(["w"] * 10), "en", "A")] * 40 + [(1, "other text of one id", "en", "A")] * 3
+    nulls = [(None, " ".join(["v"] * 10), "en", "B")] * 50 + [(None, f"text {k}", "de", "B") for k in range(50)]
+    d = frame(spark, [*same, *nulls, *[(k, " ".join(["u"] * (k % 5 + 1)), "en", "C") for k in range(2, 400)], (900, "x y", "en", None)])
+    rows = mixing.mix_sources(d).collect()
+    assert len(rows) == d.count()
+    taken, made = taken_by_source(mixing.mix_sources(d)), words_by_source(mixing.mixed_documents(d))
+    assert made == taken
+    target = {r["source"]: r["target"] for r in rows}
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
+
+
+def test_water_filling(spark):
+    sizes = {"a": 10, "b": 1, "c": 100, "d": 2, "e": 0}
+    s = spark.createDataFrame([(k, n, float(w)) for (k, n), w in zip(sizes.items(), (1, 2, 3, 4, 5))], "source string, source_size long, weight double")
+    got = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
+    assert got["b"] == 3 and got["d"] == 6 and got["e"] == 0
+    assert got["a"] == pytest.approx(104 / 4) and got["c"] == pytest.approx(104 * 3 / 4)
+    low = {r["source"]: r["target"] for r in mixing.targets(s, 0.5).collect()}
+    assert low == {k: 0.5 * n for k, n in sizes.items()}
+    assert mixing.targets(s.limit(0)).collect() == []
+
+
+def test_places_of_many_sources(spark):
+    names = [None, *sorted(f"s{k}" for k in range(700)), ""]
+    got = mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string")).collect()
+    assert sorted((r["place"], r["source"]) for r in got)[:-1] == [(k, n) for k, n in enumerate(sorted(x for x in names if x is not None))]
+    assert max(got, key=lambda r: r["place"])["source"] is None and len(got) == 702
 
 
 def test_pii_defined_results(spark):
@@ -175,7 +239,14 @@ def test_embedding_bounds_lose_nothing():
     x = np.concatenate([base + rng.normal(scale=s, size=base.shape) for s in (0, 0.2, 0.23, 0.25, 0.5)])
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = set(zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1))))
-    got = {(i, j) for a, b in embeddings.tile_links(x, x, 0.95, tile=64, same=True) for i, j in zip(a, b)}
+    codes = embeddings.Codes(*embeddings.quantise(embeddings._unit(x)))
+    sure, got = set(), set()
+    for ra, rb, certain, maybe in embeddings.tile_bounds(codes, codes, 0.95, tile=64, same=True):
+        sure |= {(i + ra.start, j + rb.start) for i, j in zip(*np.nonzero(certain))}
+        i, j = np.nonzero(maybe)
+        got |= {(a, b) for p, q in embeddings.exact_links(u, u, i + ra.start, j + rb.start, 0.95) for a, b in zip(p, q)}
+    assert sure <= want and sure and got and not sure & got
+    got |= sure
     assert got == want and want
 
 
