@@ -8,8 +8,9 @@ that space gives a score for each language. Scoring is two matrix products for a
 presence bits by landmarks, then kernel values by dual weights.
 
 Training sees at most `per_language` distinct labelled texts of each language and at most `landmarks` of
-them as landmarks, chosen by a seeded hash; these bounds are parameters. Only their packed
-presence bits come to the driver.
+them as landmarks, chosen by a seeded hash, and of all languages together at most `texts_limit`
+and `landmark_limit` (or one a language); these bounds are parameters. Every language is learned,
+however many there are. Only the packed presence bits of the chosen texts come to the driver.
 """
 
 from __future__ import annotations
@@ -80,11 +81,14 @@ class Model:
         return names, values
 
 
-def _kernel(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
-    common = (x @ landmarks.T.astype(np.float32)).astype(np.float64)  # whole numbers, exact
-    size = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1)[:, None] * np.maximum(landmarks.sum(axis=1, dtype=np.float64), 1)[None, :])
-    return common / size
+def _kernel(x: np.ndarray, landmarks: np.ndarray, at_once: int = 512) -> np.ndarray:
+    right, own = landmarks.T.astype(np.float32), np.maximum(landmarks.sum(axis=1, dtype=np.float64), 1)
+    out = np.empty((len(x), len(landmarks)))
+    for s in range(0, len(x), at_once):
+        rows = x[s : s + at_once].astype(np.float32)
+        common = (rows @ right).astype(np.float64)  # whole numbers, exact
+        out[s : s + at_once] = common / np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.float64), 1)[:, None] * own[None, :])
+    return out
 
 
 def fit_kernel(x: np.ndarray, y: np.ndarray, langs: list[str], chosen: np.ndarray, buckets: int, top: int, ridge: float = 1e-3) -> Model:
@@ -104,25 +108,39 @@ def fit_kernel(x: np.ndarray, y: np.ndarray, langs: list[str], chosen: np.ndarra
     return Model(langs, landmarks, root @ a, bias - mean @ a, buckets, top)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 40, max_languages: int = 64, buckets: int = 1 << 14, top: int = 3, seed: int = 5) -> Model:
+def train(
+    labelled: DataFrame,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = 300,
+    landmarks: int = 40,
+    texts_limit: int = 6000,
+    landmark_limit: int = 1024,
+    buckets: int = 1 << 14,
+    top: int = 3,
+    seed: int = 5,
+) -> Model:
     """A model from the rows of `labelled` with a language and a letter in the text. Each text
     counts twice: whole, and as eight words from its middle, so that short texts are known too.
-    Of more than max_languages languages the most frequent are learned. No usable row: a model
-    that says `und`."""
-    session_ready(labelled.sparkSession)
+    Where there are so many languages that the two limits bind, each has an equal part of them, and
+    one text at least. No usable row: a model that says `und`."""
+    spark = session_ready(labelled.sparkSession)
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     place = F.xxhash64(F.lit(seed), F.col(text_col)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     usable = usable.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), place.alias("_place"))
     # a text that repeats in a language counts once
     distinct = usable.groupBy("_lang", "_place").agg(F.lit(1)).groupBy("_lang").agg(F.count("*").alias("n"), F.min("_place").alias("least"))
-    counts = sorted(((r["n"], r["_lang"], r["least"]) for r in distinct.orderBy(F.desc("n"), "_lang").limit(max_languages).collect()), key=lambda x: x[1])
+    counts = sorted((r["_lang"], r["n"], r["least"]) for r in distinct.collect())  # one row for each class of the model
     if not counts:
         return Model([], np.zeros((0, buckets), np.uint8), np.zeros((0, 0)), np.zeros(0), buckets, top)
-    langs = [name for _, name, _ in counts]
+    langs = [name for name, _, _ in counts]
+    per_language = max(1, min(per_language, texts_limit // len(langs)))
+    landmarks = max(1, min(landmarks, landmark_limit // len(langs)))
     # twice the share that is wanted of each language and its first text at least, cut to the
     # bound in order of the hash
-    share = F.coalesce(*[F.when(F.col("_lang") == name, F.lit(max(min(1.0, 2.0 * per_language / n), math.nextafter(least, 2.0)))) for n, name, least in counts])
-    sample = usable.filter(F.col("_place") < share).groupBy("_lang", "_place").agg(F.first("_text").alias("_text"))
+    shares = [(name, max(min(1.0, 2.0 * per_language / n), math.nextafter(least, 2.0))) for name, n, least in counts]
+    shares = spark.createDataFrame(shares, "_lang string, _share double")
+    sample = usable.join(F.broadcast(shares), "_lang").filter(F.col("_place") < F.col("_share")).groupBy("_lang", "_place").agg(F.first("_text").alias("_text"))
     order = Window.partitionBy("_lang").orderBy("_place")
     sample = sample.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("_text", "_lang", "_place")
 
