@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the bag of its hashed words, pairs of neighbouring words and byte n-grams. Each hash
+A text is the bag of its hashed words, pairs of neighbouring words and character n-grams of words
+(a word's beginning and end are characters of their own). Each hash
 bucket has a learned vector; a document is the mean of its features' vectors, and a softmax over
 two classes reads the mean. Vectors and output are trained together by stochastic gradient
 descent in numpy on a bounded sample of labelled texts.
@@ -39,13 +40,28 @@ def features(buf: np.ndarray, offsets: np.ndarray, buckets: int):
         pairs = mix(words[1:] ^ words[:-1])  # equal neighbours: mix(0)
         begin = np.minimum(first[:-1], len(pairs))
         yield place(pairs), begin, np.maximum(begin, first[1:] - 1)
+    # code points, with a space around each text, so that every word stands between two
+    n_texts = len(offsets) - 1
+    spaced = np.full(len(buf) + 2 * n_texts, 32, np.uint8)
+    at = np.repeat(2 * np.arange(n_texts) + 1, np.diff(offsets)) + np.arange(len(buf))
+    spaced[at] = buf
+    lead = (spaced & 0xC0) != 0x80
+    cut = np.concatenate((np.zeros(1, np.int64), np.cumsum(lead)))[offsets + 2 * np.arange(n_texts + 1)]
+    chars = np.frombuffer(spaced.tobytes().decode().encode("utf-32-le"), "<u4")
+    space = (chars == 32) | ((chars >= 9) & (chars <= 13))
+    spaces = np.concatenate((np.zeros(1, np.int32), np.cumsum(space, dtype=np.int32)))
+    chars = np.where(space, np.uint32(32), chars)
     for n in GRAMS:
-        if len(buf) >= n:
-            h = np.zeros(len(buf) - n + 1, np.uint32)
+        if len(chars) >= n:
+            h = np.zeros(len(chars) - n + 1, np.uint32)
             for j in range(n):
-                h = h * np.uint32(0x01000193) + buf[j : j + len(h)]
+                h = h * np.uint32(0x01000193) + chars[j : j + len(h)]
+            # of one word: no space but at the ends
+            inside = np.flatnonzero(spaces[n - 1 : n - 1 + len(h)] == spaces[1 : 1 + len(h)])
+            h = h[inside]
             h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
-            yield (h >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int32), np.minimum(offsets[:-1], len(h)), np.maximum(np.minimum(offsets[:-1], len(h)), offsets[1:] - n + 1)
+            own = np.searchsorted(inside, cut)
+            yield (h >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int32), own[:-1], own[1:]
 
 
 @dataclass
