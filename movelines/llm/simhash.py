@@ -1,12 +1,13 @@
 """SimHash near-dedup: fingerprints of word shingles, a Gray-order hierarchical index over
 the distinct fingerprints, and the components of all links within a Hamming distance.
 
-Distribution is exact by pigeonhole. A fingerprint has four 16-bit blocks; two fingerprints
-that differ in at most 2 bits agree on two whole blocks, so each is keyed by its six pairs of
-blocks. A key that more than `group_limit` fingerprints share is split again: the remaining
-bits fall into three parts, one of which must agree, and a key still too large is split once
-more. What can then differ is at most 15 bits, so no group can exceed 32,768 distinct
-fingerprints however the data are skewed, and nothing is dropped.
+Distribution is exact by pigeonhole. Three fields of a fingerprint are keys; of two fingerprints
+that differ in at most 2 bits one field at least agrees. The fields are as narrow as the number
+of fingerprints allows (some `per_group` to a key on average, at most 21 bits), so that within a
+key the index has to prune. A key that more than `group_limit` fingerprints share is split again:
+the remaining bits fall into three parts, one of which must agree, and so on until at most 15
+bits can differ. So no group can exceed 32,768 distinct fingerprints however the data are skewed,
+and nothing is dropped.
 
 In each group the fingerprints are sorted by Gray rank. Runs of them form the nodes of a tree:
 a node holds the bits that all its members share, its parent the ones shared more widely, so a
@@ -185,40 +186,40 @@ def _value(fp, bits: list[int]):
     return out
 
 
-def _keys() -> dict[int, list[tuple[str, list[int]]]]:
+def _keys(width: int) -> list[list[tuple[str, list[int]]]]:
     """By depth: each key's name and the bit positions that it fixes."""
-    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
-    out = {0: [(f"{a}{b}", [*range(16 * a, 16 * a + 16), *range(16 * b, 16 * b + 16)]) for a, b in pairs]}
-    for depth in (1, 2):
-        out[depth] = []
-        for name, bits in out[depth - 1]:
-            rest = [x for x in range(64) if x not in bits]
-            out[depth] += [(f"{name}.{k}", bits + part) for k, part in enumerate(_parts(rest))]
+    out = [[(str(k), list(range(21 * k, 21 * k + width))) for k in range(3)]]
+    while 64 - min(len(bits) for _, bits in out[-1]) > 15:
+        out.append([(f"{name}.{k}", bits + part) for name, bits in out[-1] for k, part in enumerate(_parts([x for x in range(64) if x not in bits]))])
     return out
 
 
-def link(distinct: DataFrame, distance: int = 2, group_limit: int = 4096) -> DataFrame:
+def link(distinct: DataFrame, distance: int = 2, group_limit: int = 4096, per_group: int = 64, bucket_rows: int = 200_000) -> DataFrame:
     """(a, b): a spanning forest of all pairs of the column fp within `distance` (at most 2)."""
     if not 0 <= distance <= 2:
         raise ValueError("the key scheme is exact up to a distance of 2")
-    spark = session_ready(distinct.sparkSession)
+    session_ready(distinct.sparkSession)
     fp, edges = F.col("fp"), []
-    rows, keys = distinct.select("fp", F.lit("").alias("under")), _keys()
-    for depth in range(3):
+    rows, n = distinct.select("fp", F.lit("").alias("under")), distinct.count()
+    keys = _keys(min(21, max(1, math.ceil(math.log2(max(2.0, n / per_group))))))
+    for depth, level in enumerate(keys):
         parts = [
             F.struct(F.lit(name).alias("name"), F.xxhash64(F.lit(name), _value(fp, bits)).alias("key"), F.lit(name.rpartition(".")[0]).alias("under"))
-            for name, bits in keys[depth]
+            for name, bits in level
         ]
         spread = rows.select("fp", "under", F.explode(F.array(*parts)).alias("k")).filter(F.col("k.under") == F.col("under"))
         spread = spread.select("fp", F.col("k.name").alias("under"), F.col("k.key").alias("key"))
         counts = spread.groupBy("key").count().filter("count > 1")
         spread = spread.join(counts, "key")
-        small = spread if depth == 2 else spread.filter(F.col("count") <= group_limit)
-        buckets = F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.lit(_buckets(spark)))
+        last = depth == len(keys) - 1
+        small = spread if last else spread.filter(F.col("count") <= group_limit)
+        # each row has three keys at a depth
+        buckets = F.pmod(F.xxhash64(F.col("key"), F.lit(7)), F.lit(max(_buckets(distinct.sparkSession), math.ceil(3 * n / bucket_rows))))
         edges.append(small.select("fp", "key", buckets.alias("bucket")).groupBy("bucket").applyInArrow(_forest(distance), "a long, b long"))
-        if depth < 2:
+        if not last:
             rows = materialise(spread.filter(F.col("count") > group_limit).select("fp", "under"))
-            if rows.isEmpty():
+            n = rows.count()
+            if not n:
                 break
     out = edges[0]
     for e in edges[1:]:
@@ -227,7 +228,7 @@ def link(distinct: DataFrame, distance: int = 2, group_limit: int = 4096) -> Dat
 
 
 def _buckets(spark) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 2) -> DataFrame:
