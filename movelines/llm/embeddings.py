@@ -206,9 +206,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ends = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least("block", o).alias("p"), F.greatest("block", o).alias("q"), (F.col("block") > o).cast("int").alias("side")))
     cells = own.select("node", "weight", "codes", "scale", "error", "dims", "n", F.explode(ends).alias("c"))
     cells = cells.select("node", "weight", "codes", "scale", "error", "dims", "c.side", (F.col("c.p").cast("long") * F.col("n") + F.col("c.q")).alias("cell"))
-    first = materialise(cells.groupBy("dims", "cell").applyInArrow(_by_codes(threshold), _FIRST_SQL))
+    # a number of tasks is given, since few bytes of codes mean much work
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = materialise(cells.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_codes(threshold), _FIRST_SQL))
     asked = first.filter("cell is not null").select("dims", "cell", "node", "side").join(classes.select("node", "weight", "vector", "codes", "scale", "error"), "node")
-    second = asked.groupBy("dims", "cell").applyInArrow(_by_vectors(threshold), "node long, links long, other long")
+    second = asked.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_vectors(threshold), "node long, links long, other long")
     found = materialise(first.filter("cell is null").select("node", "links", "other").union(second))
     members = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
