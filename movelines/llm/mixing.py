@@ -135,7 +135,7 @@ def mixed_documents(
     out = copies(meet(plan), F.col("_mix_whole"), F.when(F.col("_mix_n") == 1, F.col("_mix_more")).otherwise(F.lit(0)))
     shared = plan.filter("_mix_n > 1 and _mix_more > 0")
     if not shared.isEmpty():
-        out = out.unionByName(copies(meet(shared).dropDuplicates(["_mix_id", "_mix_source", "_k"]), F.lit(0), F.col("_mix_more")))
+        out = out.unionByName(copies(meet(shared).dropDuplicates(["_mix_id", "_mix_source", "_mix_at"]), F.lit(0), F.col("_mix_more")))
     cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_take").cast("int")), " ")
     text = F.when(F.col("_mix_take") > 0, cut).otherwise(F.col(text_col))
     fresh = {text_col: text}
