@@ -3,7 +3,7 @@ Jensen-Shannon distance of its character-class and common-word histograms from r
 that are summed over the corpus, one for each language.
 
 Everything about a text is computed in its own row; no word ever goes through a shuffle. A word
-window is one hash of eight words. A text whose window hashes are all different has no repeat;
+window is one hash of its eight words' hashes. A text whose window hashes are all different has no repeat;
 only the others sort theirs. With the repeated windows' first words at p1 < p2 < ..., the words
 that they cover number 8 + sum(min(8, p[k+1] - p[k])).
 """
@@ -61,9 +61,10 @@ def repeated_words(words: Column, size: int = 8) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(marked)
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
 
-    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(bind(windows(words), repeats))
+    hashed = F.transform(words, lambda x: F.xxhash64(x))
+    return F.when(F.size(words) <= size, F.lit(0).cast("long")).otherwise(bind(bind(hashed, windows), repeats))
 
 
 def base_counts(text: Column, words: Column) -> dict[str, Column]:
@@ -90,7 +91,9 @@ def histograms(text: Column, words: Column) -> Column:
         lengths = [(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2) for w in BINS]
         return [x.cast("int") for x in lengths]
 
-    spaced = F.concat(F.lit(" "), F.lower(F.array_join(words, "  ")), F.lit(" "))
+    # only the common words are spaced out and searched, one after the other
+    common_only = F.filter(F.split(F.lower(F.array_join(words, " ")), " "), lambda x: x.isin(*BINS))
+    spaced = F.concat(F.lit(" "), F.array_join(common_only, "  "), F.lit(" "))
     chars = F.array(*classes, F.length(joined))
     common = bind(spaced, lambda s: F.array(*counts(s)))
     return F.concat(chars, common, F.array(F.size(words)))
