@@ -41,6 +41,44 @@ p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, siz
 SELECT doc_id, size, sz AS source_size, target, CAST(whole * size + least(size, greatest(0, more - before)) AS BIGINT) AS taken
 FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
 
+OP12 = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 bit by bit over the decimal digits
+bytes AS (SELECT c, [ord(x) FOR x IN string_split(CAST(c AS VARCHAR), '')] AS b FROM (SELECT DISTINCT c FROM t)),
+crc AS (SELECT c, b, 0 AS i, 4294967295::BIGINT AS r FROM bytes UNION ALL
+    SELECT c, b, i + 1, CASE WHEN i % 9 = 0 THEN xor(r, b[i // 9 + 1]) ELSE CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END END FROM crc WHERE i < 9 * len(b)),
+h AS MATERIALIZED (SELECT c, xor(r, 4294967295) % 9 AS h FROM crc WHERE i = 9 * len(b)),
+u AS (SELECT h.c, 0 AS tail, t.k, role, text FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.k <= h.h UNION ALL SELECT t.c, 1, t.k, role, text FROM t JOIN h USING (c) WHERE t.k > h.h),
+turns AS MATERIALIZED (SELECT c, list({'role': role, 'text': text} ORDER BY tail, k) AS seq FROM u GROUP BY c),
+every AS MATERIALIZED (SELECT c, coalesce(seq, []) AS seq FROM h LEFT JOIN turns USING (c)),
+pre AS MATERIALIZED (SELECT c, d, seq[1:d] AS p, len(seq) = d AS ends FROM (SELECT *, unnest(generate_series(0, len(seq))) AS d FROM every)),
+node AS MATERIALIZED (SELECT p, d, min(c) AS c, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS members, (count(*) - 1) * CASE WHEN d > 0 THEN strlen(p[d].text) ELSE 0 END AS saved FROM pre GROUP BY p, d),
+kids AS MATERIALIZED (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY p[1:d - 1]),
+flat AS MATERIALIZED (SELECT p, d, saved, CAST(kids.n IS NULL AS BIGINT) AS leaf FROM node LEFT JOIN kids USING (p)),
+below AS (SELECT p, CAST(sum(leaf) AS BIGINT) AS leaves, CAST(sum(saved) AS BIGINT) AS saved FROM (SELECT p[1:j] AS p, leaf, saved FROM (SELECT *, unnest(generate_series(0, d)) AS j FROM flat)) GROUP BY p)
+SELECT node.c AS conv_id, node.d AS depth, up.c AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, below.leaves AS n_leaves, below.saved AS saved_tokens, sha256(node.members) AS ends_sha256
+FROM node JOIN below ON below.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node AS up ON node.d > 0 AND up.p = node.p[1:node.d - 1]"""
+
+
+def _op13(k: int = 40, rounds: int = 5) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, best.k AS cluster, best.d AS distance FROM (SELECT r, min({{'d': CAST(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'k': k}}) AS best FROM e, c{i} GROUP BY r))""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT cluster AS k, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, v, unnest(generate_series(1, 64)) AS j FROM a{i} JOIN e USING (r)) GROUP BY cluster, j),
+m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY k),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))""")
+    joined = ",\n".join(steps)
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM e ORDER BY h NULLS LAST, v LIMIT {k})),
+{joined},
+i AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS own FROM a{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, own AS cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM a{rounds}) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN i USING (cluster) JOIN c{rounds} ON c{rounds}.k = cluster"""
+
 
 def _op4() -> str:
     k, bins = len(rules.CLASSES), rules.BINS
@@ -70,4 +108,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM d LEFT JOIN near USING (doc_id)"""
 
 
-ORACLE_SQL = {"op2_substrings": OP2, "op3_embeddings": OP3, "op4_rules": _op4(), "op8_mixing": OP8}
+ORACLE_SQL = {"op2_substrings": OP2, "op3_embeddings": OP3, "op4_rules": _op4(), "op8_mixing": OP8, "op12_trie": OP12, "op13_clusters": _op13()}

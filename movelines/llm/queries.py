@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, pii, quality, rules, simhash, substrings, tokens
-from .common import documents
+from . import clusters, embeddings, langid, mixing, packing, pieces, pii, quality, rules, simhash, substrings, tokens, trie
+from .common import documents, session_ready
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -78,10 +78,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[pii.count_of(spans, k).alias(f"n_{k}") for k in pii.BASE_KINDS], F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_documents(documents(spark, sf_dir), _path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(session_ready(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clusters.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64, seed=2)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_embeddings, op4_rules, op5_packing, op6_quality, op7_simhash, op8_mixing, op9_tokens, op10_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_substrings, op3_embeddings, op4_rules, op5_packing, op6_quality, op7_simhash, op8_mixing, op9_tokens, op10_pii, op11_pieces, op12_trie, op13_clusters, pipeline)}
