@@ -1,21 +1,24 @@
 """Counts of games by exact line and by every prefix of a line.
 
-The long form (prefix_tree) is the one to use at scale: each line sends one row per prefix into
-one aggregation that is summed before the shuffle and keyed by the whole prefix. The wide form
-keeps every prefix's totals on each line's row, by windows that share one exchange on the slice
-and the first plies, and one sort.
+Prefix totals come from one sort by slice and line: rows that share a prefix then stand together.
+The rows are dealt by ranges of that order, so a range holds a bounded number of rows whatever the
+slice or opening, each range is sorted once, and one pass over it gives the totals of every prefix
+within the range. A prefix that runs on into the next range
+is made whole from the first and last row of each range. The wide form keeps the totals on each
+line's row; the long form takes each prefix from the first row that has it, so no row is sent once
+for each of its prefixes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import games as g
 from ..functions import moves as m
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, workers_ready
 
 SLICE = ["year", "month", "event", "rating_class"]
 COUNTS = ["white_wins", "draws", "black_wins", "total_games"]
@@ -57,39 +60,125 @@ def cut_lines(lines: DataFrame, n_moves: int = 10) -> DataFrame:
     return lines.groupBy(*SLICE, *m.move_columns(n_moves)).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
-def rollup_lines(lines: DataFrame, n_moves: int = 10, spread: int = 4) -> DataFrame:
+def _shared(same_keys: Column, line: Column, other: Column) -> Column:
+    """How many leading plies two lines share; -1 where their keys differ."""
+    differ = F.array_position(F.zip_with(line, other, lambda a, b: a.eqNullSafe(b)), False)
+    return F.when(same_keys, F.when(differ > 0, differ - 1).otherwise(F.size(line))).otherwise(-1).cast("int")
+
+
+def _one_pass(keys: list[str], columns: list[str], measures: list[str]):
+    """Over the rows of one range, in order: where each prefix begins, and its sums."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        batches = list(batches)  # a range: bounded
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        n, width = rows.num_rows, len(columns) + 1
+        new = np.full(n, width + 1, np.int32)  # from which length on a row differs from the one before
+        for k, names in list(enumerate([keys, *([c] for c in columns)]))[::-1]:
+            for name in names:
+                codes = rows.column(name).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+                new[1:][codes[1:] != codes[:-1]] = k
+        new[:1] = 0
+        sums = np.empty((len(measures), n, width), np.int64)
+        values = [rows.column(c).to_numpy() for c in measures]
+        for k in range(width):
+            starts = np.flatnonzero(new <= k)
+            size = np.diff(np.append(starts, n))
+            for i, v in enumerate(values):
+                sums[i, :, k] = np.repeat(np.add.reduceat(v, starts), size)
+        known = pa.array(new, pa.int32(), mask=np.arange(n) == 0)  # the first row's is known with the range before
+        totals = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.StructArray.from_arrays([pa.array(x.ravel()) for x in sums], measures))
+        out = rows.append_column("_range", pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32())).append_column("_totals", totals).append_column("_new", known)
+        yield from out.combine_chunks().to_batches(max_chunksize=4096)
+
+    return run
+
+
+def prefix_totals(rows: DataFrame, keys: list[str], columns: list[str], measures: list[str], range_rows: int = 50_000, max_ranges: int = 20_000) -> DataFrame:
+    """Adds `_totals`, an array: for k = 0 to len(columns) the struct of each measure's total over all
+    rows with the same keys and the same first k columns (nulls are equal), and `_new`: from which
+    length on the row's prefixes differ from those of the row before it in the order of keys and
+    columns. Each distinct prefix of length k has exactly one row with _new <= k. Measures are longs
+    without nulls, columns are strings.
+
+    Ranges hold about range_rows rows, more only where there would be over max_ranges of them, since
+    two rows of each come to the driver. A task holds one range. The windows that could say the same
+    take one sort of all rows for each length (or buffer each range once for each)."""
+    workers_ready(rows.sparkSession)
+    rows = materialise(rows)
+    n = rows.count()
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(max_ranges, max(-(-n // range_rows), min(spread, -(-n // 2_000)), 1))
+    order = [*keys, *columns]
+    dealt = (rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
+    sums = ",".join(f"{c}:bigint" for c in measures)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    out = dealt.mapInArrow(_one_pass(keys, columns, measures), f"{schema}, _range int, _totals array<struct<{sums}>>, _new int")
+    return _across(materialise(out), keys, columns, measures)
+
+
+def _across(out: DataFrame, keys: list[str], columns: list[str], measures: list[str]) -> DataFrame:
+    """Totals of prefixes that run over several ranges, from the first and last row of each."""
+    row = F.struct(F.struct(*keys).alias("keys"), F.array(*columns).alias("line"), "_totals")
+    if out.select("_range").distinct().limit(2).count() < 2:
+        return out.withColumn("_new", F.coalesce("_new", F.lit(0))).drop("_range")
+    ends = sorted(out.groupBy("_range").agg(F.min(row).alias("first"), F.max(row).alias("last")).collect(), key=lambda r: r["_range"])
+    width = len(columns) + 1
+
+    def shared(a, b) -> int:
+        if a["keys"] != b["keys"]:
+            return -1
+        return next((k for k, (x, y) in enumerate(zip(a["line"], b["line"])) if x != y), len(columns))
+
+    def carried(ends, near: str, far: str) -> list:
+        """What ranges on one side add to the runs at the near end of each range, and how many
+        leading plies the neighbour shares."""
+        found, last = [], None
+        for r in ends:
+            common = shared(last[far], r[near]) if last else -1
+            whole = shared(last["first"], last["last"]) if last else -1
+            sums = [[last[far]["_totals"][k][i] + (found[-1][0][k][i] if k <= whole else 0) if k <= common else 0 for i in range(len(measures))] for k in range(width)]
+            found.append((sums, common))
+            last = r
+        return found
+
+    before, after = carried(ends, "first", "last"), carried(ends[::-1], "last", "first")[::-1]
+    kinds = {f.name: f.dataType.simpleString() for f in out.schema}
+    row_type = f"struct<keys:struct<{','.join(f'{k}:{kinds[k]}' for k in keys)}>,line:array<string>>"
+    schema = f"_range int, _first {row_type}, _last {row_type}, _head array<array<bigint>>, _tail array<array<bigint>>, _common int"
+    pick = lambda r: (tuple(r["keys"]), r["line"])
+    local = [(r["_range"], pick(r["first"]), pick(r["last"]), b[0], a[0], b[1]) for r, b, a in zip(ends, before, after)]
+    fixes = out.sparkSession.createDataFrame(local, schema)  # at most max_ranges rows
+    own = out.join(F.broadcast(fixes), "_range")
+    line, key = F.array(*columns), F.struct(*keys)
+    own = own.withColumn("_f", _shared(key.eqNullSafe(F.col("_first.keys")), line, F.col("_first.line"))).withColumn("_l", _shared(key.eqNullSafe(F.col("_last.keys")), line, F.col("_last.line")))
+    part = lambda reach, sums, k, i: F.when(reach >= k, F.get(F.get(sums, k), F.lit(i))).otherwise(0)
+    totals = F.transform("_totals", lambda t, k: F.struct(*[(t[c] + part(F.col("_f"), F.col("_head"), k, i) + part(F.col("_l"), F.col("_tail"), k, i)).alias(c) for i, c in enumerate(measures)]))
+    kept = [c for c in out.columns if c not in ("_range", "_totals", "_new")]
+    return own.select(*kept, totals.alias("_totals"), F.coalesce("_new", F.col("_common") + 1).alias("_new"))
+
+
+def rollup_lines(lines: DataFrame, n_moves: int = 10, slice_total: str | None = None, **options) -> DataFrame:
     """Adds to each line of cut_lines the four totals of each of its prefixes, as columns named
-    w1_... to b<n>_...; a null after the end of a line is a move of its own.
-
-    The totals of prefixes shorter than `spread` plies are aggregated and joined. The others are
-    windows on one exchange keyed by the first `spread` plies and one sort by all of them, taken
-    from the longest prefix to the shortest, so that each finds its rows in order."""
+    w1_... to b<n>_...; a null after the end of a line is a move of its own. With slice_total, a
+    column of that name holds the slice's games. For the options see prefix_totals."""
     columns = m.move_columns(n_moves)
-    spread = min(spread, len(columns))
-    lines = materialise(lines)
-    out = lines.repartition(*SLICE, *columns[:spread])
-    for k in range(len(columns), spread - 1, -1):
-        w = Window.partitionBy(*SLICE, *columns[:k])
-        for c in COUNTS:
-            out = out.withColumn(f"{columns[k - 1].lower()}_{c}", F.sum(c).over(w) if k < len(columns) else F.col(c))
-    for k in range(1, spread):
-        keys = [*SLICE, *columns[:k]]
-        own = lines.groupBy(*keys).agg(*[F.sum(c).alias(f"{columns[k - 1].lower()}_{c}") for c in COUNTS])
-        own = own.select(*[F.col(c).alias(f"_{c}") for c in keys], *[f"{columns[k - 1].lower()}_{c}" for c in COUNTS])
-        out = out.join(own, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])).drop(*[f"_{c}" for c in keys])
-    return out.drop(*COUNTS)
-
-
-def move_shares(rolled: DataFrame, n_moves: int = 10) -> DataFrame:
-    """Adds <ply>_move_pct: the prefix's games over those of the prefix one ply shorter."""
+    out = prefix_totals(lines, SLICE, columns, COUNTS, **options)
+    totals = [F.get("_totals", F.lit(k + 1))[c].alias(f"{name.lower()}_{c}") for k, name in enumerate(columns) for c in COUNTS]
+    whole = [F.get("_totals", F.lit(0))["total_games"].alias(slice_total)] if slice_total else []
+    return out.select(*[c for c in lines.columns if c not in COUNTS], *totals, *whole)
+
+
+def move_shares(rolled: DataFrame, n_moves: int = 10, slice_total: str = "slice_games") -> DataFrame:
+    """Adds <ply>_move_pct: the prefix's games over those of the prefix one ply shorter, and over the
+    slice's for a first move. rolled: from rollup_lines with the same slice_total, which goes."""
     columns = [c.lower() for c in m.move_columns(n_moves)]
-    last = f"{columns[-1]}_total_games"
-    totals = rolled.groupBy(*SLICE).agg(F.sum(last).alias("_all"))
-    out = rolled.join(totals.select(*[F.col(c).alias(f"_{c}") for c in SLICE], "_all"), reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SLICE])).drop(*[f"_{c}" for c in SLICE])
-    for k, c in enumerate(columns):
-        before = F.col(f"{columns[k - 1]}_total_games") if k else F.col("_all")
-        out = out.withColumn(f"{c}_move_pct", F.col(f"{c}_total_games") / before)
-    return out.drop("_all")
+    totals = [slice_total, *(f"{c}_total_games" for c in columns)]
+    return rolled.select("*", *[(F.col(own) / F.col(before)).alias(f"{c}_move_pct") for c, own, before in zip(columns, totals[1:], totals)]).drop(slice_total)
 
 
 def line_shares(shared: DataFrame, n_moves: int = 10) -> DataFrame:
@@ -104,26 +193,33 @@ def line_shares(shared: DataFrame, n_moves: int = 10) -> DataFrame:
     return out
 
 
-def prefix_tree(counts: DataFrame, n_plies: int = 20) -> DataFrame:
+def prefix_tree(counts: DataFrame, n_plies: int = 20, **options) -> DataFrame:
     """One row per slice and prefix: ply, prefix, parent_prefix, move, counts, move_share (of the
     parent's games; of the slice's for a first move) and line_share (product of the own side's
     shares). counts: from line_counts. The empty prefix carries the slice's totals and isn't
-    returned."""
-    ends = F.sequence(F.lit(0), F.least(F.size("line"), F.lit(n_plies)))
-    rows = counts.select(*SLICE, *COUNTS, "line", F.explode(ends).alias("ply"))
-    rows = rows.withColumn("prefix", m.line_key(F.col("line"), F.col("ply"))).withColumn("parent_prefix", m.line_key(F.col("line"), F.greatest(F.col("ply") - 1, F.lit(0))))
-    rows = rows.withColumn("move", F.get("line", F.col("ply") - 1))
-    tree = rows.groupBy(*SLICE, "ply", "prefix", "parent_prefix", "move").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    parent = tree.select(*SLICE, (F.col("ply") + 1).alias("ply"), F.col("prefix").alias("parent_prefix"), F.col("total_games").alias("parent_games"))
-    tree = tree.filter("ply > 0").join(parent, [*SLICE, "ply", "parent_prefix"])
-    tree = tree.withColumn("share", F.col("total_games") / F.col("parent_games"))
-    # each prefix looks up the shares of its own side's earlier plies
-    tokens = F.split("prefix", " ")
-    own = F.sequence(F.when(F.col("ply") % 2 == 1, 1).otherwise(2), F.col("ply"), F.lit(2))
-    asks = tree.select(*SLICE, F.col("prefix").alias("of"), F.explode(F.transform(own, lambda i: F.array_join(F.slice(tokens, F.lit(1), i.cast("int")), " "))).alias("prefix"))
-    products = asks.join(tree.select(*SLICE, "prefix", "share"), [*SLICE, "prefix"]).groupBy(*SLICE, F.col("of").alias("prefix")).agg(F.product("share").alias("line_share"))
-    out = tree.join(products, [*SLICE, "prefix"])
-    return out.select(*SLICE, "ply", "prefix", "parent_prefix", "move", *COUNTS, F.round("share", 6).alias("move_share"), F.round("line_share", 6).alias("line_share"))
+    returned. For the options see prefix_totals."""
+    columns = [f"_m{k}" for k in range(n_plies)]
+    rows = counts.select(*SLICE, *[F.get("line", F.lit(k)).alias(c) for k, c in enumerate(columns)], F.least(F.size("line"), F.lit(n_plies)).alias("_n"), *COUNTS)
+    rows = prefix_totals(rows, SLICE, columns, COUNTS, **options)
+    games = lambda k: F.get("_totals", k)["total_games"]
+    rows = rows.select(*SLICE, F.array(*columns).alias("line"), "_totals", "_new", "_n").filter(F.greatest("_new", F.lit(1)) <= F.col("_n"))
+    rows = rows.withColumn("shares", F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: games(k) / games(k - 1)))
+    # the products of each side's shares, carried along the line
+    step = lambda a, s: F.struct(F.concat(a["done"], F.array(a["other"] * s)).alias("done"), (a["other"] * s).alias("own"), a["own"].alias("other"))
+    start = F.struct(F.array().cast("array<double>").alias("done"), F.lit(1.0).alias("own"), F.lit(1.0).alias("other"))
+    rows = rows.withColumn("products", F.aggregate("shares", start, step, lambda a: a["done"]))
+    tree = rows.withColumn("ply", F.explode(F.sequence(F.greatest("_new", F.lit(1)), F.col("_n"))))
+    at = F.get("_totals", F.col("ply"))
+    return tree.select(
+        *SLICE,
+        "ply",
+        m.line_key(F.col("line"), F.col("ply")).alias("prefix"),
+        m.line_key(F.col("line"), F.col("ply") - 1).alias("parent_prefix"),
+        F.get("line", F.col("ply") - 1).alias("move"),
+        *[at[c].alias(c) for c in COUNTS],
+        F.round(F.get("shares", F.col("ply") - 1), 6).alias("move_share"),
+        F.round(F.get("products", F.col("ply") - 1), 6).alias("line_share"),
+    )
 
 
 def top_moves(tree: DataFrame, k: int = 3) -> DataFrame:

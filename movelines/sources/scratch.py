@@ -1,13 +1,25 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and what Python workers need."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def workers_ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever the driver was started from."""
+    env = spark.sparkContext.environment
+    parts = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, parts)])
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
