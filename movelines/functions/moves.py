@@ -150,6 +150,34 @@ def state_text(moves: Column, ply: Column, key: str = "moveset") -> Column:
     return F.concat(side(0), F.lit("|"), side(1), F.lit("|"), F.when(ply % 2 == 1, "w").otherwise("b"))
 
 
+def state_texts(moves: Column, n: Column, key: str = "moveset") -> Column:
+    """state_text before the plies 1 to n + 1, as one array. Each ply adds its move to its own side's
+    sorted moves and writes only that side's text again."""
+    steps = F.when(n > 0, F.slice(moves, F.lit(1), n)).otherwise(F.array().cast("array<string>"))
+    if key == "path":
+        path = lambda a, x: F.struct(F.concat(a["done"], F.array(F.concat(F.element_at(a["done"], -1), F.when(F.size(a["done"]) == 1, "").otherwise(" "), x))).alias("done"))
+        return F.aggregate(steps, F.struct(F.array(F.lit("")).alias("done")), path, lambda a: a["done"])
+    if key != "moveset":
+        raise ValueError(key)
+    start = F.struct(F.array(F.lit("||w")).alias("done"), F.array().cast("array<string>").alias("own"), F.array().cast("array<string>").alias("other"), F.lit("").alias("own_text"), F.lit("").alias("other_text"))
+
+    def step(a: Column, x: Column) -> Column:
+        white = F.size(a["done"]) % 2 == 1  # who moves now
+
+        def written(mine: Column, text: Column) -> Column:
+            state = F.when(white, F.concat(text, F.lit("|"), a["other_text"], F.lit("|b"))).otherwise(F.concat(a["other_text"], F.lit("|"), text, F.lit("|w")))
+            return F.struct(F.concat(a["done"], F.array(state)).alias("done"), a["other"].alias("own"), mine.alias("other"), a["other_text"].alias("own_text"), text.alias("other_text"))
+
+        return _let(F.sort_array(F.concat(a["own"], F.array(x))), lambda mine: _let(F.array_join(mine, " "), lambda text: written(mine, text)))
+
+    return F.aggregate(steps, start, step, lambda a: a["done"])
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def key64(state: Column) -> Column:
     """A positive 60-bit key of a state's text."""
     return F.conv(F.substring(F.md5(state), 1, 15), 16, 10).cast("bigint")

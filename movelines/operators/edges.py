@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import moves as m
 
-START = "||w"
+#: The text of the first state, by kind of key.
+STARTS = {"moveset": "||w", "path": ""}
+START = STARTS["moveset"]
 
 
 def parsed(games: DataFrame) -> DataFrame:
@@ -25,18 +27,17 @@ def position_edges(games: DataFrame, max_ply: int = 30, key: str = "moveset", st
     rows = parsed(games)
     n = F.least(F.size("moves"), F.lit(max_ply))
     plies = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    if key == "supplied":
-        all_states = F.col(states)
-    else:
-        all_states = F.transform(F.sequence(F.lit(1), n + 1), lambda p: m.state_text(F.col("moves"), p, key))
-    rows = rows.withColumn("_states", all_states).withColumn("ply", F.explode(plies))
-    rows = rows.withColumn("parent_state", F.get("_states", F.col("ply") - 1))
+    all_states = F.slice(states, F.lit(1), n + 1) if key == "supplied" else m.state_texts(F.col("moves"), n, key)
+    # each state is written and hashed once; its key serves as a child's and as a parent's
+    pairs = F.transform(F.col("_states"), lambda s: F.struct(s.alias("state"), m.key64(s).alias("key")))
+    rows = rows.withColumn("_states", all_states).withColumn("_states", pairs).withColumn("ply", F.explode(plies))
+    at = lambda k: F.get("_states", k)
     return rows.select(
         "game_id",
         "ply",
-        m.key64(F.col("parent_state")).alias("parent_key"),
-        "parent_state",
-        m.key64(F.get("_states", F.col("ply"))).alias("child_key"),
+        at(F.col("ply") - 1)["key"].alias("parent_key"),
+        at(F.col("ply") - 1)["state"].alias("parent_state"),
+        at(F.col("ply"))["key"].alias("child_key"),
         F.get("moves", F.col("ply") - 1).alias("move_san"),
         "white_score",
         "elo_band",
