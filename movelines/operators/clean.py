@@ -31,12 +31,13 @@ RENAMED = {
 DERIVED = ["game_id", "mean_elo", "elo_band", "white_score", "move_count", "opening_family", "eco_class", "has_eval", "base_time", "increment"]
 
 
-def clean_games(raw: DataFrame) -> DataFrame:
-    """Rated games of the six kept kinds: 17 renamed columns, the partition keys, 10 derived ones."""
+def clean_games(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rated games of the six kept kinds: 17 renamed columns, the partition keys, 10 derived ones, and
+    the columns of `keep` as they are."""
     kept = raw.filter(F.col("Event").isin(*g.EVENTS))
     ratings = {"white_elo", "black_elo"}
     names = [(F.col(old).try_cast("int") if new in ratings else F.col(old)).alias(new) for old, new in RENAMED.items()]
-    base = kept.select(*names, g.event_label(F.col("Event")).alias("event"), F.col("year").cast("int"), F.col("month").cast("int"))
+    base = kept.select(*names, g.event_label(F.col("Event")).alias("event"), F.col("year").cast("int"), F.col("month").cast("int"), *keep)
     mean = g.mean_elo(F.col("white_elo"), F.col("black_elo"))
     return base.select(
         "*",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -65,6 +65,18 @@ def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weighed_states(moves: Column) -> Column:
+    """States as a user may supply them: what White's and Black's moves so far weigh (c4 and c5 two,
+    others one), and the side to move. One state is reached after different numbers of plies, and no
+    game comes back to one."""
+    own = lambda p, odd: F.aggregate(F.filter(F.slice(moves, F.lit(1), p), lambda _, i: i % 2 == odd), F.lit(0), lambda s, x: s + F.when(x.isin("c4", "c5"), 2).otherwise(1))
+    return F.transform(F.sequence(F.lit(0), F.size(moves)), lambda p: F.concat_ws("|", own(p, 0).cast("string"), own(p, 1).cast("string"), F.when(p % 2 == 0, "w").otherwise("b")))
+
+
+#: The first of them.
+WEIGHED_START = "0|0|w"
+
+
 def book(spark: SparkSession, lines=BOOK) -> DataFrame:
     return spark.createDataFrame([(x.split(" "),) for x in lines], "line array<string>")
 

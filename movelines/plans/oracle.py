@@ -305,6 +305,39 @@ QUERIES |= {
     "stats_sink_roundtrip": "SELECT event, elo_band, count(*) AS rows, CAST(sum(total) AS BIGINT) AS games FROM stats GROUP BY ALL",
 }
 
+# ---- states at several depths, and states by path --------------------------------------
+
+_BAND_CLASS = "CASE WHEN elo_band IS NULL THEN NULL WHEN elo_band < 1000 THEN 'under_1000' WHEN elo_band < 1200 THEN '1000_1200' WHEN elo_band < 1400 THEN '1200_1400' WHEN elo_band < 1600 THEN '1400_1600' WHEN elo_band < 1800 THEN '1600_1800' WHEN elo_band < 2000 THEN '1800_2000' WHEN elo_band < 2200 THEN '2000_2200' WHEN elo_band < 2500 THEN '2200_2500' ELSE 'over_2500' END"
+QUERIES["select_slice"] = f"""SELECT year, month, event, elo_band, rating_class, game_id FROM (SELECT *, {_BAND_CLASS} AS rating_class FROM games)
+    WHERE month = 6 AND (elo_band, rating_class) IN ((1500, '1400_1600'), (1500, '2200_2500'), (2300, '2200_2500'))"""
+
+
+def _weighed(moves: str, ply: str) -> str:
+    """The state before a ply: what each side's moves weigh, and who moves."""
+    own = lambda odd: f"CAST(coalesce(list_sum(list_transform({moves}[1:{ply} - 1], lambda x, i: CASE WHEN i % 2 <> {odd} THEN 0 WHEN x IN ('c4', 'c5') THEN 2 ELSE 1 END)), 0) AS VARCHAR)"
+    return f"({own(1)} || '|' || {own(0)} || '|' || CASE WHEN {ply} % 2 = 1 THEN 'w' ELSE 'b' END)"
+
+
+def _repertoire(name: str, edges: str, start: str, side: str, perspective: str, level: str, levels: int, reach: int) -> None:
+    """Steps of a repertoire over other states: level grows by 1 to `reach` with each move."""
+    STEPS[f"{name}edges"] = edges
+    STEPS[f"{name}stats"] = _stat_step(f"{name}edges", MIN_GAMES)
+    STEPS[f"{name}graph"] = f"SELECT event, elo_band, parent_key, child_key, move_san, {side} AS side, {level} AS level, total, white_score_avg, parent_state FROM {name}stats WHERE elo_band IS NOT NULL AND child_key IS NOT NULL"
+    at = f"parent_key = {_key(chr(39) + start + chr(39))}"
+    STEPS[f"{name}priors"] = f"SELECT event, elo_band, CASE WHEN n < 100 THEN 0.5 ELSE s / n END AS prior FROM (SELECT event, elo_band, sum(CASE WHEN {at} THEN white_score_avg * total ELSE 0.0 END) AS s, sum(CASE WHEN {at} THEN total ELSE 0 END) AS n FROM {name}stats WHERE elo_band IS NOT NULL GROUP BY ALL)"
+    STEPS[f"{name}leaves"] = f"""SELECT g.*, (30.0 * prior + white_score_avg * total) / (30.0 + total) AS leaf_value, coalesce(cf, 0.0) AS cf FROM {name}graph g JOIN {name}priors USING (event, elo_band)
+        LEFT JOIN (SELECT event, elo_band, parent_key AS child_key, sum(total::DOUBLE * total) / (sum(total::DOUBLE) * sum(total::DOUBLE)) AS cf FROM {name}graph GROUP BY ALL) USING (event, elo_band, child_key)"""
+    for k in range(levels, -1, -1):
+        after = [f"SELECT * FROM {name}_{j}" for j in range(k + 1, min(k + reach, levels) + 1)]
+        STEPS[f"{name}_{k}"] = _valued(f"(SELECT * FROM {name}leaves WHERE level = {k})", f"({' UNION ALL '.join(after)})" if after else None, perspective, 0.0)
+    STEPS[name] = " UNION ALL ".join(f"SELECT * FROM {name}_{k}" for k in range(levels + 1))
+    QUERIES[f"repertoire_{name}"] = _SHOWN + name
+
+
+# a state's level is all that was played: at most two a ply
+_repertoire("supplied", _edge_step(_weighed), "0|0|w", "right(parent_state, 1)", "white", "CAST(split_part(parent_state, '|', 1) AS INT) + CAST(split_part(parent_state, '|', 2) AS INT)", 2 * MAX_PLY, 2)
+_repertoire("path", _edge_step(_path), "", "CASE WHEN ply % 2 = 1 THEN 'w' ELSE 'b' END", "black", "ply", MAX_PLY, 1)
+
 _RECURSIVE = {"walk", "reach"}
 
 

@@ -64,6 +64,13 @@ def select_partitions(spark, sf_dir):
     return out.groupBy("year", "month", "event").agg(F.count("*").alias("games"))
 
 
+def select_slice(spark, sf_dir):
+    """One month, one band and one class."""
+    own = games(spark, sf_dir).withColumn("rating_class", g.rating_class(F.col("elo_band")))
+    parts = [tables.select_partitions(own, month=6, elo_band=band, rating_class=name) for band, name in ((1500, "1400_1600"), (1500, "2200_2500"), (2300, "2200_2500"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("year", "month", "event", "elo_band", "rating_class", "game_id")
+
+
 def pending_partitions(spark, sf_dir):
     catalog = tables.partition_catalog(games(spark, sf_dir))
     return tables.pending_partitions(catalog, catalog.filter("month <= 6"))
@@ -207,16 +214,20 @@ def _pcts(df, kind):
     return df.select(*explorer.SLICE, *m.move_columns(10), *[F.round(f"{c.lower()}_{kind}", 6).alias(f"{c.lower()}_{kind}") for c in m.move_columns(10)])
 
 
+def _shares(spark, sf_dir):
+    return explorer.move_shares(explorer.rollup_lines(_lines10(spark, sf_dir), 10, "slice_games"), 10, "slice_games")
+
+
 def move_share(spark, sf_dir):
-    return _pcts(explorer.move_shares(explorer.rollup_lines(_lines10(spark, sf_dir), 10), 10), "move_pct")
+    return _pcts(_shares(spark, sf_dir), "move_pct")
 
 
 def line_share(spark, sf_dir):
-    return _pcts(explorer.line_shares(explorer.move_shares(explorer.rollup_lines(_lines10(spark, sf_dir), 10), 10), 10), "line_pct")
+    return _pcts(explorer.line_shares(_shares(spark, sf_dir), 10), "line_pct")
 
 
 def _tree(spark, sf_dir):
-    return explorer.prefix_tree(materialise(explorer.line_counts(games(spark, sf_dir))), 20)
+    return explorer.prefix_tree(explorer.line_counts(games(spark, sf_dir)), 20)
 
 
 def prefix_tree(spark, sf_dir):
@@ -379,6 +390,19 @@ def induction_tails(spark, sf_dir):
     return _shown(induction.backward_induction(materialise(graph), priors, "white", levels=False))
 
 
+def _supplied(spark, sf_dir):
+    """Raw games with states of their own, which positions at several depths share."""
+    return fixtures.raw_games(spark, sf_dir).withColumn("states", fixtures.weighed_states(m.san_moves(F.col("movetext"))))
+
+
+def repertoire_supplied(spark, sf_dir):
+    return _shown(build_repertoire(_supplied(spark, sf_dir), "white", min_games=MIN_GAMES, key="supplied", start=fixtures.WEIGHED_START))
+
+
+def repertoire_path(spark, sf_dir):
+    return _shown(build_repertoire(fixtures.raw_games(spark, sf_dir), "black", min_games=MIN_GAMES, key="path"))
+
+
 def recommended_first_moves(spark, sf_dir):
     return induction.recommended_first_moves(_repertoire(spark, sf_dir)[0])
 
@@ -443,7 +467,7 @@ def worst_positions(spark, sf_dir):
 
 
 _NAMES = """
-partition_catalog select_partitions pending_partitions limit_per_partition write_partitioned_roundtrip edge_folder_scan stats_sink_roundtrip run_summary
+partition_catalog select_partitions select_slice pending_partitions limit_per_partition write_partitioned_roundtrip edge_folder_scan stats_sink_roundtrip run_summary
 pipeline_white pipeline_black
 clean_games analysis_subset
 tokens tokens_keep_result tokens_dotted strip_clocks wide_moves opening_set_split truncate_by_opening parse_failures eval_alignment
@@ -451,7 +475,7 @@ explorer_lines explorer_pivot lines_b10 line_rollup move_share line_share prefix
 eval_strings eval_braces eval_mates eval_value wide_evals line_evals eval_rollup_leaf eval_rollup_game prefix_evals prefix_evals_wide
 position_edges position_edges_path position_edges_supplied edges_ply_cap ply_convergence first_moves
 position_stats position_stats_min stats_coverage rows_per_event top_first_moves
-slice_priors leaf_values forcingness repertoire_white repertoire_black repertoire_forcing induction_cycles induction_tails induction_rounds
+slice_priors leaf_values forcingness repertoire_white repertoire_black repertoire_forcing repertoire_supplied repertoire_path induction_cycles induction_tails induction_rounds
 recommended_first_moves largest_slice best_lines
 reachable reachable_states pending_evals merge_evals evals_from_games
 annotate_white annotate_black safety_summary unsafe_first_moves worst_positions

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +50,11 @@ def limit_per_partition(games: DataFrame, n: int, keys=PARTITION, order: str = "
 
 
 def write_partitioned(df: DataFrame, path: str, keys=PARTITION, max_rows: int = 2_000_000) -> None:
-    """zstd level 3, at most max_rows rows a file; only the partitions in df are replaced. A
-    partition with more rows is counted first and spread over as many tasks as it gets files."""
-    parts = df.groupBy(*keys).agg(F.ceil(F.count("*") / max_rows).alias("_files"))
-    large = parts.filter("_files > 1")
-    salt = F.lit(0)
-    if not large.isEmpty():
-        sizes = large.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_files")
-        df = df.join(sizes, reduce(lambda x, y: x & y, [df[k].eqNullSafe(sizes[f"_of_{k}"]) for k in keys]), "left")
-        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.coalesce("_files", F.lit(1)))
-    spread = df.withColumn("_salt", salt).repartition(*keys, "_salt")
+    """zstd level 3, at most max_rows rows a file; only the partitions in df are replaced. One job over
+    df: its rows are dealt by partition, then tasks of spark.sql.adaptive.advisoryPartitionSizeInBytes
+    are made of them, from a share of a large partition or from several small ones."""
     (
-        spread.drop("_salt", "_files", *[f"_of_{k}" for k in keys])
+        df.hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_rows)
