@@ -3,7 +3,9 @@
 Each unit vector x is stored as scale * q + e with q in int8 and the length of e known exactly.
 For two vectors, |x.y - sx*sy*qx.qy| <= |x||ey| + |ex||y'| where y' = y - ey, so the int8
 product and two scalars bound the cosine from both sides. Tiles of int8 products run as matrix
-products (exact: the integers stay far below 2**24). A pair whose lower bound reaches the
+products of at most 1,024 dimensions at once (exact: the integers stay below 2**24). The bounds of
+a pair are made of its own two vectors only, number by number, so they are the same in whatever
+tile the pair comes up. A pair whose lower bound reaches the
 threshold is a link, one whose upper bound doesn't is none, and only the pairs in between are
 computed again, from the stored values, in double precision.
 
@@ -61,21 +63,30 @@ class Codes:
         return Codes(self.values[rows], self.scale[rows], self.error[rows])
 
 
+def _exact_product(a: np.ndarray, b: np.ndarray, dims: int = 1024) -> np.ndarray:
+    """The products of rows of int8 values, as float32 rounded once, whatever the matrices' shapes."""
+    if a.shape[1] <= dims:
+        return a @ b.T
+    total = np.zeros((len(a), len(b)))
+    for s in range(0, a.shape[1], dims):
+        total += a[:, s : s + dims] @ b[:, s : s + dims].T
+    return total.astype(np.float32)
+
+
 def tile_bounds(left: Codes, right: Codes, threshold: float, tile: int = 1024, same: bool = False):
     """(rows of left, rows of right, certain, open): for each tile, which pairs are links for
     certain and which may be. Of a block against itself each pair comes once, i < j, if `same`."""
-    # of the float32 arithmetic: integer sums are exact below 2**24, that is up to 1,040 dimensions
-    dims = left.values.shape[1]
-    slack = np.float32(1e-5 + (0 if dims <= 1040 else dims * 1.2e-7))
+    slack = np.float32(1e-5)  # of the float32 arithmetic after the integer product
     fl, fr = left.values.astype(np.float32), right.values.astype(np.float32)
     for a in range(0, len(fl), tile):
         ra = slice(a, min(len(fl), a + tile))
         for b in range(a if same else 0, len(fr), tile):
             rb = slice(b, min(len(fr), b + tile))
-            product = fl[ra] @ fr[rb].T
+            product = _exact_product(fl[ra], fr[rb])
             product *= left.scale[ra, None].astype(np.float32) * right.scale[None, rb].astype(np.float32)
             # |x||ey| + |ex||y'|, with |x| = 1 and |y'| <= 1 + ey
-            away = left.error[ra, None].astype(np.float32) * np.float32(1 + right.error[rb].max(initial=0)) + right.error[None, rb].astype(np.float32) + slack
+            er = right.error[None, rb].astype(np.float32)
+            away = left.error[ra, None].astype(np.float32) * (er + np.float32(1)) + (er + slack)
             maybe = product + away >= threshold
             if same and a == b:
                 maybe &= np.arange(a, ra.stop)[:, None] < np.arange(b, rb.stop)[None, :]
@@ -122,9 +133,9 @@ class _Cell:
         self.left, self.right = slice(0, cut), slice(0, cut) if self.same else slice(cut, len(side))
         self.links, self.label = np.zeros(len(side)), np.arange(len(side))
 
-    def bounds(self, codes: Codes, threshold: float):
+    def bounds(self, codes: Codes, threshold: float, tile: int):
         """tile_bounds, with rows counted over the whole group."""
-        for ra, rb, certain, maybe in tile_bounds(codes[self.left], codes[self.right], threshold, same=self.same):
+        for ra, rb, certain, maybe in tile_bounds(codes[self.left], codes[self.right], threshold, tile, same=self.same):
             yield ra, slice(rb.start + self.right.start, rb.stop + self.right.start), certain, maybe
 
     def link(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -141,11 +152,11 @@ def _codes(table: pa.Table) -> Codes:
     return Codes(values, table.column("scale").to_numpy(), table.column("error").to_numpy())
 
 
-def _by_codes(threshold: float):
+def _by_codes(threshold: float, tile: int):
     def run(table: pa.Table) -> pa.Table:
         cell = _Cell(table)
         needed = np.zeros(len(cell.node), bool)
-        for ra, rb, certain, maybe in cell.bounds(_codes(cell.table), threshold):
+        for ra, rb, certain, maybe in cell.bounds(_codes(cell.table), threshold, tile):
             if certain.any():
                 i, j = np.nonzero(certain)
                 cell.link(i + ra.start, j + rb.start)
@@ -161,11 +172,11 @@ def _by_codes(threshold: float):
     return run
 
 
-def _by_vectors(threshold: float):
+def _by_vectors(threshold: float, tile: int):
     def run(table: pa.Table) -> pa.Table:
         cell = _Cell(table)
         unit = _unit(_matrix(cell.table.column("vector")))
-        for ra, rb, _, maybe in cell.bounds(_codes(cell.table), threshold):
+        for ra, rb, _, maybe in cell.bounds(_codes(cell.table), threshold, tile):
             i, j = np.nonzero(maybe)
             for x, y in exact_links(unit, unit, i + ra.start, j + rb.start, threshold):
                 cell.link(x, y)
@@ -174,7 +185,7 @@ def _by_vectors(threshold: float):
     return run
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_rows: int = 6144) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_rows: int = 6144, tile: int = 1024) -> DataFrame:
     """Link vectors with cosine >= threshold. One row per input row: id, n_links (other rows
     linked directly), component_id (smallest id that links reach), kept (id = component_id).
 
@@ -208,9 +219,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cells = cells.select("node", "weight", "codes", "scale", "error", "dims", "c.side", (F.col("c.p").cast("long") * F.col("n") + F.col("c.q")).alias("cell"))
     # a number of tasks is given, since few bytes of codes mean much work
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = materialise(cells.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_codes(threshold), _FIRST_SQL))
+    first = materialise(cells.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_codes(threshold, tile), _FIRST_SQL))
     asked = first.filter("cell is not null").select("dims", "cell", "node", "side").join(classes.select("node", "weight", "vector", "codes", "scale", "error"), "node")
-    second = asked.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_vectors(threshold), "node long, links long, other long")
+    second = asked.repartition(tasks, "dims", "cell").groupBy("dims", "cell").applyInArrow(_by_vectors(threshold, tile), "node long, links long, other long")
     found = materialise(first.filter("cell is null").select("node", "links", "other").union(second))
     members = connected_components(found, "node", "other")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
