@@ -114,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the shares that they have among all labels. An id with both labels counts as 0; null ids and
     other labels don't count. Without both labels, the score is near the one label there is (0.5
     without any). steps is the least number of gradient steps. The sample is drawn from the labels, so only its ids meet the documents, and
-    only its documents' features come to the driver."""
+    only the features of one text for each of them (the one with the smallest hash, where rows repeat
+    an id) come to the driver: at most 3 * per_class rows."""
     session_ready(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     counts = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -122,9 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(buckets, np.int64), {0: -4.0, 1: 4.0}[next(iter(counts))] if counts else 0.0)
     place = F.xxhash64(F.lit(seed), F.col("_id")).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     share = F.coalesce(*[F.when(F.col("_label") == k, F.lit(min(1.0, 1.2 * per_class / n))) for k, n in counts.items()])
-    chosen = known.withColumn("_place", place).filter(F.col("_place") < share).limit(3 * per_class)  # so that its size is bounded
+    chosen = known.withColumn("_place", place).filter(F.col("_place") < share).orderBy("_place", "_id").limit(3 * per_class)  # so that its size is bounded, and no rerun takes others
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sample = texts.join(F.broadcast(chosen), "_id").select("_text", "_label", "_place")
+    # one text for each id, however many rows have it: no more rows than ids reach the driver
+    sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label", "_place").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text")).drop("_id")
 
     def run(batches):
         for block in blocks(batches, "_text"):
