@@ -321,9 +321,11 @@ def write_tokens(
     share: float = 0.9,
     segment_bytes: int = 4 << 20,
     special_as_text: bool = False,
+    range_bytes: int = 256 << 20,
 ) -> None:
     """Encode whole texts, append end_id to each, and write segments in ascending id order
-    (null ids first, equal ids by text). Null and empty texts hold end_id alone. The string of a
+    (null ids first, equal ids by a hash of the text). A task writes about range_bytes of text, also
+    where one id, or none, holds many rows. Null and empty texts hold end_id alone. The string of a
     special token is that token, as the library has it, or text with `special_as_text`."""
     spark = session_ready(docs.sparkSession)
     if not 1 <= block <= 65_535:
@@ -341,8 +343,13 @@ def write_tokens(
             before += len(tokens)
 
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    ordered = source.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id").sortWithinPartitions("_id", "_text")
-    ordered.mapInArrow(run, _FILE).write.option("compression", "none").parquet(path)
+    size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    # rows of one id, or without one, are dealt by text, and copies of one by place
+    order = ["_id", "_hash", "_row"]
+    source = source.withColumn("_hash", F.xxhash64("_text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = source.repartitionByRange(ranges, *order).sortWithinPartitions("_id", "_hash", "_text")
+    ordered.select("_id", "_text").mapInArrow(run, _FILE).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
