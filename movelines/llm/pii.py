@@ -34,9 +34,6 @@ KINDS = (*BASE_KINDS, "iban", "card_group", "card13", "ssn", "local_phone")
 
 _LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_EMAIL_TAIL = re.compile(r"[A-Za-z0-9._%+@-]*")
-_NOT_EMAIL = re.compile(r"[^A-Za-z0-9._%+@-]")
 _RUN = re.compile(r"[0-9+][0-9 ().+-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
