@@ -60,6 +60,19 @@ def ply_convergence(edges: DataFrame, exact: bool = True) -> DataFrame:
     return out.withColumn("games_per_position", F.round(F.col("edges") / F.col("positions"), 1)).orderBy("ply")
 
 
+def ply_sketches(edges: DataFrame, keys=("year", "month"), lg_size: int = 14) -> DataFrame:
+    """Edges by keys and ply with a sketch of their positions, to be stored and merged. A sketch takes
+    at most 2 ** lg_size bytes and estimates a count with a standard error of 0.8 / sqrt(2 **
+    lg_size), 0.7 % by default; some 1,500 positions and fewer are all but exact."""
+    return edges.groupBy(*keys, "ply").agg(F.count("*").alias("edges"), F.hll_sketch_agg("parent_key", F.lit(lg_size)).alias("sketch"))
+
+
+def convergence_of_sketches(sketches: DataFrame, keys=()) -> DataFrame:
+    """ply_convergence from stored sketches, by ply and `keys`; positions are estimates."""
+    out = sketches.groupBy(*keys, "ply").agg(F.sum("edges").alias("edges"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("positions"))
+    return out.withColumn("games_per_position", F.round(F.col("edges") / F.col("positions"), 1)).orderBy(*keys, "ply")
+
+
 def first_moves(edges: DataFrame, k: int = 15, start: str = START) -> DataFrame:
     """The k most played moves of the start position, with the mean score."""
     own = edges.filter(F.col("parent_key") == m.key64(F.lit(start)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import moves as m
@@ -22,13 +22,15 @@ def reachable(repertoire: DataFrame, edges: DataFrame, perspective: str, opp_min
     nodes = materialise(repertoire.select(*NODE, "parent_state", "best_move", "side"))
     ours = F.col("side") == perspective[0]
     open_moves = nodes.withColumnRenamed("side", "to_move").join(edges.select(*NODE, "move_san", "child_key", "total", "side"), NODE)
-    steps = materialise(open_moves.filter((ours & (F.col("move_san") == F.col("best_move"))) | (~ours & (F.col("total") >= opp_min_games))).select(*NODE, "child_key").distinct())
+    steps = open_moves.filter((ours & (F.col("move_san") == F.col("best_move"))) | (~ours & (F.col("total") >= opp_min_games))).select(*NODE, "child_key").distinct()
     names, known = nodes.select(*NODE, "parent_state"), nodes.select(*NODE)
+    # only steps within the repertoire, looked up once and not in every round
+    steps = materialise(steps.join(known.withColumnRenamed("parent_key", "child_key"), [*SLICE, "child_key"], "left_semi"))
     frontier = materialise(known.filter(F.col("parent_key") == m.key64(F.lit(start))).withColumn("depth", F.lit(0)))
     found = [frontier]
     for depth in range(1, max_depth + 1):
         after = frontier.join(steps, NODE).select(*SLICE, F.col("child_key").alias("parent_key")).distinct()
-        new = after.join(reduce(DataFrame.union, found), NODE, "left_anti").join(known, NODE, "left_semi")
+        new = after.join(reduce(DataFrame.union, found), NODE, "left_anti")
         frontier = materialise(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -47,11 +49,51 @@ def pending_evals(states: DataFrame, cache: DataFrame, depth: int) -> DataFrame:
     return states.join(known, "state", "left").filter(F.coalesce("known", F.lit(0)) < depth).select("state")
 
 
+CACHE = ["depth", "cp", "engine_best_uci", "evaluated_at"]
+
+
+def _rank() -> Column:
+    """An evaluation as a struct, the better one smaller: the deepest, then the latest, then the
+    smallest other values; nulls last."""
+    last = lambda c, x: [F.col(c).isNull(), x]
+    keys = [*last("depth", -F.col("depth")), *last("evaluated_at", -F.unix_micros("evaluated_at")), *last("cp", F.col("cp")), *last("engine_best_uci", F.col("engine_best_uci"))]
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *CACHE)
+
+
+def best_evals(evals: DataFrame) -> DataFrame:
+    """One row per state, the best one. Combined before the shuffle: no state's rows are gathered."""
+    return evals.groupBy("state").agg(F.min(_rank()).alias("b")).select("state", *[F.col(f"b.{c}") for c in CACHE])
+
+
 def merge_evals(cache: DataFrame, new: DataFrame) -> DataFrame:
     """One row per state: the deepest, then the latest, then the smallest other values."""
-    order = [F.desc("depth"), F.desc_nulls_last("evaluated_at"), F.asc_nulls_last("cp"), F.asc_nulls_last("engine_best_uci")]
-    w = Window.partitionBy("state").orderBy(*order)
-    return cache.unionByName(new).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    return best_evals(cache.unionByName(new))
+
+
+def store_cache(cache: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The cache as a table clustered and sorted by state, one row each, for merge_stored and annotate:
+    neither moves it any more. An older table of this name is replaced."""
+    spark = cache.sparkSession
+    best_evals(cache).repartition(buckets, "state").write.mode("overwrite").bucketBy(buckets, "state").sortBy("state").saveAsTable(table)
+    return spark.table(table)
+
+
+def merged_with_stored(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """merge_evals, with a stored cache: only the new rows, one a state, move to its clusters."""
+    fresh = best_evals(new).select("state", _rank().alias("_new"))
+    old = stored.select("state", F.when(F.lit(True), _rank()).alias("_old"))
+    best = F.least("_old", "_new")  # the other one where one is null
+    return old.join(fresh, "state", "full_outer").select("state", best.alias("b")).select("state", *[F.col(f"b.{c}") for c in CACHE])
+
+
+def merge_stored(stored: str, new: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Merges new evaluations into the table `stored`; the result is the clustered table `table`,
+    another one, so readers of the old one are not disturbed and a failed merge changes nothing."""
+    if table == stored:
+        raise ValueError("the merged cache needs a name of its own")
+    spark = new.sparkSession
+    merged_with_stored(spark.table(stored), new).write.mode("overwrite").bucketBy(buckets, "state").sortBy("state").saveAsTable(table)
+    return spark.table(table)
 
 
 def evals_from_games(games: DataFrame, max_ply: int = 30, key: str = "moveset") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moves as m
+from ..sources.tables import write_partitioned
 from .edges import START
 
 SLICE = ["event", "elo_band"]
@@ -30,6 +31,39 @@ def position_stats(edges: DataFrame, min_games: int = 10, max_ply: int | None =
     return out.withColumn("white_score_avg", (F.col("white_wins") + 0.5 * F.col("draws")) / F.col("total"))
 
 
+MONTH = ("year", "month")
+
+
+def partial_stats(edges: DataFrame) -> DataFrame:
+    """What a month of edges adds to the statistics, by (year, month, event, elo_band, parent_key,
+    move_san): sums and minima, which merge."""
+    score = F.col("white_score")
+    return edges.groupBy(*MONTH, *SLICE, "parent_key", "move_san").agg(
+        F.min("parent_state").alias("parent_state"),
+        F.min("child_key").alias("child_key"),
+        F.min("ply").alias("ply"),
+        F.count_if(score == 1.0).alias("white_wins"),
+        F.count_if(score == 0.5).alias("draws"),
+        F.count_if(score == 0.0).alias("black_wins"),
+        F.count("*").alias("total"),
+    )
+
+
+def merge_stats(partials: DataFrame, min_games: int = 10) -> DataFrame:
+    """position_stats of all the months that the partials hold."""
+    out = partials.groupBy(*SLICE, "parent_key", "move_san").agg(*[F.min(c).alias(c) for c in ("parent_state", "child_key", "ply")], *[F.sum(c).alias(c) for c in ("white_wins", "draws", "black_wins", "total")])
+    out = out.filter(F.col("total") >= min_games)
+    return out.withColumn("white_score_avg", (F.col("white_wins") + 0.5 * F.col("draws")) / F.col("total"))
+
+
+def add_months(edges: DataFrame, path: str, min_games: int = 10) -> DataFrame:
+    """Adds the months of `edges` to the partial statistics stored at `path`, in place of what was
+    there of these months, and returns the statistics of all months (read them before the next call,
+    which may replace files). Older edges aren't read."""
+    write_partitioned(partial_stats(edges), path, MONTH)
+    return merge_stats(edges.sparkSession.read.parquet(path), min_games)
+
+
 def stats_coverage(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("rows"), F.count_distinct("parent_key").alias("positions"))
 

@@ -338,6 +338,14 @@ def _repertoire(name: str, edges: str, start: str, side: str, perspective: str,
 _repertoire("supplied", _edge_step(_weighed), "0|0|w", "right(parent_state, 1)", "white", "CAST(split_part(parent_state, '|', 1) AS INT) + CAST(split_part(parent_state, '|', 2) AS INT)", 2 * MAX_PLY, 2)
 _repertoire("path", _edge_step(_path), "", "CASE WHEN ply % 2 = 1 THEN 'w' ELSE 'b' END", "black", "ply", MAX_PLY, 1)
 
+QUERIES |= {
+    "manifest_catalog": "SELECT year, month, event, CASE WHEN month <= 3 AND drawn > 0 THEN drawn ELSE n END AS rows FROM (SELECT year, month, event, count(*) AS n, count(*) FILTER (white_score = 0.5) AS drawn FROM games GROUP BY ALL)",
+    "manifest_pending": "SELECT DISTINCT year, month, event FROM games WHERE (year, month, event) NOT IN (SELECT (year, month, event) FROM parsed WHERE year < 1996 AND len(mv) > 0)",
+    "position_stats_months": QUERIES["position_stats_min"],
+    "ply_convergence_months": "SELECT year, ply, count(*) AS edges, count(DISTINCT parent_key) AS positions FROM edges GROUP BY ALL",
+    "merge_evals_stored": QUERIES["merge_evals"],
+}
+
 _RECURSIVE = {"walk", "reach"}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,23 @@ def stats_sink_roundtrip(spark, sf_dir):
     return tables.read_stats(spark, path).groupBy("event", "elo_band").agg(F.count("*").alias("rows"), F.sum("total").alias("games"))
 
 
+def manifest_catalog(spark, sf_dir):
+    """Partitions and their rows from the manifest, after a second write replaced those of early
+    months by their drawn games."""
+    path, own = scratch_dir(spark), games(spark, sf_dir).select("year", "month", "event", "game_id", "white_score")
+    tables.write_logged(own, path)
+    tables.write_logged(own.filter("month <= 3 and white_score = 0.5"), path)
+    return tables.partition_catalog(tables.read_manifest(spark, path), ("year", "month", "event", "rows"), newest_first=True)
+
+
+def manifest_pending(spark, sf_dir):
+    """What a table of edges lacks of the games, both read from their manifests."""
+    path, own = scratch_dir(spark), games(spark, sf_dir).select("year", "month", "event", "game_id", "movetext", "white_score", "elo_band", "mean_elo")
+    tables.write_logged(own, path)
+    tables.write_logged(edges.position_edges(own.filter("year < 1996")), f"{path}_edges")
+    return tables.pending_partitions(tables.read_manifest(spark, path).select("year", "month", "event"), tables.read_manifest(spark, f"{path}_edges"))
+
+
 def run_summary(spark, sf_dir):
     return edges.run_summary(games(spark, sf_dir))
 
@@ -320,6 +339,12 @@ def ply_convergence(spark, sf_dir):
     return edges.ply_convergence(_edges(spark, sf_dir))
 
 
+def ply_convergence_months(spark, sf_dir):
+    """By year, from sketches stored by month."""
+    sketches = materialise(edges.ply_sketches(_edges(spark, sf_dir)))
+    return edges.convergence_of_sketches(sketches, ("year",)).select("year", "ply", "edges", "positions")
+
+
 def first_moves(spark, sf_dir):
     return edges.first_moves(_edges(spark, sf_dir))
 
@@ -332,6 +357,14 @@ def position_stats_min(spark, sf_dir):
     return stats.position_stats(_edges(spark, sf_dir), 10)
 
 
+def position_stats_months(spark, sf_dir):
+    """Statistics from stored months: all but the last two years, then those, then a year once more."""
+    path, own = scratch_dir(spark), _edges(spark, sf_dir)
+    stats.add_months(own.filter("year < 1997"), path)
+    stats.add_months(own.filter("year >= 1997"), path)
+    return stats.add_months(own.filter("year = 1995"), path, 10)
+
+
 def stats_coverage(spark, sf_dir):
     return stats.stats_coverage(_stats(spark, sf_dir))
 
@@ -438,6 +471,15 @@ def merge_evals(spark, sf_dir):
     return _cache(spark, sf_dir).withColumn("evaluated_at", F.col("evaluated_at").cast("string"))
 
 
+def merge_evals_stored(spark, sf_dir):
+    """The same merge with a cache that is stored by state."""
+    first = safety.evals_from_games(games(spark, sf_dir))
+    name = f"cache_{uuid.uuid4().hex}"
+    stored = safety.store_cache(first, f"{name}_1", 8)
+    out = safety.merge_stored(f"{name}_1", fixtures.second_batch(stored), f"{name}_2", 8)
+    return out.withColumn("evaluated_at", F.col("evaluated_at").cast("string"))
+
+
 def evals_from_games(spark, sf_dir):
     return safety.evals_from_games(games(spark, sf_dir)).select("state", "depth", "cp")
 
@@ -467,17 +509,17 @@ def worst_positions(spark, sf_dir):
 
 
 _NAMES = """
-partition_catalog select_partitions select_slice pending_partitions limit_per_partition write_partitioned_roundtrip edge_folder_scan stats_sink_roundtrip run_summary
+partition_catalog select_partitions select_slice pending_partitions limit_per_partition write_partitioned_roundtrip edge_folder_scan stats_sink_roundtrip manifest_catalog manifest_pending run_summary
 pipeline_white pipeline_black
 clean_games analysis_subset
 tokens tokens_keep_result tokens_dotted strip_clocks wide_moves opening_set_split truncate_by_opening parse_failures eval_alignment
 explorer_lines explorer_pivot lines_b10 line_rollup move_share line_share prefix_tree top_moves
 eval_strings eval_braces eval_mates eval_value wide_evals line_evals eval_rollup_leaf eval_rollup_game prefix_evals prefix_evals_wide
-position_edges position_edges_path position_edges_supplied edges_ply_cap ply_convergence first_moves
-position_stats position_stats_min stats_coverage rows_per_event top_first_moves
+position_edges position_edges_path position_edges_supplied edges_ply_cap ply_convergence ply_convergence_months first_moves
+position_stats position_stats_min position_stats_months stats_coverage rows_per_event top_first_moves
 slice_priors leaf_values forcingness repertoire_white repertoire_black repertoire_forcing repertoire_supplied repertoire_path induction_cycles induction_tails induction_rounds
 recommended_first_moves largest_slice best_lines
-reachable reachable_states pending_evals merge_evals evals_from_games
+reachable reachable_states pending_evals merge_evals merge_evals_stored evals_from_games
 annotate_white annotate_black safety_summary unsafe_first_moves worst_positions
 """.split()
 

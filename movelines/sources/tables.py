@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,5 +66,48 @@ def write_partitioned(df: DataFrame, path: str, keys=PARTITION, max_rows: int =
     )
 
 
+def _log(path: str) -> str:
+    return path.rstrip("/") + "_manifest"
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame | None:
+    """All entries of the manifest, also those that later writes replaced; None before the first."""
+    try:
+        return spark.read.parquet(_log(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_manifest(spark: SparkSession, path: str, keys=PARTITION) -> DataFrame:
+    """One row for each partition of a table that write_logged wrote: keys, files, rows. Read from the
+    manifest beside the table; no file of the table is opened."""
+    log = spark.read.parquet(_log(path))
+    newest = log.groupBy(*keys).agg(F.max("version").alias("version"))
+    own = log.join(newest.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("version").alias("_version")), [*[log[k].eqNullSafe(F.col(f"_{k}")) for k in keys], log["version"] == F.col("_version")])
+    return own.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
+def write_logged(df: DataFrame, path: str, keys=PARTITION, max_rows: int = 2_000_000) -> None:
+    """write_partitioned, and the new files with their rows added to the manifest: a table beside this
+    one, to which every write appends under its own version. A partition's files are those of its
+    newest version. Rows are counted from the files' footers. If a write fails before its manifest is
+    there, the next one adds its files."""
+    spark = df.sparkSession
+    write_partitioned(df, path, keys, max_rows)
+    before = _entries(spark, path)
+    files = spark.read.parquet(path)
+    names = files.inputFiles()  # as many as Spark's own index of the table holds
+    if before is not None:
+        known = {r["file"] for r in before.select("file").collect()}
+        names = [n for n in names if n not in known]
+    if not names:
+        return
+    version = 1 + (before.agg(F.max("version")).first()[0] if before is not None else 0)
+    new = spark.read.schema(files.schema).option("basePath", path).parquet(*names).select(*keys, F.input_file_name().alias("file"))
+    new.groupBy(*keys, "file").agg(F.count("*").alias("rows"), F.lit(version).cast("long").alias("version")).coalesce(1).write.mode("append").parquet(_log(path))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
