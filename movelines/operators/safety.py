@@ -18,25 +18,34 @@ from .stats import SLICE
 def reachable(repertoire: DataFrame, edges: DataFrame, perspective: str, opp_min_games: int = 10, max_depth: int = 16, start: str = START) -> DataFrame:
     """(event, elo_band, parent_key, parent_state, depth): positions of the repertoire within
     max_depth plies of the start, where we follow our best move and the other side any move with at
-    least opp_min_games games. depth is the shortest way."""
-    nodes = materialise(repertoire.select(*NODE, "parent_state", "best_move", "side"))
-    ours = F.col("side") == perspective[0]
-    open_moves = nodes.withColumnRenamed("side", "to_move").join(edges.select(*NODE, "move_san", "child_key", "total", "side"), NODE)
-    steps = open_moves.filter((ours & (F.col("move_san") == F.col("best_move"))) | (~ours & (F.col("total") >= opp_min_games))).select(*NODE, "child_key").distinct()
-    names, known = nodes.select(*NODE, "parent_state"), nodes.select(*NODE)
+    least opp_min_games games. depth is the shortest way.
+
+    Where every step leads one ply deeper, which is read from the data, a round reads the steps of its
+    own ply only and can find nothing twice. Otherwise it leaves out what earlier rounds found."""
+    plies = edges.groupBy(*NODE).agg(F.min("ply").alias("from"), F.max("ply").alias("to"))
+    nodes = materialise(repertoire.select(*NODE, "parent_state", "best_move", "side").join(plies, NODE))
+    ours = F.col("to_move") == perspective[0]
+    moves = nodes.select(*NODE, "best_move", F.col("side").alias("to_move")).join(edges.select(*NODE, "move_san", "child_key", "total", "ply"), NODE)
+    steps = moves.filter((ours & (F.col("move_san") == F.col("best_move"))) | (~ours & (F.col("total") >= opp_min_games))).select(*NODE, "child_key", "ply").distinct()
     # only steps within the repertoire, looked up once and not in every round
-    steps = materialise(steps.join(known.withColumnRenamed("parent_key", "child_key"), [*SLICE, "child_key"], "left_semi"))
-    frontier = materialise(known.filter(F.col("parent_key") == m.key64(F.lit(start))).withColumn("depth", F.lit(0)))
+    children = nodes.select(*SLICE, F.col("parent_key").alias("child_key"), "from", "to")
+    steps = materialise(steps.join(children, [*SLICE, "child_key"]).sortWithinPartitions("ply"))
+    off = steps.agg(F.max((F.col("from") != F.col("ply") + 1) | (F.col("to") != F.col("from")))).first()[0]
+    frontier = materialise(nodes.filter(F.col("parent_key") == m.key64(F.lit(start))).select(*NODE, F.lit(0).alias("depth")))
+    first = nodes.join(frontier, NODE, "left_semi").agg(F.min("from").alias("a"), F.max("to").alias("b")).first()
+    levelled = not off and first["a"] == first["b"]
     found = [frontier]
     for depth in range(1, max_depth + 1):
-        after = frontier.join(steps, NODE).select(*SLICE, F.col("child_key").alias("parent_key")).distinct()
-        new = after.join(reduce(DataFrame.union, found), NODE, "left_anti")
+        own = steps.filter(F.col("ply") == first["a"] + depth - 1) if levelled else steps
+        new = frontier.join(own, NODE).select(*SLICE, F.col("child_key").alias("parent_key")).distinct()
+        if not levelled:
+            new = new.join(reduce(DataFrame.union, found), NODE, "left_anti")
         frontier = materialise(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         found.append(frontier)
     # the texts of the states come in once, at the end
-    return reduce(DataFrame.union, found).join(names, NODE).select(*NODE, "parent_state", "depth")
+    return reduce(DataFrame.union, found).join(nodes.select(*NODE, "parent_state"), NODE).select(*NODE, "parent_state", "depth")
 
 
 def reachable_states(found: DataFrame) -> DataFrame:

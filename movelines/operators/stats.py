@@ -18,8 +18,8 @@ def position_stats(edges: DataFrame, min_games: int = 10, max_ply: int | None =
     if max_ply is not None:
         edges = edges.filter(F.col("ply") <= max_ply)
     score = F.col("white_score")
-    out = edges.groupBy(*SLICE, "parent_key", "move_san").agg(
-        F.min("parent_state").alias("parent_state"),
+    # the state goes with its key: as a grouping column it leaves the rest to be aggregated by hash
+    out = edges.groupBy(*SLICE, "parent_key", "move_san", "parent_state").agg(
         F.min("child_key").alias("child_key"),
         F.min("ply").alias("ply"),
         F.count_if(score == 1.0).alias("white_wins"),
@@ -38,8 +38,7 @@ def partial_stats(edges: DataFrame) -> DataFrame:
     """What a month of edges adds to the statistics, by (year, month, event, elo_band, parent_key,
     move_san): sums and minima, which merge."""
     score = F.col("white_score")
-    return edges.groupBy(*MONTH, *SLICE, "parent_key", "move_san").agg(
-        F.min("parent_state").alias("parent_state"),
+    return edges.groupBy(*MONTH, *SLICE, "parent_key", "move_san", "parent_state").agg(
         F.min("child_key").alias("child_key"),
         F.min("ply").alias("ply"),
         F.count_if(score == 1.0).alias("white_wins"),
@@ -51,7 +50,7 @@ def partial_stats(edges: DataFrame) -> DataFrame:
 
 def merge_stats(partials: DataFrame, min_games: int = 10) -> DataFrame:
     """position_stats of all the months that the partials hold."""
-    out = partials.groupBy(*SLICE, "parent_key", "move_san").agg(*[F.min(c).alias(c) for c in ("parent_state", "child_key", "ply")], *[F.sum(c).alias(c) for c in ("white_wins", "draws", "black_wins", "total")])
+    out = partials.groupBy(*SLICE, "parent_key", "move_san", "parent_state").agg(*[F.min(c).alias(c) for c in ("child_key", "ply")], *[F.sum(c).alias(c) for c in ("white_wins", "draws", "black_wins", "total")])
     out = out.filter(F.col("total") >= min_games)
     return out.withColumn("white_score_avg", (F.col("white_wins") + 0.5 * F.col("draws")) / F.col("total"))
 

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -31,7 +32,20 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{base.rstrip('/')}/movelines/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/movelines/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this application has made so far, and says how many.
+    DataFrames that were made from them can't be read any more, so write results first."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def materialise(df: DataFrame, by: str | None = None) -> DataFrame:

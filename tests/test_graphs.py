@@ -172,3 +172,48 @@ def test_slices(spark):
     d = spark.createDataFrame([(2000, 6, "Rapid", 1500, "1400_1600"), (2000, 7, "Rapid", 1500, "1400_1600"), (2001, 6, "Blitz", 2300, "2200_2500")], "year int, month int, event string, elo_band int, rating_class string")
     pick = lambda **k: tables.select_partitions(d, **k).count()
     assert (pick(month=6), pick(elo_band=1500), pick(rating_class="2200_2500"), pick(month=6, elo_band=1500), pick(month=7, rating_class="2200_2500")) == (2, 2, 1, 1, 0)
+
+
+def walk_by_hand(rows, best, perspective, least, depth):
+    side = {r[0]: r[3] for r in rows}
+    found, frontier = {0 + 1: 0}, [1]
+    for d in range(1, depth + 1):
+        after = set()
+        for p in frontier:
+            for q, c, move, s, _, n, *_ in rows:
+                if q == p and c in side and (move == best.get(p) if s == perspective[0] else n >= least):
+                    after.add(c)
+        frontier = [c for c in after if c not in found]
+        found |= {c: d for c in frontier}
+    return found
+
+
+@pytest.mark.parametrize("levelled", [True, False])
+def test_the_walk(spark, levelled):
+    from movelines.operators import safety
+
+    rnd = random.Random(8)
+    rows = []
+    for level in range(1, 7):
+        for p in range(1 if level == 1 else level * 10, 2 if level == 1 else level * 10 + 4):
+            for k in range(3):
+                c = (level + 1) * 10 + rnd.randint(0, 4)
+                if not levelled and rnd.random() < 0.3:  # further down, or back
+                    c = rnd.choice([(level + 2) * 10 + rnd.randint(0, 3), 20 + rnd.randint(0, 3)])
+                rows.append((p, c, "abc"[k], "wb"[(level + 1) % 2], level, rnd.randint(1, 9), 0.5, f"s{p}"))
+    keys = {1: m.key64(F.lit("go"))}
+    own = graph(spark, rows)
+    for c in ("parent_key", "child_key"):
+        own = own.withColumn(c, F.when(F.col(c) == 1, keys[1]).otherwise(F.col(c)))
+    rep = own.groupBy(*induction.NODE, "parent_state", "side").agg(F.min("move_san").alias("best_move"))
+    best = {r[0]: "a" for r in rows}
+    got = {int(r["parent_state"][1:]): r["depth"] for r in safety.reachable(rep, own, "white", 2, 5, "go").collect()}
+    assert got == walk_by_hand(rows, best, "white", 2, 5) and max(got.values()) >= 3
+
+
+def test_scratch_can_be_cleared(spark):
+    path = scratch.scratch_dir(spark)
+    spark.range(3).write.parquet(path)
+    assert scratch.clear_scratch(spark) >= 1 and scratch.clear_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
