@@ -1,9 +1,9 @@
 """Centroid clustering of integer vectors with JVM expressions only.
 
 Vectors become arrays of integers once, and are stored. Each round writes the centroids into the
-plan as literal arrays: zip_with and aggregate give the squared distance to each, array_min of
-(distance, number) structs the cluster, and one aggregation with a sum for each component the
-next centroids. Sums are combined before the shuffle, so a cluster of any size sends one row a
+plan as literal arrays: zip_with and aggregate give the squared distance to each (in integers,
+without the vector's own square), array_min of (distance, number) structs the cluster, and one
+aggregation with a sum for each component the next centroids. Sums are combined before the shuffle, so a cluster of any size sends one row a
 task, and only the centroids (k rows) come to the driver, where they are divided exactly.
 """
 
@@ -31,17 +31,21 @@ def complete(vector: Column, dims: int) -> Column:
 
 
 def literal(centroids: list[list[int]]) -> Column:
-    """The centroids as one constant array of arrays: numbers in texts, which the optimizer folds."""
-    return F.expr("array(" + ", ".join(f"cast(split('{','.join(map(str, c))}', ',') as array<bigint>)" for c in centroids) + ")")
+    """The centroids as one constant array: of each twice its components, and its squared length.
+    Numbers in texts, which the optimizer folds."""
+    one = lambda c: f"named_struct('square', {sum(x * x for x in c)}L, 'twice', cast(split('{','.join(str(2 * x) for x in c)}', ',') as array<bigint>))"
+    return F.expr("array(" + ", ".join(map(one, centroids)) + ")")
 
 
-def distance(vector: Column, centroid: Column) -> Column:
-    return F.aggregate(F.zip_with(vector, centroid, lambda a, b: (a - b) * (a - b)), F.lit(0).cast("long"), lambda s, x: s + x)
+def square(vector: Column) -> Column:
+    return F.aggregate(vector, F.lit(0).cast("long"), lambda s, x: s + x * x)
 
 
 def nearest(vector: Column, centroids: list[list[int]]) -> Column:
-    """struct(distance, cluster) of the nearest centroid; ties by the smaller number."""
-    return F.array_min(F.transform(literal(centroids), lambda c, k: F.struct(distance(vector, c).alias("distance"), k.alias("cluster"))))
+    """struct(distance, cluster) of the nearest centroid; ties by the smaller number. distance is the
+    squared one less the vector's own square, which is the same for all centroids."""
+    from_one = lambda c: F.aggregate(F.zip_with(vector, c["twice"], lambda a, b: a * b), c["square"], lambda s, x: s - x)
+    return F.array_min(F.transform(literal(centroids), lambda c, k: F.struct(from_one(c).alias("distance"), k.alias("cluster"))))
 
 
 def first_centroids(rows: DataFrame, k: int, seed: int) -> list[list[int]]:
@@ -88,7 +92,8 @@ def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not centroids:
         empty = "cast(null as int) as cluster", *(f"cast(null as long) as {c}" for c in ("distance", "cluster_inertia", "inertia")), "cast(null as string) as centroid"
         return rows.filter("false").select(F.col("_id").alias(id_col), *map(F.expr, empty))
-    last = materialise(rows.select("_id", nearest(F.col("v"), centroids).alias("n")).select("_id", "n.cluster", "n.distance"))
+    last = rows.select("_id", nearest(F.col("v"), centroids).alias("n"), square(F.col("v")).alias("square"))
+    last = materialise(last.select("_id", "n.cluster", (F.col("n.distance") + F.col("square")).alias("distance")))
     sums = {r["cluster"]: r["s"] for r in last.groupBy("cluster").agg(F.try_sum("distance").alias("s")).collect()}  # at most k rows
     known = None not in sums.values() and sum(sums.values()) < 1 << 63
     by_cluster = lambda values, kind: F.get(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("cluster"))
