@@ -5,13 +5,16 @@ hash of `seed` consecutive words is kept, so two equal windows always keep the s
 Anchors that more than one document holds are seeds. Around each seed the match is extended
 both ways over every window that the seed anchors; a window matches when another document
 holds the same word sequence (compared on 128 bits, from two halves of a hash that gives no two
-words the same value, under a key drawn for each run). Overlapping matched windows merge into
-maximal repeats, each at least `length` words long, and their words are cut from every
-document but the first.
+words the same value, under a key drawn for each run). The document that holds a window first and
+its place there come back, and the match goes on from window to window as long as both texts do: a
+maximal repeat is a run of windows with one source document on one diagonal, at least `length` words
+long. The source of a window is the smallest doc_id that holds it, the place the first one there; so
+repeats may overlap where a window is known from elsewhere. Their words are cut from every document
+but the first.
 
 Three rounds, each keyed by chunk of documents and then by hash range:
   seeds    chunk -> its distinct anchors      -> range: anchors of two or more documents
-  extend   chunk -> distinct anchored windows -> range: the smallest doc_id of each window
+  extend   chunk -> distinct anchored windows -> range: the smallest doc_id of each, and the place
   cut      chunk -> words covered by a window of a smaller doc_id
 A chunk sends a passage once, however many of its documents hold it, so a passage in a third
 of all documents costs a range at most one entry a chunk. The number of chunks and of ranges
@@ -38,7 +41,7 @@ _TURN = (_U(27), _U(37))
 SEEDS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
 WINDOWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
 REPLY = pa.schema([("chunk", pa.int32()), ("keys", pa.binary())])
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
 _SEEDS, _WINDOWS, _REPLY = "bucket int, chunk int, keys binary, many binary", "bucket int, chunk int, keys binary, docs binary", "chunk int, keys binary"
 
 
@@ -153,7 +156,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with a smaller id.
 
     Returns one row per input row: id, n_words, n_removed, repeats (the maximal repeats that were
-    cut: start and end, exclusive, in words) and kept_text (the kept words joined by one space). Windows are judged on the input. A null or empty text has no words. A row with
+    cut, in order: start and end, exclusive, in words, the document that holds the words first, and
+    where they start there) and kept_text (the kept words joined by one space). Windows are judged
+    on the input. A null or empty text has no words. A row with
     a null id keeps all its words and is nobody's source. Rows with equal ids don't cut each
     other. Other columns of `docs` are ignored.
     """
@@ -208,32 +213,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             doc = c.ids[c.doc[at]]
             order, first = _sorted(a, b, doc)
             pick = order[first]
+            place = (at - c.first[c.doc[at]])[pick].astype(np.int32)
             a, b, doc = a[pick], b[pick], doc[pick]
             chunk = int(table.column("chunk")[0].as_py())
             for r, s, e in _ranges(a, bits):
-                rows.append((r, chunk, np.concatenate((a[s:e], b[s:e])).tobytes(), doc[s:e].tobytes()))
+                rows.append((r, chunk, np.concatenate((a[s:e], b[s:e])).tobytes(), doc[s:e].tobytes() + place[s:e].tobytes()))
         return pa.table([list(x) for x in zip(*rows)] or [[]] * 4, schema=WINDOWS)
 
     def earliest(table: pa.Table) -> pa.Table:
         both = [_u64(x) for x in table.column("keys")]
         a = np.concatenate([x[: len(x) // 2] for x in both])
         b = np.concatenate([x[len(x) // 2 :] for x in both])
-        doc = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("docs")])
-        sender = np.repeat(np.arange(len(both)), [len(x) // 2 for x in both])
-        order = np.lexsort((doc, b, a)) if len(a) < 2 else np.lexsort((doc, a))
+        sizes = [len(x) // 2 for x in both]
+        raw = [x.as_py() for x in table.column("docs")]
+        doc = np.concatenate([np.frombuffer(x, np.int64, n) for x, n in zip(raw, sizes)])
+        place = np.concatenate([np.frombuffer(x, np.int32, n, 8 * n) for x, n in zip(raw, sizes)])
+        sender = np.repeat(np.arange(len(both)), sizes)
+        order = np.lexsort((place, doc, a))
         if np.any((a[order][1:] == a[order][:-1]) & (b[order][1:] != b[order][:-1])):
-            order = np.lexsort((doc, b, a))
-        a, b, doc, sender = a[order], b[order], doc[order], sender[order]
+            order = np.lexsort((place, doc, b, a))
+        a, b, doc, place, sender = a[order], b[order], doc[order], place[order], sender[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        least = np.repeat(doc[first], np.diff([*first, len(a)]))
-        late = doc > least
-        a, b, sender = a[late], b[late], sender[late]
-        order = np.argsort(sender, kind="stable")
-        a, b, sender = a[order], b[order], sender[order]
+        count = np.diff([*first, len(a)])
+        least, place = np.repeat(doc[first], count), np.repeat(place[first], count)
+        late = np.flatnonzero(doc > least)
+        late = late[np.argsort(sender[late], kind="stable")]
+        a, b, least, place, sender = a[late], b[late], least[late], place[late].astype(np.int64), sender[late]
         out = []
         for k, x in enumerate(np.split(np.arange(len(a)), np.searchsorted(sender, np.arange(1, len(both))))):
             if len(x):
-                out.append((table.column("chunk")[k].as_py(), np.concatenate((a[x], b[x])).tobytes()))
+                out.append((table.column("chunk")[k].as_py(), np.concatenate((a[x], b[x], least[x].view(_U), place[x].view(_U))).tobytes()))
         return pa.table([list(x) for x in zip(*out)] or [[]] * 2, schema=REPLY)
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -243,19 +252,26 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = c.windows(c.at, length)
         doc = c.ids[c.doc[c.at]]
         order, first = _sorted(a, b, doc)
-        gone = np.zeros(len(a), bool)
-        gone[order] = doc[order] > np.repeat(doc[order][first], np.diff([*first, len(a)]))
-        parts = [_u64(x) for x in reply.column("keys")]
+        place = c.at - c.first[c.doc[c.at]]
+        # who holds each window first, and where: in this chunk, or else where the reply says
+        count = np.diff([*first, len(a)])
+        source, start = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
+        source[order], start[order] = np.repeat(doc[order][first], count), np.repeat(place[order][first], count)
+        gone = doc > source
+        parts = [_u64(x).reshape(4, -1) for x in reply.column("keys")]
         if parts:
-            ea = np.concatenate([x[: len(x) // 2] for x in parts])
-            eb = np.concatenate([x[len(x) // 2 :] for x in parts])
+            ea, eb, ed, ep = np.concatenate(parts, axis=1)
             o = np.argsort(ea, kind="stable")
-            ea, eb = ea[o], eb[o]
+            ea, eb, ed, ep = ea[o], eb[o], ed[o].view(np.int64), ep[o].view(np.int64)
             lo, hi = np.searchsorted(ea, a), np.searchsorted(ea, a, side="right")
             hit = np.flatnonzero(lo < hi)
-            gone[hit] |= eb[lo[hit]] == b[hit]
-            for i in hit[hi[hit] - lo[hit] > 1]:  # two windows with one first hash
-                gone[i] |= bool(np.any(eb[lo[i] : hi[i]] == b[i]))
+            at = lo[hit]
+            for k in np.flatnonzero(hi[hit] - at > 1):  # several windows with one first hash
+                same = np.flatnonzero(eb[lo[hit[k]] : hi[hit[k]]] == b[hit[k]])
+                at[k] += same[0] if len(same) else 0
+            true = eb[at] == b[hit]
+            hit, at = hit[true], at[true]
+            gone[hit], source[hit], start[hit] = True, ed[at], ep[at]
         step = np.zeros(len(c.words) + 1, np.int64)
         starts = c.at[gone]
         step[starts] += 1
@@ -272,13 +288,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 left = f + np.flatnonzero(~removed[f:t])
                 kept.append(b" ".join([raw[s:e] for s, e in zip(c.starts[left].tolist(), c.ends[left].tolist())]).decode())
-        before, after = np.concatenate(([False], removed[:-1])), np.concatenate((removed[1:], [False]))
-        edge = c.first[(c.first > 0) & (c.first < len(removed))]
-        before[edge], after[edge - 1] = False, False  # a repeat ends where its text does
-        begin, end = np.flatnonzero(removed & ~before), np.flatnonzero(removed & ~after) + 1
-        base = c.first[c.doc[begin]]
-        spans = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["start", "end"])
-        repeats = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, c.first).astype(np.int32)), spans)
+        g = np.flatnonzero(gone)
+        line, source, start = place[g], source[g], start[g]
+        # the next window of the same text, with the same source one word further
+        on = (c.at[g][1:] == c.at[g][:-1] + 1) & (c.doc[c.at[g]][1:] == c.doc[c.at[g]][:-1]) & (source[1:] == source[:-1]) & (start[1:] == start[:-1] + 1)
+        begin = np.flatnonzero(np.concatenate(([True], ~on))) if len(g) else g
+        last = np.append(begin[1:], len(g)) - 1 if len(g) else g
+        spans = pa.StructArray.from_arrays([pa.array(x) for x in (line[begin], line[last] + length, source[begin], start[begin])], list(_SPANS.value_type.names))
+        repeats = pa.ListArray.from_arrays(pa.array(np.searchsorted(c.at[g][begin], c.first).astype(np.int32)), spans)
         ids = pa.array(c.ids, mask=c.null)
         return pa.table([ids, np.diff(c.first), n_removed, repeats, pa.array(kept, pa.string())], schema=OUT)
 
@@ -287,5 +304,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reply = by_chunk.applyInArrow(seeds, _SEEDS).groupBy("bucket").applyInArrow(shared, _REPLY)
     found = by_chunk.cogroup(reply.groupBy("chunk")).applyInArrow(extend, _WINDOWS)
     late = found.groupBy("bucket").applyInArrow(earliest, _REPLY)
-    out = by_chunk.cogroup(late.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, repeats array<struct<start:bigint,end:bigint>>, kept_text string")
+    out = by_chunk.cogroup(late.groupBy("chunk")).applyInArrow(cut, "id long, n_words long, n_removed long, repeats array<struct<start:bigint,end:bigint,source:bigint,source_start:bigint>>, kept_text string")
     return out.withColumnRenamed("id", id_col)

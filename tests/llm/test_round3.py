@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from movelines.llm import embeddings, neardup, pii, quality, tokens
+from movelines.llm import embeddings, neardup, pii, quality, substrings, tokens
 
 
 def brute_links(x, threshold):
@@ -113,3 +113,45 @@ def test_rows_without_an_id_are_dealt_over_tasks(spark):
 def test_added_kinds(spark, text, kinds):
     got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["pii"]
     assert {s["kind"] for s in got} == kinds
+
+
+def repeats_by_hand(texts, length):
+    """Runs of windows whose first holder and place go on together."""
+    words = {d: t.split() for d, t in texts}
+    first = {}
+    for d in sorted(words):
+        for k in range(len(words[d]) - length + 1):
+            first.setdefault(tuple(words[d][k : k + length]), (d, k))
+    out = {}
+    for d, w in words.items():
+        runs = []
+        for k in range(len(w) - length + 1):
+            s, p = first[tuple(w[k : k + length])]
+            if s < d:
+                if runs and runs[-1][1] == k + length - 1 and runs[-1][2] == s and runs[-1][3] + k - runs[-1][0] == p:
+                    runs[-1][1] += 1
+                else:
+                    runs.append([k, k + length, s, p])
+        out[d] = [tuple(r) for r in runs]
+    return out
+
+
+def test_repeats_have_one_source_each(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 13), ("b", 13), ("c", 40)))
+    texts = [(1, a), (2, f"x {b}"), (3, f"{a} {b}"), (4, f"{c}"), (5, f"y {c} z"), (6, f"{a} {c} {c}")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    for options in ({}, {"chunk_bytes": 200, "range_keys": 4}):
+        got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in substrings.substring_dedup(d, **options).collect()}
+        assert got == repeats_by_hand(texts, 13)
+    assert got[3] == [(0, 13, 1, 0), (13, 26, 2, 1)] and got[5] == [(1, 41, 4, 0)] and got[6] == [(0, 13, 1, 0), (13, 53, 4, 0), (53, 93, 4, 0)]
+
+
+def test_repeats_of_random_texts(spark):
+    import random
+
+    rnd = random.Random(6)
+    passages = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 30))) for _ in range(12)]
+    texts = [(k, " ".join(rnd.choice(passages) for _ in range(rnd.randint(1, 6)))) for k in range(80)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: [tuple(x) for x in r["repeats"]] for r in substrings.substring_dedup(d, length=5, seed=2, chunk_bytes=500, range_keys=16).collect()}
+    assert got == repeats_by_hand(texts, 5) and sum(map(len, got.values())) > 100
