@@ -242,7 +242,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = []
         for k, x in enumerate(np.split(np.arange(len(a)), np.searchsorted(sender, np.arange(1, len(both))))):
             if len(x):
-                out.append((table.column("chunk")[k].as_py(), np.concatenate((a[x], b[x], least[x].view(_U), place[x].view(_U))).tobytes()))
+                out.append((table.column("chunk")[k].as_py(), np.concatenate((a[x], b[x] >> _U(32) << _U(32) | place[x].view(_U), least[x].view(_U))).tobytes()))
         return pa.table([list(x) for x in zip(*out)] or [[]] * 2, schema=REPLY)
 
     def cut(table: pa.Table, reply: pa.Table) -> pa.Table:
@@ -258,18 +258,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         source, start = np.empty(len(a), np.int64), np.empty(len(a), np.int64)
         source[order], start[order] = np.repeat(doc[order][first], count), np.repeat(place[order][first], count)
         gone = doc > source
-        parts = [_u64(x).reshape(4, -1) for x in reply.column("keys")]
+        parts = [_u64(x).reshape(3, -1) for x in reply.column("keys")]
         if parts:
-            ea, eb, ed, ep = np.concatenate(parts, axis=1)
+            ea, eb, ed = np.concatenate(parts, axis=1)
             o = np.argsort(ea, kind="stable")
-            ea, eb, ed, ep = ea[o], eb[o], ed[o].view(np.int64), ep[o].view(np.int64)
+            # 96 bits tell the windows of a chunk apart; the place takes the other 32
+            ea, eb, ed, ep, bb = ea[o], eb[o] >> _U(32), ed[o].view(np.int64), (eb[o] & _U(0xFFFFFFFF)).view(np.int64), b >> _U(32)
             lo, hi = np.searchsorted(ea, a), np.searchsorted(ea, a, side="right")
             hit = np.flatnonzero(lo < hi)
             at = lo[hit]
             for k in np.flatnonzero(hi[hit] - at > 1):  # several windows with one first hash
-                same = np.flatnonzero(eb[lo[hit[k]] : hi[hit[k]]] == b[hit[k]])
+                same = np.flatnonzero(eb[lo[hit[k]] : hi[hit[k]]] == bb[hit[k]])
                 at[k] += same[0] if len(same) else 0
-            true = eb[at] == b[hit]
+            true = eb[at] == bb[hit]
             hit, at = hit[true], at[true]
             gone[hit], source[hit], start[hit] = True, ed[at], ep[at]
         step = np.zeros(len(c.words) + 1, np.int64)
