@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from . import rules
-
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2 = f"""
@@ -81,31 +79,51 @@ FROM a{rounds} JOIN e USING (r) JOIN i USING (cluster) JOIN c{rounds} ON c{round
 
 
 def _op4() -> str:
-    k, bins = len(rules.CLASSES), rules.BINS
-    # the patterns are the operator's; this engine's dialect writes the non-ASCII class the same way
-    classes = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))" for p in rules.CLASSES.values())
-    common = ", ".join(f"len(list_filter(low, lambda x: x = '{w}'))" for w in bins)
-    langs = ", ".join(f"'{x}'" for x in rules.COMMON_WORDS)
+    part = lambda v, m: f"CASE WHEN {v} > 0 THEN {v} * log2({v} / {m}) ELSE 0 END"
+    term = lambda x, y: f"(({part(x, f'(({x} + {y}) / 2)')}) + ({part(y, f'(({x} + {y}) / 2)')}))"
 
     def distance(own: str, ref: str) -> str:
-        part = f"list_transform(list_zip({own}, {ref}), lambda z: (CASE WHEN z[1] > 0 THEN z[1] / list_sum({own}) * log2(z[1] / list_sum({own}) / ((z[1] / list_sum({own}) + z[2] / list_sum({ref})) / 2)) ELSE 0 END) + (CASE WHEN z[2] > 0 THEN z[2] / list_sum({ref}) * log2(z[2] / list_sum({ref}) / ((z[1] / list_sum({own}) + z[2] / list_sum({ref})) / 2)) ELSE 0 END))"
-        return f"CASE WHEN list_sum({own}) > 0 AND list_sum({ref}) > 0 THEN sqrt(greatest(list_sum({part}) / 2, 0)) ELSE 1.0 END"
+        terms = f"list_transform(list_zip({own}, {ref}), lambda z: {term(f'(z[1] / list_sum({own}))', f'(z[2] / list_sum({ref}))')})"
+        return f"CASE WHEN list_sum({own}) > 0 AND list_sum({ref}) > 0 THEN sqrt(greatest(list_sum({terms}) / 2, 0)) ELSE 1.0 END"
+
+    def quantiles(name: str, rows: str, value: str, *parts: float) -> str:
+        steps = f"SELECT lang, step, sum(n) OVER (PARTITION BY lang ORDER BY step) AS below, sum(n) OVER (PARTITION BY lang) AS every FROM (SELECT lang, floor(1000 * {value}) AS step, count(*) AS n FROM {rows} GROUP BY ALL)"
+        return f"{name} AS MATERIALIZED (SELECT lang, {', '.join(f'min(step) FILTER (below >= {x} * every) AS q{k}' for k, x in enumerate(parts))} FROM ({steps}) GROUP BY lang)"
 
+    chars = ", ".join(f"CAST(sum(hc[{i}]) AS DOUBLE)" for i in range(1, 6))
+    half = "list_sum({0}) < 2 * {1}"
     return rf"""
 WITH a AS MATERIALIZED (SELECT doc_id, lang, coalesce(text, '') AS t, {_WORDS} AS words FROM documents),
-b AS MATERIALIZED (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows_, list_transform(words, lambda x: lower(x)) AS low FROM a),
 win AS MATERIALIZED (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS seq FROM (SELECT *, unnest(generate_series(1, len(words) - 7)) AS i FROM a)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, seq) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS j FROM twice) GROUP BY doc_id),
+b AS MATERIALIZED (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows_, [length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')), length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')),
+    length(t) - length(regexp_replace(t, '[#*$%&|<>!?~^_=+@/\\{{}}\[\]]+', '', 'g')), length(t) - length(regexp_replace(t, '[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüý]+', '', 'g'))] AS h1 FROM a),
 c AS MATERIALIZED (SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(coalesce(array_to_string(words, ''), '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, [{classes}] AS h1, [{common}] AS h2 FROM b LEFT JOIN rep USING (doc_id)),
-d AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_transform(list_append(h1, greatest(word_chars - list_sum(h1), 0)), lambda x: CAST(x AS DOUBLE)) AS hc, list_transform(list_append(h2, greatest(n_words - list_sum(h2), 0)), lambda x: CAST(x AS DOUBLE)) AS hw FROM c),
-sums AS MATERIALIZED (SELECT [{', '.join(f'CAST(sum(h1[{i + 1}]) AS DOUBLE)' for i in range(k))}] AS s1, [{', '.join(f'CAST(sum(h2[{i + 1}]) AS DOUBLE)' for i in range(len(bins)))}] AS s2, sum(word_chars) AS chars, sum(n_words) AS n FROM d WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang),
-refs AS MATERIALIZED (SELECT list_append(s1, CAST(greatest(chars - list_sum(s1), 0) AS DOUBLE)) AS rc, list_append(s2, CAST(greatest(n - list_sum(s2), 0) AS DOUBLE)) AS rw FROM sums),
-near AS (SELECT doc_id, min({distance('hc', 'rc')}) AS dc, min({distance('hw', 'rw')}) AS dw FROM d, refs GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT coalesce((word_chars >= 200 AND dc > 0.3) OR (n_words >= 80 AND dw > 0.275), false) AS kept
-FROM d LEFT JOIN near USING (doc_id)"""
+    CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, h1, length(t) - length(regexp_replace(t, '[^\x00-\x7F]+', '', 'g')) AS beyond FROM b LEFT JOIN rep USING (doc_id)),
+d AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_transform(list_append(h1, greatest(word_chars - list_sum(h1), 0)), lambda x: CAST(x AS DOUBLE)) AS hc FROM c),
+wc AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(t), '.,;:!?"()[]{{}}<>|#*$%&+=~^_/\@', ''), '[^\x20\x09-\x0D]+')) AS w FROM a) GROUP BY ALL),
+named AS MATERIALIZED (SELECT * FROM d WHERE lang IS NOT NULL AND NOT base_failed),
+first AS MATERIALIZED (SELECT lang, [{chars}] AS rc FROM named GROUP BY lang HAVING count(*) >= 0.001 * (SELECT count(*) FROM named)),
+placed AS MATERIALIZED (SELECT named.*, {distance('hc', 'rc')} AS own FROM named JOIN first USING (lang)),
+{quantiles('cut', 'placed', 'own', 0.5)},
+core AS MATERIALIZED (SELECT placed.* FROM placed JOIN cut USING (lang) WHERE floor(1000 * own) <= q0),
+cw AS MATERIALIZED (SELECT lang, w, sum(n) AS n FROM core JOIN wc USING (doc_id) GROUP BY ALL),
+top AS MATERIALIZED (SELECT lang, w, n FROM cw QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 32),
+refs AS MATERIALIZED (SELECT lang, rc, {half.format('rc', 'bc')} AS script, common, k, total FROM (SELECT lang, [{chars}] AS rc, sum(beyond) AS bc FROM core GROUP BY lang)
+    JOIN (SELECT lang, CAST(sum(n) AS DOUBLE) AS total FROM cw GROUP BY lang) USING (lang) JOIN (SELECT lang, sum(n) AS common, count(*) AS k FROM top GROUP BY lang) USING (lang)),
+size AS MATERIALIZED (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS words FROM wc GROUP BY doc_id),
+near_c AS (SELECT doc_id, min({distance('hc', 'rc')}) AS dc FROM d JOIN refs ON ({half.format('hc', 'beyond')}) = script GROUP BY doc_id),
+met AS (SELECT doc_id, lang, sum(wc.n) AS n, sum(top.n) AS q, sum({term('(wc.n / words)', '(top.n / total)')}) AS t FROM wc JOIN top USING (w) JOIN refs USING (lang) JOIN size USING (doc_id) GROUP BY ALL),
+near_w AS (SELECT doc_id, min({{'d': (coalesce(t, 0) + (common - coalesce(q, 0)) / total + {term('((words - coalesce(n, 0)) / words)', '((total - common) / total)')}) / 2 - k / (8 * ln(2) * words), 'lang': lang, 'share': coalesce(n, 0) / words}}) AS v
+    FROM (SELECT * FROM size, refs) LEFT JOIN met USING (doc_id, lang) GROUP BY doc_id),
+e AS MATERIALIZED (SELECT d.doc_id, n_words, word_chars, base_failed, dc, sqrt(greatest(v.d, 0)) AS dw, v.lang AS lang, v.share AS share FROM d LEFT JOIN near_c USING (doc_id) LEFT JOIN near_w USING (doc_id)),
+{quantiles('qc', '(SELECT * FROM e WHERE NOT base_failed AND word_chars >= 200 AND lang IS NOT NULL AND dc IS NOT NULL)', 'dc', 0.25, 0.75)},
+{quantiles('qw', '(SELECT * FROM e WHERE NOT base_failed AND n_words >= 80 AND lang IS NOT NULL AND dw IS NOT NULL)', 'dw', 0.25, 0.75)},
+f AS (SELECT e.*, greatest(0.2, coalesce((qc.q1 + 1.5 * (qc.q1 - qc.q0)) / 1000, 0)) AS lc, greatest(0.25, coalesce((qw.q1 + 1.5 * (qw.q1 - qw.q0)) / 1000, 0)) AS lw FROM e LEFT JOIN qc USING (lang) LEFT JOIN qw USING (lang))
+SELECT d.doc_id, d.n_words, d.word_chars, n_symbols, n_dup_lines, n_repeat_words, d.base_failed,
+    NOT d.base_failed AND NOT coalesce(f.word_chars >= 200 AND dc > lc, false) AND NOT coalesce(f.n_words >= 80 AND dw > lw AND (share >= 0.15 OR coalesce(dc > lc / 2, false)), false) AS kept
+FROM d JOIN f USING (doc_id)"""
 
 
 ORACLE_SQL = {"op2_substrings": OP2, "op3_embeddings": OP3, "op4_rules": _op4(), "op8_mixing": OP8, "op12_trie": OP12, "op13_clusters": _op13()}

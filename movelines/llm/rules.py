@@ -1,36 +1,41 @@
 """Quality rules with DataFrame functions only: counts and repeats of one text, and the
-Jensen-Shannon distance of its character-class and common-word histograms from references
-that are summed over the corpus, one for each language.
-
-Everything about a text is computed in its own row; no word ever goes through a shuffle. A word
-window is one hash of its eight words' hashes. A text whose window hashes are all different has no repeat;
-only the others sort theirs. With the repeated windows' first words at p1 < p2 < ..., the words
-that they cover number 8 + sum(min(8, p[k+1] - p[k])).
+Jensen-Shannon distance of its character-class and common-word histograms from references that
+are learned from the corpus, one for each language.
+
+One pass over the texts counts everything in the text's own row: base counts, character classes,
+and each distinct word's number. A word window is one hash of its eight words' hashes. A text whose
+window hashes are all different has no repeat; only the others sort theirs. With the repeated
+windows' first words at p1 < p2 < ..., the words that they cover number
+8 + sum(min(8, p[k+1] - p[k])).
+
+A reference is learned in two steps, so that junk doesn't shape it: the character histogram of all
+texts of a language, then both histograms of the half of them nearest to that. Its common words are
+the most frequent ones of that half. Limits are fences of the distances' quartiles, never below a
+floor. Quartiles come from counts of the distances in steps of 0.001, so no list of distances is
+sorted. Only (language, word) sums and such counts go through a shuffle, combined before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise
 
-# Frequent function words of each language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "das", "zu", "mit"],
-    "en": ["the", "of", "and", "to", "in", "that", "is", "for"],
-    "es": ["de", "la", "que", "el", "en", "los", "y", "una"],
-    "fr": ["de", "la", "le", "les", "et", "des", "que", "un"],
-}
-BINS = sorted({w for words in COMMON_WORDS.values() for w in words})
-
 # Character classes, as the pattern of what is in each.
 CLASSES = {
     "upper": r"\p{Lu}+",
     "digit": r"[0-9]+",
     "symbol": r"[#*$%&|<>!?~^_=+@/\\{}\[\]]+",
-    "accent": r"[^\x00-\x7F]+",
+    "vowel": r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüý]+",
 }
+# What is deleted from a word before it is counted.
+MARKS = ".,;:!?\"()[]{}<>|#*$%&+=~^_/\\@"
+
+STEPS = 1000  # a distance is counted in this many steps
 
 
 def bind(value: Column, use) -> Column:
@@ -79,50 +84,136 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def histograms(text: Column, words: Column) -> Column:
-    """One array of counts: the character classes, other characters of words, then each common
-    word, then all other words."""
+def class_counts(text: Column, words: Column) -> Column:
+    """Counts of the character classes, of all other characters of words, and (outside the
+    histogram) of characters beyond ASCII."""
     clean = F.coalesce(text, F.lit(""))
-    classes = [F.length(clean) - F.length(F.regexp_replace(clean, p, "")) for p in CLASSES.values()]
-    joined = F.array_join(words, "")
+    number = lambda p: F.length(clean) - F.length(F.regexp_replace(clean, p, ""))
+    total = F.length(F.array_join(words, ""))
+    classes = F.array(*map(number, CLASSES.values()))
+    rest = lambda c: F.concat(c, F.array(F.greatest(total - _sum(c, "int"), F.lit(0)), number(r"[^\x00-\x7F]+")))
+    return bind(classes, rest)
 
-    def counts(spaced: Column) -> list[Column]:
-        # every word stands between two spaces of its own, so neighbours don't share one
-        lengths = [(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w.encode()) + 2) for w in BINS]
-        return [x.cast("int") for x in lengths]
 
-    # only the common words are spaced out and searched, one after the other
-    common_only = F.filter(F.split(F.lower(F.array_join(words, " ")), " "), lambda x: x.isin(*BINS))
-    spaced = F.concat(F.lit(" "), F.array_join(common_only, "  "), F.lit(" "))
-    chars = F.array(*classes, F.length(joined))
-    common = bind(spaced, lambda s: F.array(*counts(s)))
-    return F.concat(chars, common, F.array(F.size(words)))
+def word_counts(text: Column) -> Column:
+    """(w, n) of each distinct lower-cased word without MARKS, in the words' order."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKS, "")
 
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        pair = lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n")))
+        return F.when(F.size(s) > 0, bind(first, pair))
 
-_K = len(CLASSES)
+    counted = bind(F.sort_array(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))), runs)
+    return F.coalesce(counted, F.array().cast("array<struct<w:string,n:int>>"))
 
 
-def _split(h: Column) -> tuple[Column, Column]:
-    """The two histograms as arrays of doubles, each with its rest as the last bin."""
-    number = lambda x: x.cast("double")
-    classes, common = F.slice(h, 1, _K), F.slice(h, _K + 2, len(BINS))
-    add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    rest_c = F.greatest(F.get(h, F.lit(_K)) - add(classes), F.lit(0))
-    rest_w = F.greatest(F.get(h, F.lit(_K + 1 + len(BINS))) - add(common), F.lit(0))
-    return F.transform(F.concat(classes, F.array(rest_c)), number), F.transform(F.concat(common, F.array(rest_w)), number)
+def _sum(a: Column, kind: str = "double") -> Column:
+    return F.aggregate(a, F.lit(0).cast(kind), lambda s, x: s + x)
+
+
+def _term(x: Column, y: Column) -> Column:
+    """What one bin with the shares x and y adds to twice the Jensen-Shannon divergence."""
+    part = lambda v, m: F.when(v > 0, v * F.log2(v / m)).otherwise(F.lit(0.0))
+    return bind(F.struct(x.alias("x"), y.alias("y")), lambda v: part(v["x"], (v["x"] + v["y"]) / 2) + part(v["y"], (v["x"] + v["y"]) / 2))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """The Jensen-Shannon distance (base 2, so 0 to 1) of two arrays of counts; 1 where either
     is all zero."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
     def known(t: Column) -> Column:
-        terms = F.zip_with(p, q, lambda x, y: bind(F.struct((x / t["p"]).alias("x"), (y / t["q"]).alias("y")), lambda v: part(v["x"], (v["x"] + v["y"]) / 2) + part(v["y"], (v["x"] + v["y"]) / 2)))
-        return F.when((t["p"] > 0) & (t["q"] > 0), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))).otherwise(F.lit(1.0))
+        terms = F.zip_with(p, q, lambda x, y: _term(x / t["p"], y / t["q"]))
+        return F.when((t["p"] > 0) & (t["q"] > 0), F.sqrt(F.greatest(_sum(terms) / 2, F.lit(0.0)))).otherwise(F.lit(1.0))
+
+    return bind(F.struct(_sum(p).alias("p"), _sum(q).alias("q")), known)
+
+
+_K = len(CLASSES) + 1
+_REF = "array<struct<lang:string,chars:array<double>,beyond:boolean,words:map<string,bigint>,common:bigint,total:bigint>>"
+
+
+def _literal(refs: list[dict]) -> Column:
+    """The references as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(refs)), _REF)
+
+
+def _chars(c: Column) -> Column:
+    return F.transform(F.slice(c, 1, _K), lambda x: x.cast("double"))
+
+
+def _beyond(c: Column) -> Column:
+    """Whether over half the characters lie beyond ASCII."""
+    return 2 * F.get(c, F.lit(_K)) > _sum(F.slice(c, 1, _K), "bigint")
+
 
-    return bind(F.struct(total(p).alias("p"), total(q).alias("q")), known)
+def nearest_chars(c: Column, refs: Column) -> Column:
+    """The distance to the nearest reference of the same kind of script; null without one."""
+    own = F.struct(_chars(c).alias("c"), _beyond(c).alias("beyond"))
+    near = lambda o: F.array_min(F.transform(F.filter(refs, lambda r: r["beyond"] == o["beyond"]), lambda r: js_distance(o["c"], r["chars"])))
+    return bind(own, near)
+
+
+def nearest_words(counts: Column, total: Column, refs: Column) -> Column:
+    """(divergence, lang, share) of the nearest reference: the divergence beyond what total words
+    would show by chance, and the share of words that are common ones of it. Null for no words.
+
+    Only words that a text has are looked up; a common word that it lacks adds its own share."""
+
+    def to(r: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("q"), F.lit(0.0).alias("t"))
+
+        def add(acc: Column, x: Column) -> Column:
+            more = lambda q: F.when(q.isNull(), acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), (acc["q"] + q).alias("q"), (acc["t"] + _term(x["n"] / total, q / r["total"])).alias("t")))
+            return bind(F.try_element_at(r["words"], x["w"]), more)
+
+        def whole(a: Column) -> Column:
+            twice = a["t"] + (r["common"] - a["q"]) / r["total"] + _term((total - a["n"]) / total, (r["total"] - r["common"]) / r["total"])
+            chance = F.size(F.map_keys(r["words"])) / (8 * math.log(2) * total)
+            return F.struct((twice / 2 - chance).alias("divergence"), r["lang"].alias("lang"), (a["n"] / total).alias("share"))
+
+        return bind(F.aggregate(counts, zero, add), whole)
+
+    return F.when(total > 0, F.array_min(F.transform(refs, to)))
+
+
+def quantiles(rows: DataFrame, value: str, parts: list[float]) -> DataFrame:
+    """(lang, q0, q1, ...): for each part the smallest step of `value` that at least that share
+    of the language's rows does not exceed."""
+    counted = rows.groupBy("lang", F.floor(F.col(value) * STEPS).alias("step")).count()
+    w = Window.partitionBy("lang")  # at most STEPS + 1 rows
+    summed = counted.withColumn("below", F.sum("count").over(w.orderBy("step"))).withColumn("all", F.sum("count").over(w))
+    return summed.groupBy("lang").agg(*[F.min(F.when(F.col("below") >= p * F.col("all"), F.col("step"))).alias(f"q{k}") for k, p in enumerate(parts)])
+
+
+def learn_references(measured: DataFrame, common_words: int = 32, min_share: float = 0.001) -> list[dict]:
+    """The references, one for each language of at least min_share of the rows that pass the base
+    rules and name one: so at most 1 / min_share, and common_words words each, come to the driver."""
+    named = measured.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
+
+    def sums(rows: DataFrame, least: float) -> dict:
+        got = rows.groupBy("lang").agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("_c", F.lit(k))) for k in range(_K + 1)]).alias("c"))
+        return {r["lang"]: list(map(int, r["c"])) for r in got.filter(F.col("n") >= least).orderBy("lang").collect()}
+
+    def reference(lang: str, c: list[int], words: list = (), total: int = 0) -> dict:
+        return {"lang": lang, "chars": c[:_K], "beyond": 2 * c[_K] > sum(c[:_K]), "words": dict(words), "common": sum(n for _, n in words), "total": total}
+
+    first = sums(named, min_share * named.count())
+    if not first:
+        return []
+    own = F.filter(_literal([reference(k, c) for k, c in first.items()]), lambda r: r["lang"] == F.col("lang"))
+    placed = named.filter(F.col("lang").isin(*first)).withColumn("_d", bind(F.get(own, F.lit(0)), lambda r: js_distance(_chars(F.col("_c")), r["chars"])))
+    cut = {r["lang"]: r["q0"] for r in quantiles(placed, "_d", [0.5]).collect()}
+    limit = F.get(F.map_values(F.map_filter(F.from_json(F.lit(json.dumps(cut)), "map<string,bigint>"), lambda k, _: k == F.col("lang"))), F.lit(0))
+    core = placed.filter(F.floor(F.col("_d") * STEPS) <= limit)
+    spread = core.select("lang", F.explode("_w").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n"))
+    spread = materialise(spread)
+    totals = {r["lang"]: int(r["n"]) for r in spread.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))  # cut to common_words before the shuffle
+    top: dict = {}
+    for r in spread.withColumn("k", order).filter(F.col("k") <= common_words).orderBy("lang", "k").collect():
+        top.setdefault(r["lang"], []).append((r["w"], int(r["n"])))
+    return [reference(k, c, top[k], totals[k]) for k, c in sums(core, 0).items() if k in top]
 
 
 def quality_rules(
@@ -130,44 +221,64 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_char_distance: float = 0.3,
-    max_word_distance: float = 0.275,
+    char_floor: float = 0.2,
+    word_floor: float = 0.25,
+    fence: float = 1.5,
+    known_share: float = 0.15,
     min_chars: int = 200,
     min_words: int = 80,
+    common_words: int = 32,
+    min_share: float = 0.001,
+    references: list[dict] | None = None,
 ) -> DataFrame:
     """One row per input row: id, the base counts, char_distance and word_distance (to the
-    nearest language reference; null without one), base_failed and kept.
-
-    The references are the summed histograms of all rows whose lang_col names a language of
-    COMMON_WORDS and that pass the base rules; the row's own language is never an input of its
-    verdict. The character rule applies from min_chars characters of words on, the word rule
-    from min_words words on; a shorter text, and every text where no reference exists, passes
-    them. Null and empty texts have no words, so they fail the base rules. Repeated rows each
-    get their row. Other columns are ignored.
+    nearest language reference; null without one), near_lang, common_share (its words that are
+    common ones of near_lang), base_failed and kept.
+
+    References are learned from the rows (learn_references) unless given; the row's own language
+    is never an input of its verdict. A limit is the third quartile of near_lang's distances plus
+    `fence` times the quartiles' difference, at least the floor; quartiles are taken over the rows
+    that pass the base rules and the length guards. A text fails where its char_distance is
+    over the limit (from min_chars characters of words on), or where its word_distance is (from
+    min_words words on) and either known_share of its words are common ones of the language or
+    its char_distance is over half the limit as well: so a language without a reference isn't
+    rejected for its words alone. Texts mostly beyond ASCII are compared with such references only.
+    A shorter text, and every text where no reference exists, passes both. Null and empty texts have
+    no words, so they fail the base rules. Repeated rows each get their row. Other columns are
+    ignored.
     """
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.alias("_lang"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), lang.cast("string").alias("lang"))
     split = rows.withColumn("_words", words_of(F.col("_text")))
     counts = base_counts(F.col("_text"), F.col("_words"))
-    measured = split.select("_id", "_lang", *[c.alias(k) for k, c in counts.items()], histograms(F.col("_text"), F.col("_words")).alias("_h"))
+    measured = split.select(
+        "_id", "lang", *[c.alias(k) for k, c in counts.items()], class_counts(F.col("_text"), F.col("_words")).alias("_c"), word_counts(F.col("_text")).alias("_w")
+    )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialise(measured.withColumn("base_failed", failed))
-
-    size = _K + 2 + len(BINS)
-    known = measured.filter(F.col("_lang").isin(*COMMON_WORDS) & ~F.col("base_failed"))
-    sums = known.groupBy("_lang").agg(F.array(*[F.sum(F.get("_h", F.lit(k))) for k in range(size)]).alias("r"))
-    # at most one row for each language of COMMON_WORDS, so the references are literals
-    refs = [F.array(*[F.lit(int(x)) for x in row["r"]]).cast("array<bigint>") for row in sums.orderBy("_lang").collect()]
-    own_c, own_w = _split(F.col("_h"))
-    joined = measured.withColumn("_c", own_c).withColumn("_w", own_w)
-
-    def near(k: int, own: Column) -> Column:
-        if not refs:
-            return F.lit(None).cast("double")
-        return F.array_min(F.array(*[bind(_split(r)[k], lambda q: js_distance(own, q)) for r in refs]))
-
-    scored = joined.withColumn("char_distance", near(0, F.col("_c"))).withColumn("word_distance", near(1, F.col("_w")))
-    odd = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)) | (
-        (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
+    refs = learn_references(measured, common_words, min_share) if references is None else references
+
+    every = sorted({w for r in refs for w in r["words"]})
+    known = F.filter("_w", lambda x: x["w"].isin(*every)) if every else F.array().cast("array<struct<w:string,n:int>>")
+    total = F.aggregate("_w", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    near = bind(F.struct(known.alias("k"), total.alias("n")), lambda v: nearest_words(v["k"], v["n"], _literal(refs)))
+    chars = nearest_chars(F.col("_c"), _literal(refs))
+    scored = measured.select("_id", *counts, "base_failed", chars.alias("char_distance"), near.alias("_near"))
+    scored = scored.select(
+        "_id", *counts, "base_failed", "char_distance", F.sqrt(F.greatest(F.col("_near.divergence"), F.lit(0.0))).alias("word_distance"),
+        F.col("_near.lang").alias("lang"), F.col("_near.share").alias("common_share"),
     )
-    return scored.select(F.col("_id").alias(id_col), *counts, "char_distance", "word_distance", "base_failed", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept"))
+    scored = materialise(scored)
+
+    def limits(value: str, guard: Column, floor: float) -> Column:
+        got = quantiles(scored.filter(~F.col("base_failed") & guard & F.col("lang").isNotNull() & F.col(value).isNotNull()), value, [0.25, 0.75])
+        # at most one row for each reference
+        over = {r["lang"]: max(floor, (r["q1"] + fence * (r["q1"] - r["q0"])) / STEPS) for r in got.collect()}
+        own = F.map_filter(F.from_json(F.lit(json.dumps(over)), "map<string,double>"), lambda k, _: k == F.col("lang"))
+        return F.coalesce(F.get(F.map_values(own), F.lit(0)), F.lit(floor))
+
+    long_c, long_w = F.col("word_chars") >= min_chars, F.col("n_words") >= min_words
+    scored = scored.withColumn("_lc", limits("char_distance", long_c, char_floor)).withColumn("_lw", limits("word_distance", long_w, word_floor))
+    odd_words = (F.col("word_distance") > F.col("_lw")) & ((F.col("common_share") >= known_share) | F.coalesce(F.col("char_distance") > F.col("_lc") / 2, F.lit(False)))
+    odd = F.coalesce(long_c & (F.col("char_distance") > F.col("_lc")), F.lit(False)) | F.coalesce(long_w & odd_words, F.lit(False))
+    return scored.select(F.col("_id").alias(id_col), *counts, "char_distance", "word_distance", F.col("lang").alias("near_lang"), "common_share", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
