@@ -100,9 +100,11 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(genera
 b AS MATERIALIZED (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS rows_, [length(t) - length(regexp_replace(t, '\p{{Lu}}+', '', 'g')), length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')),
     length(t) - length(regexp_replace(t, '[#*$%&|<>!?~^_=+@/\\{{}}\[\]]+', '', 'g')), length(t) - length(regexp_replace(t, '[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüý]+', '', 'g'))] AS h1 FROM a),
 c AS MATERIALIZED (SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(coalesce(array_to_string(words, ''), '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, h1, length(t) - length(regexp_replace(t, '[^\x00-\x7F]+', '', 'g')) AS beyond FROM b LEFT JOIN rep USING (doc_id)),
+    CAST(len(rows_) - len(list_distinct(rows_)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, h1, strlen(coalesce(array_to_string(words, ''), '')) - length(coalesce(array_to_string(words, ''), '')) AS beyond FROM b LEFT JOIN rep USING (doc_id)),
 d AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, list_transform(list_append(h1, greatest(word_chars - list_sum(h1), 0)), lambda x: CAST(x AS DOUBLE)) AS hc FROM c),
-wc AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(lower(t), '.,;:!?"()[]{{}}<>|#*$%&+=~^_/\@', ''), '[^\x20\x09-\x0D]+')) AS w FROM a) GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(t), '[^\x20\x09-\x0D.,;:!?"()\[\]{{}}<>|#*$%&+=~^_/\\@]+') AS ws FROM a),
+wc AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM tok) WHERE length(w) <= 6 GROUP BY ALL),
+size AS MATERIALIZED (SELECT doc_id, CAST(len(ws) AS DOUBLE) AS words FROM tok WHERE len(ws) > 0),
 named AS MATERIALIZED (SELECT * FROM d WHERE lang IS NOT NULL AND NOT base_failed),
 first AS MATERIALIZED (SELECT lang, [{chars}] AS rc FROM named GROUP BY lang HAVING count(*) >= 0.001 * (SELECT count(*) FROM named)),
 placed AS MATERIALIZED (SELECT named.*, {distance('hc', 'rc')} AS own FROM named JOIN first USING (lang)),
@@ -111,8 +113,7 @@ core AS MATERIALIZED (SELECT placed.* FROM placed JOIN cut USING (lang) WHERE fl
 cw AS MATERIALIZED (SELECT lang, w, sum(n) AS n FROM core JOIN wc USING (doc_id) GROUP BY ALL),
 top AS MATERIALIZED (SELECT lang, w, n FROM cw QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= 32),
 refs AS MATERIALIZED (SELECT lang, rc, {half.format('rc', 'bc')} AS script, common, k, total FROM (SELECT lang, [{chars}] AS rc, sum(beyond) AS bc FROM core GROUP BY lang)
-    JOIN (SELECT lang, CAST(sum(n) AS DOUBLE) AS total FROM cw GROUP BY lang) USING (lang) JOIN (SELECT lang, sum(n) AS common, count(*) AS k FROM top GROUP BY lang) USING (lang)),
-size AS MATERIALIZED (SELECT doc_id, CAST(sum(n) AS DOUBLE) AS words FROM wc GROUP BY doc_id),
+    JOIN (SELECT lang, sum(words) AS total FROM core JOIN size USING (doc_id) GROUP BY lang) USING (lang) JOIN (SELECT lang, sum(n) AS common, count(*) AS k FROM top GROUP BY lang) USING (lang)),
 near_c AS (SELECT doc_id, min({distance('hc', 'rc')}) AS dc FROM d JOIN refs ON ({half.format('hc', 'beyond')}) = script GROUP BY doc_id),
 met AS (SELECT doc_id, lang, sum(wc.n) AS n, sum(top.n) AS q, sum({term('(wc.n / words)', '(top.n / total)')}) AS t FROM wc JOIN top USING (w) JOIN refs USING (lang) JOIN size USING (doc_id) GROUP BY ALL),
 near_w AS (SELECT doc_id, min({{'d': (coalesce(t, 0) + (common - coalesce(q, 0)) / total + {term('((words - coalesce(n, 0)) / words)', '((total - common) / total)')}) / 2 - k / (8 * ln(2) * words), 'lang': lang, 'share': coalesce(n, 0) / words}}) AS v

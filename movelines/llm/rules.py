@@ -3,7 +3,7 @@ Jensen-Shannon distance of its character-class and common-word histograms from r
 are learned from the corpus, one for each language.
 
 One pass over the texts counts everything in the text's own row: base counts, character classes,
-and each distinct word's number. A word window is one hash of its eight words' hashes. A text whose
+and the number of each distinct short word. A word window is one hash of its eight words' hashes. A text whose
 window hashes are all different has no repeat; only the others sort theirs. With the repeated
 windows' first words at p1 < p2 < ..., the words that they cover number
 8 + sum(min(8, p[k+1] - p[k])).
@@ -32,8 +32,8 @@ CLASSES = {
     "symbol": r"[#*$%&|<>!?~^_=+@/\\{}\[\]]+",
     "vowel": r"[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüý]+",
 }
-# What is deleted from a word before it is counted.
-MARKS = ".,;:!?\"()[]{}<>|#*$%&+=~^_/\\@"
+# Fixed value: a token, a run of neither white space nor marks.
+TOKEN = r"[^\x20\x09-\x0D.,;:!?\"()\[\]{}<>|#*$%&+=~^_/\\@]+"
 
 STEPS = 1000  # a distance is counted in this many steps
 
@@ -86,26 +86,32 @@ def base_counts(text: Column, words: Column) -> dict[str, Column]:
 
 def class_counts(text: Column, words: Column) -> Column:
     """Counts of the character classes, of all other characters of words, and (outside the
-    histogram) of characters beyond ASCII."""
+    histogram) of the words' UTF-8 bytes beyond one a character."""
     clean = F.coalesce(text, F.lit(""))
     number = lambda p: F.length(clean) - F.length(F.regexp_replace(clean, p, ""))
-    total = F.length(F.array_join(words, ""))
     classes = F.array(*map(number, CLASSES.values()))
-    rest = lambda c: F.concat(c, F.array(F.greatest(total - _sum(c, "int"), F.lit(0)), number(r"[^\x00-\x7F]+")))
-    return bind(classes, rest)
 
+    def rest(v: Column) -> Column:
+        more = F.greatest(F.length(v["all"]) - _sum(v["k"], "int"), F.lit(0))
+        return F.concat(v["k"], F.array(more, F.octet_length(v["all"]) - F.length(v["all"])))
 
-def word_counts(text: Column) -> Column:
-    """(w, n) of each distinct lower-cased word without MARKS, in the words' order."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKS, "")
+    return bind(F.struct(classes.alias("k"), F.array_join(words, "").alias("all")), rest)
+
+
+def word_counts(text: Column, longest: int = 6) -> Column:
+    """(total, short): the number of tokens of the lower-cased text, and (w, n) of each distinct
+    token of at most `longest` characters, as common words are short."""
 
     def runs(s: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         pair = lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n")))
         return F.when(F.size(s) > 0, bind(first, pair))
 
-    counted = bind(F.sort_array(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))), runs)
-    return F.coalesce(counted, F.array().cast("array<struct<w:string,n:int>>"))
+    def counted(tokens: Column) -> Column:
+        short = bind(F.sort_array(F.filter(tokens, lambda w: F.length(w) <= longest)), runs)
+        return F.struct(F.size(tokens).alias("total"), F.coalesce(short, F.array().cast("array<struct<w:string,n:int>>")).alias("short"))
+
+    return bind(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), counted)
 
 
 def _sum(a: Column, kind: str = "double") -> Column:
@@ -143,7 +149,7 @@ def _chars(c: Column) -> Column:
 
 
 def _beyond(c: Column) -> Column:
-    """Whether over half the characters lie beyond ASCII."""
+    """Whether the bytes beyond one a character exceed half the characters."""
     return 2 * F.get(c, F.lit(_K)) > _sum(F.slice(c, 1, _K), "bigint")
 
 
@@ -206,9 +212,9 @@ def learn_references(measured: DataFrame, common_words: int = 32, min_share: flo
     cut = {r["lang"]: r["q0"] for r in quantiles(placed, "_d", [0.5]).collect()}
     limit = F.get(F.map_values(F.map_filter(F.from_json(F.lit(json.dumps(cut)), "map<string,bigint>"), lambda k, _: k == F.col("lang"))), F.lit(0))
     core = placed.filter(F.floor(F.col("_d") * STEPS) <= limit)
-    spread = core.select("lang", F.explode("_w").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n"))
+    spread = core.select("lang", F.explode("_w.short").alias("x")).groupBy("lang", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n"))
     spread = materialise(spread)
-    totals = {r["lang"]: int(r["n"]) for r in spread.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: int(r["n"]) for r in core.groupBy("lang").agg(F.sum("_w.total").alias("n")).collect()}
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))  # cut to common_words before the shuffle
     top: dict = {}
     for r in spread.withColumn("k", order).filter(F.col("k") <= common_words).orderBy("lang", "k").collect():
@@ -242,7 +248,7 @@ def quality_rules(
     over the limit (from min_chars characters of words on), or where its word_distance is (from
     min_words words on) and either known_share of its words are common ones of the language or
     its char_distance is over half the limit as well: so a language without a reference isn't
-    rejected for its words alone. Texts mostly beyond ASCII are compared with such references only.
+    rejected for its words alone. Texts of another script (`_beyond`) are compared with such references only.
     A shorter text, and every text where no reference exists, passes both. Null and empty texts have
     no words, so they fail the base rules. Repeated rows each get their row. Other columns are
     ignored.
@@ -259,9 +265,8 @@ def quality_rules(
     refs = learn_references(measured, common_words, min_share) if references is None else references
 
     every = sorted({w for r in refs for w in r["words"]})
-    known = F.filter("_w", lambda x: x["w"].isin(*every)) if every else F.array().cast("array<struct<w:string,n:int>>")
-    total = F.aggregate("_w", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    near = bind(F.struct(known.alias("k"), total.alias("n")), lambda v: nearest_words(v["k"], v["n"], _literal(refs)))
+    known = F.filter("_w.short", lambda x: x["w"].isin(*every)) if every else F.array().cast("array<struct<w:string,n:int>>")
+    near = bind(F.struct(known.alias("k"), F.col("_w.total").alias("n")), lambda v: nearest_words(v["k"], v["n"], _literal(refs)))
     chars = nearest_chars(F.col("_c"), _literal(refs))
     scored = measured.select("_id", *counts, "base_failed", chars.alias("char_distance"), near.alias("_near"))
     scored = scored.select(
