@@ -84,7 +84,7 @@ def line_key(moves: Column, length: Column) -> Column:
 def valid_length(moves: Column) -> Column:
     """The number of moves before the first one that can't be read."""
     bad = F.array_position(F.transform(moves, lambda m: m.rlike(SAN)), False)
-    return F.when(bad > 0, bad - 1).otherwise(F.size(moves)).cast("int")
+    return F.coalesce(F.nullif(bad, F.lit(0)) - 1, F.size(moves)).cast("int")  # each move is looked at once
 
 
 def running_prefix(moves: Column) -> Column:
@@ -151,26 +151,24 @@ def state_text(moves: Column, ply: Column, key: str = "moveset") -> Column:
 
 
 def state_texts(moves: Column, n: Column, key: str = "moveset") -> Column:
-    """state_text before the plies 1 to n + 1, as one array. Each ply adds its move to its own side's
-    sorted moves and writes only that side's text again."""
+    """state_text before the plies 1 to n + 1, as one array. Each side's text is written once for each of
+    its moves, and a state puts two of them together."""
     steps = F.when(n > 0, F.slice(moves, F.lit(1), n)).otherwise(F.array().cast("array<string>"))
     if key == "path":
         path = lambda a, x: F.struct(F.concat(a["done"], F.array(F.concat(F.element_at(a["done"], -1), F.when(F.size(a["done"]) == 1, "").otherwise(" "), x))).alias("done"))
         return F.aggregate(steps, F.struct(F.array(F.lit("")).alias("done")), path, lambda a: a["done"])
     if key != "moveset":
         raise ValueError(key)
-    start = F.struct(F.array(F.lit("||w")).alias("done"), F.array().cast("array<string>").alias("own"), F.array().cast("array<string>").alias("other"), F.lit("").alias("own_text"), F.lit("").alias("other_text"))
+    side = lambda odd: F.filter(steps, lambda _, i: i % 2 == odd)
+    texts = lambda own: F.transform(F.sequence(F.lit(0), F.size(own)), lambda k: F.array_join(F.sort_array(F.slice(own, F.lit(1), k)), " "))
 
-    def step(a: Column, x: Column) -> Column:
-        white = F.size(a["done"]) % 2 == 1  # who moves now
+    def written(white: Column, black: Column) -> Column:
+        def state(k: Column) -> Column:
+            return F.concat(F.get(white, F.shiftright(k + 1, 1)), F.lit("|"), F.get(black, F.shiftright(k, 1)), F.when(k % 2 == 0, "|w").otherwise("|b"))
 
-        def written(mine: Column, text: Column) -> Column:
-            state = F.when(white, F.concat(text, F.lit("|"), a["other_text"], F.lit("|b"))).otherwise(F.concat(a["other_text"], F.lit("|"), text, F.lit("|w")))
-            return F.struct(F.concat(a["done"], F.array(state)).alias("done"), a["other"].alias("own"), mine.alias("other"), a["other_text"].alias("own_text"), text.alias("other_text"))
+        return F.transform(F.sequence(F.lit(0), F.size(white) + F.size(black) - 2), state)
 
-        return _let(F.sort_array(F.concat(a["own"], F.array(x))), lambda mine: _let(F.array_join(mine, " "), lambda text: written(mine, text)))
-
-    return F.aggregate(steps, start, step, lambda a: a["done"])
+    return _let(_let(side(0), texts), lambda white: _let(_let(side(1), texts), lambda black: written(white, black)))
 
 
 def _let(value: Column, body) -> Column:

@@ -21,10 +21,12 @@ def _pick(values: list[str], index):
 
 
 def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One game per order, one ply per line item. Window and aggregation share one exchange."""
+    """One game per order, one ply per line item. Numbers and texts of an order's plies come from one
+    exchange and one sort by order, which the join with the orders uses too: the texts grow with the tables, so an
+    estimate of their size must not broadcast them."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *PLY_ORDER)
-    ply = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLY_ORDER))
-    items = items.withColumn("ply", ply)
+    w = Window.partitionBy("l_orderkey").orderBy(*PLY_ORDER)
+    items = items.withColumn("ply", F.row_number().over(w))
     k, p, q = F.col("l_orderkey"), F.col("ply"), F.floor("l_quantity").cast("int")
     white = p % 2 == 1
     number = F.when(white, F.concat(F.floor((p + 1) / 2).cast("string"), F.lit(". "))).otherwise(F.concat(F.floor(p / 2).cast("string"), F.lit("... ")))
@@ -34,10 +36,11 @@ def raw_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(q > 40, F.concat(F.lit("#"), (q - 45).cast("string"))).otherwise(F.concat((q - 24).cast("string"), F.lit(".25")))
     comment = F.when(k % 3 == 0, F.concat(F.lit(" { [%eval "), score, F.lit("] }"))).otherwise(" { [%clk 0:03:00] }")
     text = F.concat(number, move, suffix, extra, comment)
-    lines = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("ply", text.alias("t")))).alias("plies"))
-    lines = lines.select("l_orderkey", F.array_join(F.col("plies.t"), " ").alias("body"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = items.withColumn("t", text).withColumn("texts", F.collect_list("t").over(whole)).filter("ply = 1")
+    lines = lines.select("l_orderkey", F.array_join("texts", " ").alias("body"))
 
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     status = F.col("o_orderstatus")
     result = F.when(k % 50 == 49, "*").when(status == "O", "1-0").when(status == "F", "0-1").when(status == "P", "1/2-1/2")
