@@ -92,7 +92,7 @@ def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, wei
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for k in rng.permutation(len(bags)):
-            ids, share = bags[k]
+            ids, share = bags[k][0], bags[k][1].astype(np.float64)
             mean = share @ vectors[ids]
             z = mean @ out + bias
             p = np.exp(z - z.max())
@@ -108,6 +108,18 @@ def fit_embeddings(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, wei
     return Model(np.rint(score * _ONE).astype(np.int64), float(bias[1] - bias[0]))
 
 
+def _views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """Each value of a binary column as an array over the column's own memory: the driver holds the
+    sample once."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        size = np.dtype(kind).itemsize
+        out += [np.frombuffer(data, kind, (b - a) // size, a) if b > a else np.zeros(0, kind) for a, b in zip(ends[:-1], ends[1:])]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, buckets: int = 1 << 17, steps: int = 12_000, seed: int = 3) -> Model:
     """A model from the documents that `labels` (id_col, label_col) marks 0 or 1, at most per_class
     of each label, chosen by a seeded hash of the id; they are weighted so that the classes keep
@@ -139,13 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 shares.append((n / max(1, n.sum())).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([block.column("_label"), block.column("_place"), pa.array(ids, pa.binary()), pa.array(shares, pa.binary())], ["label", "place", "ids", "shares"])
 
-    rows = sample.mapInArrow(run, "label int, place double, ids binary, shares binary").toArrow().sort_by([("label", "ascending"), ("place", "ascending")])
+    rows = sample.mapInArrow(run, "label int, place double, ids binary, shares binary").toArrow()
+    label, views = rows.column("label").to_numpy(), [_views(rows.column(c), kind) for c, kind in (("ids", "<i4"), ("shares", "<f4"))]
+    order = np.lexsort((rows.column("place").to_numpy(), label))
     bags, y, weight = [], [], []
     for k in (0, 1):
-        own = rows.filter(pa.compute.equal(rows.column("label"), k)).slice(0, per_class)
-        bags += [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4").astype(np.float64)) for a, b in zip(own.column("ids").to_pylist(), own.column("shares").to_pylist())]
-        y += [k] * own.num_rows
-        weight += [counts[k] / sum(counts.values()) / max(1, own.num_rows)] * own.num_rows
+        own = order[label[order] == k][:per_class].tolist()
+        bags += [(views[0][i], views[1][i]) for i in own]
+        y += [k] * len(own)
+        weight += [counts[k] / sum(counts.values()) / max(1, len(own))] * len(own)
     weight = np.asarray(weight) * len(weight)
     return fit_embeddings(bags, np.asarray(y), weight, buckets, steps=steps, seed=seed)
 
