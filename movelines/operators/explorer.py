@@ -66,8 +66,9 @@ def _shared(same_keys: Column, line: Column, other: Column) -> Column:
     return F.when(same_keys, F.when(differ > 0, differ - 1).otherwise(F.size(line))).otherwise(-1).cast("int")
 
 
-def _one_pass(keys: list[str], columns: list[str], measures: list[str]):
-    """Over the rows of one range, in order: where each prefix begins, and its sums."""
+def _one_pass(keys: list[str], columns: list[str], measures: list[str], length: str | None):
+    """Over the rows of one range, in order: where each prefix begins, and its sums; _end is 1 on the range's first
+    row, 2 on its last, 3 where they are one."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -91,19 +92,25 @@ def _one_pass(keys: list[str], columns: list[str], measures: list[str]):
             for i, v in enumerate(values):
                 sums[i, :, k] = np.repeat(np.add.reduceat(v, starts), size)
         known = pa.array(new, pa.int32(), mask=np.arange(n) == 0)  # the first row's is known with the range before
-        totals = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.StructArray.from_arrays([pa.array(x.ravel()) for x in sums], measures))
-        out = rows.append_column("_range", pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32())).append_column("_totals", totals).append_column("_new", known)
+        held = np.full(n, width) if length is None else rows.column(length).to_numpy() + 1
+        inside = np.arange(width) < held[:, None]
+        totals = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.StructArray.from_arrays([pa.array(x[inside]) for x in sums], measures))
+        end = np.zeros(n, np.int32)
+        end[0] += 1
+        end[-1] += 2
+        out = rows.append_column("_range", pa.array(np.full(n, TaskContext.get().partitionId()), pa.int32())).append_column("_totals", totals).append_column("_new", known).append_column("_end", pa.array(end))
         yield from out.combine_chunks().to_batches(max_chunksize=4096)
 
     return run
 
 
-def prefix_totals(rows: DataFrame, keys: list[str], columns: list[str], measures: list[str], range_rows: int = 50_000, max_ranges: int = 20_000) -> DataFrame:
+def prefix_totals(rows: DataFrame, keys: list[str], columns: list[str], measures: list[str], range_rows: int = 50_000, max_ranges: int = 20_000, length: str | None = None) -> DataFrame:
     """Adds `_totals`, an array: for k = 0 to len(columns) the struct of each measure's total over all
     rows with the same keys and the same first k columns (nulls are equal), and `_new`: from which
     length on the row's prefixes differ from those of the row before it in the order of keys and
     columns. Each distinct prefix of length k has exactly one row with _new <= k. Measures are longs
-    without nulls, columns are strings.
+    without nulls, columns are strings. length, if given, names an int column that says how many columns
+    the row uses: its array then ends there, so that short rows among many columns stay short.
 
     Ranges hold about range_rows rows, more only where there would be over max_ranges of them, since
     two rows of each come to the driver. A task holds one range. The windows that could say the same
@@ -117,23 +124,27 @@ def prefix_totals(rows: DataFrame, keys: list[str], columns: list[str], measures
     dealt = (rows.repartitionByRange(ranges, *order) if ranges > 1 else rows.coalesce(1)).sortWithinPartitions(*order)
     sums = ",".join(f"{c}:bigint" for c in measures)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = dealt.mapInArrow(_one_pass(keys, columns, measures), f"{schema}, _range int, _totals array<struct<{sums}>>, _new int")
+    out = dealt.mapInArrow(_one_pass(keys, columns, measures, length), f"{schema}, _range int, _totals array<struct<{sums}>>, _new int, _end int")
     return _across(materialise(out), keys, columns, measures)
 
 
 def _across(out: DataFrame, keys: list[str], columns: list[str], measures: list[str]) -> DataFrame:
     """Totals of prefixes that run over several ranges, from the first and last row of each."""
-    row = F.struct(F.struct(*keys).alias("keys"), F.array(*columns).alias("line"), "_totals")
-    if out.select("_range").distinct().limit(2).count() < 2:
-        return out.withColumn("_new", F.coalesce("_new", F.lit(0))).drop("_range")
-    ends = sorted(out.groupBy("_range").agg(F.min(row).alias("first"), F.max(row).alias("last")).collect(), key=lambda r: r["_range"])
-    width = len(columns) + 1
+    width, found = len(columns) + 1, {}
+    for r in out.filter("_end > 0").select("_range", "_end", F.struct(*keys).alias("keys"), F.array(*columns).alias("line"), "_totals").collect():
+        found.setdefault(r["_range"], {"_range": r["_range"]}).update({name: r for name, bit in (("first", 1), ("last", 2)) if r["_end"] & bit})
+    if len(found) < 2:
+        return out.withColumn("_new", F.coalesce("_new", F.lit(0))).drop("_range", "_end")
+    ends = [found[k] for k in sorted(found)]
 
     def shared(a, b) -> int:
         if a["keys"] != b["keys"]:
             return -1
         return next((k for k, (x, y) in enumerate(zip(a["line"], b["line"])) if x != y), len(columns))
 
+    def total(row, k: int, i: int) -> int:
+        return row["_totals"][k][i] if k < len(row["_totals"]) else 0  # beyond the length that the row uses
+
     def carried(ends, near: str, far: str) -> list:
         """What ranges on one side add to the runs at the near end of each range, and how many
         leading plies the neighbour shares."""
@@ -141,7 +152,7 @@ def _across(out: DataFrame, keys: list[str], columns: list[str], measures: list[
         for r in ends:
             common = shared(last[far], r[near]) if last else -1
             whole = shared(last["first"], last["last"]) if last else -1
-            sums = [[last[far]["_totals"][k][i] + (found[-1][0][k][i] if k <= whole else 0) if k <= common else 0 for i in range(len(measures))] for k in range(width)]
+            sums = [[total(last[far], k, i) + (found[-1][0][k][i] if k <= whole else 0) if k <= common else 0 for i in range(len(measures))] for k in range(width)]
             found.append((sums, common))
             last = r
         return found
@@ -157,8 +168,9 @@ def _across(out: DataFrame, keys: list[str], columns: list[str], measures: list[
     line, key = F.array(*columns), F.struct(*keys)
     own = own.withColumn("_f", _shared(key.eqNullSafe(F.col("_first.keys")), line, F.col("_first.line"))).withColumn("_l", _shared(key.eqNullSafe(F.col("_last.keys")), line, F.col("_last.line")))
     part = lambda reach, sums, k, i: F.when(reach >= k, F.get(F.get(sums, k), F.lit(i))).otherwise(0)
-    totals = F.transform("_totals", lambda t, k: F.struct(*[(t[c] + part(F.col("_f"), F.col("_head"), k, i) + part(F.col("_l"), F.col("_tail"), k, i)).alias(c) for i, c in enumerate(measures)]))
-    kept = [c for c in out.columns if c not in ("_range", "_totals", "_new")]
+    mended = F.transform("_totals", lambda t, k: F.struct(*[(t[c] + part(F.col("_f"), F.col("_head"), k, i) + part(F.col("_l"), F.col("_tail"), k, i)).alias(c) for i, c in enumerate(measures)]))
+    totals = F.when((F.col("_f") < 0) & (F.col("_l") < 0), F.col("_totals")).otherwise(mended)  # most rows: no prefix in common with the ends
+    kept = [c for c in out.columns if c not in ("_range", "_totals", "_new", "_end")]
     return own.select(*kept, totals.alias("_totals"), F.coalesce("_new", F.col("_common") + 1).alias("_new"))
 
 
@@ -200,7 +212,7 @@ def prefix_tree(counts: DataFrame, n_plies: int = 20, **options) -> DataFrame:
     returned. For the options see prefix_totals."""
     columns = [f"_m{k}" for k in range(n_plies)]
     rows = counts.select(*SLICE, *[F.get("line", F.lit(k)).alias(c) for k, c in enumerate(columns)], F.least(F.size("line"), F.lit(n_plies)).alias("_n"), *COUNTS)
-    rows = prefix_totals(rows, SLICE, columns, COUNTS, **options)
+    rows = prefix_totals(rows, SLICE, columns, COUNTS, length="_n", **options)
     games = lambda k: F.get("_totals", k)["total_games"]
     rows = rows.select(*SLICE, F.array(*columns).alias("line"), "_totals", "_new", "_n").filter(F.greatest("_new", F.lit(1)) <= F.col("_n"))
     rows = rows.withColumn("shares", F.transform(F.sequence(F.lit(1), F.col("_n")), lambda k: games(k) / games(k - 1)))
