@@ -109,13 +109,17 @@ def evals_from_games(games: DataFrame, max_ply: int = 30, key: str = "moveset")
     """The cache's columns from the evaluations in the games' own text: the mean centipawns after
     each move, mates as 10,000, by the state that the move leads to. depth is 10 plus the last digit
     of the number of evaluations seen."""
-    rows = with_evals(games).select("evals", "moves").withColumn("valid", m.valid_length(F.col("moves")))
+    # only a comment or a mating move gives an evaluation: other texts need not be read
+    some = games.filter(F.contains("movetext", F.lit("[%eval")) | F.contains("movetext", F.lit("#")))
+    rows = with_evals(some).select("evals", "moves").withColumn("valid", m.valid_length(F.col("moves")))
     n = F.least(F.col("valid"), F.size("evals"), F.lit(max_ply))
     text = F.get("evals", F.col("ply") - 1)
     cp = F.when(F.substring(text, 1, 1) == "#", F.when(F.substring(text, 2, 1) == "-", -10000.0).otherwise(10000.0)).otherwise(text.try_cast("double") * 100)
     rows = rows.select("evals", "moves", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))).alias("ply"))
-    rows = rows.select(m.state_text(F.col("moves"), F.col("ply") + 1, key).alias("state"), cp.alias("cp")).filter("cp is not null")
-    out = rows.groupBy("state").agg(F.round(F.avg("cp")).cast("bigint").alias("cp"), F.count("*").alias("n"))
+    # summed by path first: a state is written once for each path to it, not once for each game
+    paths = rows.select(F.slice("moves", F.lit(1), F.col("ply")).alias("path"), cp.alias("cp")).filter("cp is not null").groupBy("path").agg(F.sum("cp").alias("sum"), F.count("*").alias("n"))
+    states = paths.select(m.state_text(F.col("path"), F.size("path") + 1, key).alias("state"), "sum", "n")
+    out = states.groupBy("state").agg(F.round(F.sum("sum") / F.sum("n")).cast("bigint").alias("cp"), F.sum("n").alias("n"))
     return out.select("state", (10 + F.col("n") % 10).alias("depth"), "cp", F.lit(None).cast("string").alias("engine_best_uci"), F.lit(None).cast("timestamp").alias("evaluated_at"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import moves as m
@@ -12,21 +12,28 @@ from .edges import START
 SLICE = ["event", "elo_band"]
 
 
+def _counts(edges: DataFrame) -> list[Column]:
+    """The least child and ply, and counts of games: a row of edges is one game, or as many as its column games says."""
+    score = F.col("white_score")
+    count = (lambda c: F.sum(F.when(c, F.col("games")).otherwise(0))) if "games" in edges.columns else F.count_if
+    return [
+        F.min("child_key").alias("child_key"),
+        F.min("ply").alias("ply"),
+        count(score == 1.0).alias("white_wins"),
+        count(score == 0.5).alias("draws"),
+        count(score == 0.0).alias("black_wins"),
+        count(F.lit(True)).alias("total"),
+    ]
+
+
 def position_stats(edges: DataFrame, min_games: int = 10, max_ply: int | None = None) -> DataFrame:
     """Counts by (event, elo_band, parent_key, move_san) with at least min_games games. Games
-    without a score count in total only; null bands are a group of their own."""
+    without a score count in total only; null bands are a group of their own. edges: from position_edges or,
+    where many games share a line, line_edges."""
     if max_ply is not None:
         edges = edges.filter(F.col("ply") <= max_ply)
-    score = F.col("white_score")
     # the state goes with its key: as a grouping column it leaves the rest to be aggregated by hash
-    out = edges.groupBy(*SLICE, "parent_key", "move_san", "parent_state").agg(
-        F.min("child_key").alias("child_key"),
-        F.min("ply").alias("ply"),
-        F.count_if(score == 1.0).alias("white_wins"),
-        F.count_if(score == 0.5).alias("draws"),
-        F.count_if(score == 0.0).alias("black_wins"),
-        F.count("*").alias("total"),
-    )
+    out = edges.groupBy(*SLICE, "parent_key", "move_san", "parent_state").agg(*_counts(edges))
     out = out.filter(F.col("total") >= min_games)
     return out.withColumn("white_score_avg", (F.col("white_wins") + 0.5 * F.col("draws")) / F.col("total"))
 
@@ -37,15 +44,7 @@ MONTH = ("year", "month")
 def partial_stats(edges: DataFrame) -> DataFrame:
     """What a month of edges adds to the statistics, by (year, month, event, elo_band, parent_key,
     move_san): sums and minima, which merge."""
-    score = F.col("white_score")
-    return edges.groupBy(*MONTH, *SLICE, "parent_key", "move_san", "parent_state").agg(
-        F.min("child_key").alias("child_key"),
-        F.min("ply").alias("ply"),
-        F.count_if(score == 1.0).alias("white_wins"),
-        F.count_if(score == 0.5).alias("draws"),
-        F.count_if(score == 0.0).alias("black_wins"),
-        F.count("*").alias("total"),
-    )
+    return edges.groupBy(*MONTH, *SLICE, "parent_key", "move_san", "parent_state").agg(*_counts(edges))
 
 
 def merge_stats(partials: DataFrame, min_games: int = 10) -> DataFrame:

@@ -43,7 +43,7 @@ def build_repertoire(
         games = tables.select_partitions(games, year_range=year_range)
     if games_per_partition:
         games = tables.limit_per_partition(games, games_per_partition)
-    found = stats.position_stats(edges.position_edges(games, max_ply, key, states), min_games)
+    found = stats.position_stats(edges.line_edges(games, (), max_ply, key, states), min_games)
     if out:
         tables.write_table(found, f"{out}/stats")
         found = tables.read_stats(raw.sparkSession, f"{out}/stats")
