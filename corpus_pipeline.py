@@ -23,7 +23,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id. Two
     are near-duplicates if their sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more. Of rows that repeat both id and text one stays; rows without a doc_id come after all
+    more: SimHash fingerprints in the Gray-order index find them, the whole sets decide, and MinHash bands
+    catch what the fingerprints leave apart. Of rows that repeat both id and text one stays; rows without a doc_id come after all
     others."""
     row = "_row_of_stage"
     nulls, named = docs.filter("doc_id is null"), docs.withColumn(row, F.col("doc_id"))
@@ -54,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("near-dedup", near_duplicates),
+    ("simhash near-dedup", near_duplicates),
     ("personal data", personal_data),
     ("mixing", mix),
     ("packing", pack),

@@ -1,14 +1,16 @@
 """Near-duplicates by word shingles: pairs whose sets of shingles have a Jaccard similarity of at
 least `threshold`, and the components of all such pairs.
 
-Rows with equal sets are one class. Candidates are classes that agree on a band of MinHash values
+Rows with equal sets are one class. Near classes are found by SimHash: four fingerprints of each set in the
+Gray-order index (simhash.near_pairs), every pair decided on the whole sets. A fingerprint is no bound on
+the similarity, so what this leaves apart is looked at once more: classes that agree on a band of MinHash values
 (20 bands of 5: at similarity 0.8, 1 - (1 - 0.8**5)**20 = 99.96 % of pairs share one) and whose 128
 values, a byte of each, agree as often as similar sets do (at 0.8, all but some 30 in a million do).
 Every candidate is decided on the whole sets.
 
-A group of n similar rows has n * n / 2 pairs, but its component needs few of them. So in each band
-all members are first tested against one of them, and then only the pairs whose ends are still in
-different components. These never leave their band: it names the members that have such pairs, gets
+A group of n similar rows has n * n / 2 pairs, but its component needs few of them. So the index gives
+forests of the nearest pairs, and in each band only the pairs whose ends are still in
+different components are looked at. These never leave their band: it names the members that have such pairs, gets
 their whole sets, and sends back a spanning forest of the links. Nothing is dropped: a pair of one
 component changes nothing.
 """
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialise, mix, session_ready, utf8, word_spans
 from .components import connected_components
+from .simhash import near_pairs, set_fingerprints
 from .substrings import word_hashes
 
 _U = np.uint64
@@ -83,8 +86,9 @@ def _sketches(shingle: int):
                     pa.array(size),
                     pa.array([k if n else [] for k, n in zip(keys.view(np.int64).tolist(), size.tolist())], pa.list_(pa.int64())),
                     pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
+                    pa.array([set_fingerprints(x).view(np.int64) for x in sets], pa.list_(pa.int64())),
                 ],
-                ["row", "text_hash", "one", "two", "size", "keys", "values"],
+                ["row", "text_hash", "one", "two", "size", "keys", "values", "prints"],
             )
 
     return run
@@ -116,65 +120,46 @@ def _marks(hashes: DataFrame) -> np.ndarray:
 
 
 def _grouped(table: pa.Table) -> tuple[pa.Table, list[int]]:
-    """The table with rows of one key together, and where each key begins and the last one ends.
-    There are four different choices of the first member over all bands, so that most pairs of the
-    first test come up again."""
-    band, key, node = (table.column(k).to_numpy() for k in ("band", "key", "node"))
-    order = np.lexsort((mix(node.view(_U) + _PLACE[band % 4]), key))
+    """The table with rows of one key together, and where each key begins and the last one ends."""
+    key = table.column("key").to_numpy()
+    order = np.argsort(key, kind="stable")
     key = key[order]
     return table.take(pa.array(order)), [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
 
 
-def _similar_values(table: pa.Table, cuts: list[int], threshold: float, whole: bool):
-    """Batches of rows (i, j) of one key, whose sets may be similar: of each member and the first, or
-    (whole) of all members whose labels differ."""
+def _similar_values(table: pa.Table, cuts: list[int], threshold: float):
+    """Batches of rows (i, j) of one key, whose sets may be similar and whose labels differ."""
     # 4.2 standard deviations below what is expected at the threshold
     least = VALUES * (threshold + (1 - threshold) / 256) - 4.2 * np.sqrt(VALUES * threshold * (1 - threshold)) - 0.5
     size, label = table.column("size").to_numpy(), table.column("label").to_numpy()
     values = np.frombuffer(b"".join(table.column("values").to_pylist()), np.uint8).reshape(-1, VALUES)
     for s, e in zip(cuts[:-1], cuts[1:]):
-        own, asked = np.arange(s, e), 1
-        if whole:
-            names, inverse, count = np.unique(label[own], return_inverse=True, return_counts=True)
-            if len(names) == 1:
-                continue
-            rest = inverse != count.argmax()
-            own = np.concatenate((own[rest], own[~rest]))
-            asked = int(rest.sum())
+        own = np.arange(s, e)
+        names, inverse, count = np.unique(label[own], return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            continue
+        rest = inverse != count.argmax()
+        own = np.concatenate((own[rest], own[~rest]))
+        asked = int(rest.sum())
         step = max(1, (1 << 24) // (len(own) * VALUES))
         for t in range(0, asked, step):
             left, right = own[t : min(asked, t + step), None], own[None, t + 1 :]
             ok = np.maximum(size[left], size[right]) * threshold <= np.minimum(size[left], size[right])
             ok &= np.arange(t, t + len(left))[:, None] < np.arange(t + 1, len(own))[None, :]
-            if whole:
-                ok &= label[left] != label[right]
+            ok &= label[left] != label[right]
             if ok.any():
                 ok &= (values[left] == values[right]).sum(axis=2) >= least
                 i, j = np.nonzero(ok)
                 yield left[i, 0], right[0, j]
 
 
-def _first_pairs(threshold: float):
-    """Pairs of each member of a band and one of them that may be similar."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table, cuts = _grouped(table)
-        node, found = table.column("node").to_numpy(), [np.zeros((0, 2), np.int64)]
-        for i, j in _similar_values(table, cuts, threshold, False):
-            found.append(np.stack((node[i], node[j]), axis=1))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return run
-
-
 def _undecided(threshold: float):
     """The members that may be similar to one in another component."""
 
     def run(table: pa.Table) -> pa.Table:
         table, cuts = _grouped(table)
         some = np.zeros(table.num_rows, bool)
-        for i, j in _similar_values(table, cuts, threshold, True):
+        for i, j in _similar_values(table, cuts, threshold):
             some[i], some[j] = True, True
         return table.select(["bucket", "band", "key", "node", "size", "label", "values"]).filter(pa.array(some))
 
@@ -194,7 +179,7 @@ def _decided(threshold: float):
         flat = np.unique(shingles.flatten().to_numpy(), return_inverse=True)[1]
         begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
         mark, out = np.zeros(flat.max(initial=0) + 1, bool), []
-        for i, j in _similar_values(table, cuts, threshold, True):
+        for i, j in _similar_values(table, cuts, threshold):
             for row in np.unique(i).tolist():
                 others = j[i == row]
                 others = others[root[classes[others]] != root[classes[row]]]
@@ -220,10 +205,10 @@ def near_components(docs: DataFrame, id_col: str, text_col: str = "text", shingl
     each other and nothing else. Other columns are ignored."""
     spark = session_ready(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("row"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = materialise(source.mapInArrow(_sketches(shingle), "row long, text_hash long, one long, two long, size long, keys array<long>, values binary"))
+    rows = materialise(source.mapInArrow(_sketches(shingle), "row long, text_hash long, one long, two long, size long, keys array<long>, values binary, prints array<long>"))
     # rows of one class have the same keys and values
-    classes = rows.groupBy("one", "two").agg(F.min(F.struct("row", "text_hash")).alias("r"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("values").alias("values"))
-    classes = materialise(classes.select("one", "two", "r.row", "r.text_hash", "size", "keys", "values").withColumn("node", F.monotonically_increasing_id()))
+    classes = rows.groupBy("one", "two").agg(F.min(F.struct("row", "text_hash")).alias("r"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in ("keys", "values", "prints")])
+    classes = materialise(classes.select("one", "two", "r.row", "r.text_hash", "size", "keys", "values", "prints").withColumn("node", F.monotonically_increasing_id()))
     keys = classes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = keys.groupBy("key").count().filter("count > 1").select("key")
     bands = materialise(keys.join(shared, "key").join(classes.select("node", "size", "values"), "node"))
@@ -238,8 +223,8 @@ def near_components(docs: DataFrame, id_col: str, text_col: str = "text", shingl
         return materialise(sets.join(ends, ["row", "text_hash"]).dropDuplicates(["row", "text_hash"]).select("node", "shingles"))
 
     bands = bands.withColumn("bucket", bucket)
-    first = bands.withColumn("label", F.col("node")).groupBy("bucket").applyInArrow(_first_pairs(threshold), "a long, b long")
-    pairs = materialise(first.distinct())
+    full = classes.filter("size > 0")  # the empty set is one class and links with no other
+    pairs = materialise(near_pairs(full.select("node", "prints"), classes.count()))
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"of_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
