@@ -18,10 +18,12 @@ store that Spark can write.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,11 @@ _MARKS, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _MARKS[list(b".,!?;:")] = True
 _PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 _LONGEST = 256  # bytes of a chunk that is remembered
+_UPPER = np.zeros(256, bool)
+_UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+# A space and lower-case letters below U+0250, each of which is its own composed form.
+_WORD = re.compile(" [%s]+" % "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.islower()))
+_COMBINING = 0xCC  # the first byte of U+0300, the first character that combines with one before it
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -54,7 +61,9 @@ def _chunks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array,
     begin[text] = True
     ends = np.append(np.flatnonzero(begin)[1:], len(buf))
     ends = ends[mark[ends - 1]]  # of the chunks with punctuation at their ends
-    other = np.maximum.accumulate(np.where(mark, -1, np.arange(len(buf))))  # the last byte up to here that is none
+    place = np.arange(len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
+    place[mark] = -1
+    other = np.maximum.accumulate(place, out=place)  # the last byte up to here that is none
     last = other[ends - 1]
     begin[last[(last >= 0) & _PLAIN[buf[last]]] + 1] = True
     starts = np.flatnonzero(begin)
@@ -63,6 +72,27 @@ def _chunks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array,
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.searchsorted(starts, offsets)
 
 
+def _folded(buf: np.ndarray) -> np.ndarray:
+    """A-Z in lower case and newlines as spaces. A letter that may combine with what follows stays:
+    J with a caron has no character of its own, j with one has."""
+    upper = _UPPER[buf]
+    upper[:-1] &= buf[1:] < _COMBINING
+    out = np.where(upper, buf | 32, buf)
+    out[buf == 10] = 32
+    return out
+
+
+def _folds(normalizer) -> bool:
+    """Whether a normaliser makes no difference between a text and its folded form: it composes,
+    makes one space of white space and lower-cases, and no more."""
+    if normalizer is None:
+        return False
+    state = json.loads(normalizer.__getstate__())
+    parts = state.get("normalizers", [state])
+    want = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    return parts == want
+
+
 class Encoder:
     """The tokenizers library with a memory of chunks.
 
@@ -75,6 +105,11 @@ class Encoder:
     whole. When the young half of the memory is full it becomes the old half, from which chunks
     still in use come back.
 
+    Where the tokenizer lower-cases and makes white space one space, chunks are remembered in that
+    form, so one that begins a sentence or a line is not new. If the tokenizer also marks the ends
+    of words, plain words are given to its model many at a time, without the normaliser, which
+    would not change them, and the ends tell their ids apart.
+
     The library gives the string of a special token in a text that token's id; with
     `special_as_text` it is ordinary text.
     """
@@ -83,20 +118,51 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         from tokenizers import Tokenizer
 
-        self.library, self.joined = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(path)
+        self.joined = Tokenizer.from_file(path) if special_as_text else self.library
         for t in (self.library, self.joined):
             t.no_truncation()
             t.no_padding()
         self.library.encode_special_tokens = special_as_text
-        self.special = {t.content: k for k, t in self.library.get_added_tokens_decoder().items() if t.special}
-        self.whole = re.compile("|".join([_OTHER_SPACE, *map(re.escape, self.special)]))
+        added = self.library.get_added_tokens_decoder()
+        self.special = {t.content: k for k, t in added.items() if t.special}
+        self.folds = _folds(self.library.normalizer) and len(self.special) == len(added)
+        self.whole = re.compile("|".join([_OTHER_SPACE, *map(re.escape, self.special)]), re.IGNORECASE if self.folds else 0)
+        self.words, self.ends = None, np.zeros(0, bool)
+        if self.folds and (suffix := getattr(self.library.model, "end_of_word_suffix", None)):
+            self.words = Tokenizer(self.library.model)  # shares the model
+            self.words.pre_tokenizer = self.library.pre_tokenizer
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            self.ends[[k for t, k in self.library.get_vocab().items() if t.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.memory = memory
 
-    def _learn(self, texts: list[str], at_once: int = 32) -> list[bytes]:
-        """The ids of each text, none of which holds a special token's string. Such a string
-        separates texts for the library, which takes them faster when joined."""
+    def _learn(self, texts: list[str], at_once: int = 256) -> list[bytes]:
+        """The ids of each text, none of which holds a special token's string."""
+        if self.words is None:
+            return self._separated(texts)
+        out: list[bytes] = [b""] * len(texts)
+        plain = list(map(_WORD.fullmatch, texts))
+        rest = [k for k, x in enumerate(plain) if x is None]
+        words = [k for k, x in enumerate(plain) if x is not None]
+        parts = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for part, e in zip(parts, self.words.encode_batch_fast(["".join([texts[k] for k in part]) for part in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
+            if len(cut) != len(part):  # each has one end at least, so some text is not one word to the tokenizer
+                rest += part
+                continue
+            raw = ids.tobytes()
+            for k, a, b in zip(part, [0, *cut[:-1]], cut):
+                out[k] = raw[a:b]
+        for k, value in zip(rest, self._separated([texts[k] for k in rest])):
+            out[k] = value
+        return out
+
+    def _separated(self, texts: list[str], at_once: int = 32) -> list[bytes]:
+        """The same, for any text. A special token's string separates texts for the library, which
+        takes them faster when joined."""
         if not self.special:
             return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         name, between = next(iter(self.special.items()))
@@ -112,13 +178,16 @@ class Encoder:
         if len(self.young) > self.memory:
             self.young, self.old = {}, self.young
         out = list(map(self.young.get, keys))
-        missing, texts = [], []
+        missing = []
         for k in [k for k, v in enumerate(out) if v is None]:
             if (known := self.old.get(keys[k])) is not None:
                 out[k] = self.young[keys[k]] = known
-            elif not self.whole.search(text := keys[k].decode()):
+            else:
                 missing.append(k)
-                texts.append(text)
+        texts = [keys[k].decode() for k in missing]
+        if self.whole.search("\n".join(texts)):  # rare: find which
+            fit = [not self.whole.search(t) for t in texts]
+            missing, texts = list(compress(missing, fit)), list(compress(texts, fit))
         for k, value in zip(missing, self._learn(texts)):
             out[k] = value
             if len(keys[k]) <= _LONGEST:
@@ -130,12 +199,13 @@ class Encoder:
         if given, follows each text. A null has no ids of its own."""
         buf, offsets = utf8(column)
         n = len(offsets) - 1
-        code, distinct, first = _chunks(buf, offsets)
-        values = self._values(distinct.to_pylist())
-        text_of = np.repeat(np.arange(n), np.diff(first))
-        odd = np.fromiter((v is None for v in values), bool, len(values))
-        whole = np.unique(text_of[odd[code]])
-        if len(whole):  # one chunk of its own for each such text
+        code, distinct, first = _chunks(_folded(buf) if self.folds and len(buf) else buf, offsets)
+        values = self._values(distinct.to_numpy(zero_copy_only=False).tolist())
+        counts = np.diff(first)
+        if None in values:  # one chunk of its own for each text that holds such a chunk
+            odd = np.fromiter((v is None for v in values), bool, len(values))
+            text_of = np.repeat(np.arange(n), counts)
+            whole = np.unique(text_of[odd[code]])
             keep = ~np.isin(text_of, whole)
             raw = buf.tobytes()
             values = [v or b"" for v in values] + [array("I", self.library.encode(raw[offsets[t] : offsets[t + 1]].decode(), add_special_tokens=False).ids).tobytes() for t in whole.tolist()]
@@ -143,7 +213,7 @@ class Encoder:
             code = np.concatenate((code[keep], len(values) - len(whole) + np.arange(len(whole))))
             order = np.argsort(text_of, kind="stable")
             text_of, code = text_of[order], code[order]
-        counts = np.bincount(text_of, minlength=n)
+            counts = np.bincount(text_of, minlength=n)
         if end_id is not None:
             code = np.insert(code, np.cumsum(counts), len(values))
             values = [*values, np.array([end_id], "<u4").tobytes()]
