@@ -35,6 +35,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- words of many texts at once -------------------------------------------------------
 
+#: Bytes of text in a block where a byte of it becomes tens of bytes of arrays. A worker keeps much of what a
+#: block took, and workers stay for the stages that follow.
+SMALL_BLOCK = 1 << 18
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 

@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, mix, session_ready, utf8, word_spans
+from .common import SMALL_BLOCK, blocks, materialise, mix, session_ready, utf8, word_spans
 from .components import connected_components
 from .simhash import near_pairs, set_fingerprints
 from .substrings import word_hashes
@@ -71,7 +71,7 @@ def minima(hashes: np.ndarray, tile: int = 2048) -> np.ndarray:
 
 def _sketches(shingle: int):
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", SMALL_BLOCK):
             sets = shingle_sets(block.column("text"), shingle)
             low = np.stack([minima(s) for s in sets])
             bands = low[:, : BANDS * WIDTH].astype(_U).reshape(-1, BANDS, WIDTH)
@@ -98,7 +98,7 @@ def _sets(shingle: int, marks):
     """The sets of the texts whose hash is marked; some more may be."""
 
     def run(batches):
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", SMALL_BLOCK):
             place = block.column("text_hash").to_numpy() & (MARKS - 1)
             marked = (marks.value[place >> 6] >> (place & 63).astype(_U)) & _U(1) != 0
             block = block.filter(pa.array(marked))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import blocks, session_ready
 from .tokens import encoder
 
+#: Chunks in either half of the encoder's memory, some 200 bytes each: the worker that holds it stays for later stages.
+MEMORY = 200_000
 PIECES = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OUT = pa.schema([(n, pa.int64()) for n in (x.split()[0] for x in PIECES.split(", "))])
 
@@ -124,7 +126,7 @@ def pack_documents(
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
         group = int(table.column("group")[0].as_py())
-        parts = [encoder(tokenizer, special_as_text).encode(b.column("_text"), end_id) for b in blocks(table.combine_chunks().to_batches(), "_text")]
+        parts = [encoder(tokenizer, special_as_text, MEMORY).encode(b.column("_text"), end_id) for b in blocks(table.combine_chunks().to_batches(), "_text")]
         sizes = np.concatenate([np.diff(offsets) for _, offsets in parts])
         begin, sizes = (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()
         raw = memoryview(b"".join([tokens.tobytes() for tokens, _ in parts]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, session_ready, span_hashes, utf8, word_spans
+from .common import SMALL_BLOCK, blocks, mix, session_ready, span_hashes, utf8, word_spans
 
 _U = np.uint64
 GRAMS = (3, 5)
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label", "_place").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text")).drop("_id")
 
     def run(batches):
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", SMALL_BLOCK):
             buf, offsets = utf8(block.column("_text"))
             parts = list(features(buf, offsets, buckets))
             ids, shares = [], []
@@ -172,7 +172,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     shared = spark.sparkContext.broadcast(model)  # one number for each bucket
 
     def run(batches):
-        for block in blocks(batches, "_text"):
+        for block in blocks(batches, "_text", SMALL_BLOCK):
             keep = [k for k in range(block.num_columns) if block.schema.names[k] != "_text"]
             scores = pa.array(shared.value.scores(block.column("_text")))
             yield pa.RecordBatch.from_arrays([block.column(k) for k in keep] + [scores], [block.schema.names[k] for k in keep] + ["score"])
@@ -188,7 +188,7 @@ def filter_quality(docs: DataFrame, model: Model, text_col: str = "text", thresh
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in blocks(batches, text_col):
+        for block in blocks(batches, text_col, SMALL_BLOCK):
             yield block.filter(pa.array(shared.value.scores(block.column(text_col)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

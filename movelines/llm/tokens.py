@@ -45,7 +45,7 @@ _UPPER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 # A space and lower-case letters below U+0250, each of which is its own composed form.
 _WORD = re.compile(" [%s]+" % "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.islower()))
 _COMBINING = 0xCC  # the first byte of U+0300, the first character that combines with one before it
-_encoders: dict[tuple[str, bool], "Encoder"] = {}
+_encoders: dict[tuple[str, bool, int], "Encoder"] = {}
 
 
 def _chunks(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -227,11 +227,11 @@ class Encoder:
         return ids, upto[np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))]
 
 
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """One encoder for each worker process, file and treatment of special tokens."""
-    key = (path, special_as_text)
+def encoder(path: str, special_as_text: bool = False, memory: int = 500_000) -> Encoder:
+    """One encoder for each worker process, file, treatment of special tokens and size of memory."""
+    key = (path, special_as_text, memory)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, special_as_text)
+        _encoders[key] = Encoder(path, special_as_text, memory)
     return _encoders[key]
 
 
